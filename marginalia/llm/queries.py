@@ -23,12 +23,24 @@ def op3_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op5_minhash(spark, sf_dir):
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_substring(spark, sf_dir):
+    from .substring import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark, sf_dir):
     from .packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op3_token_counts, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op3_token_counts, op5_minhash, op8_substring, op9_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
