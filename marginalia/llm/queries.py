@@ -17,6 +17,13 @@ def op1_token_store(spark, sf_dir):
     return read_tokens(write_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")))
 
 
+def op2_toxicity(spark, sf_dir):
+    from .toxicity import fit, predict
+
+    docs = table(spark, sf_dir, "documents")
+    return predict(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_token_counts(spark, sf_dir):
     from .token_counts import token_counts
 
@@ -29,6 +36,12 @@ def op5_minhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_language(spark, sf_dir):
+    from .language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op8_substring(spark, sf_dir):
     from .substring import remove_repeats
 
@@ -41,6 +54,6 @@ def op9_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op3_token_counts, op5_minhash, op8_substring, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_toxicity, op3_token_counts, op5_minhash, op7_language, op8_substring, op9_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
