@@ -36,6 +36,12 @@ def op5_minhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_embeddings(spark, sf_dir):
+    from .nndescent import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_language(spark, sf_dir):
     from .language import identify
 
@@ -54,6 +60,6 @@ def op9_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_toxicity, op3_token_counts, op5_minhash, op7_language, op8_substring, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_toxicity, op3_token_counts, op5_minhash, op6_embeddings, op7_language, op8_substring, op9_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
