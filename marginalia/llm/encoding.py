@@ -11,34 +11,48 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+import sys
+from array import array
 
 #: Words kept per worker before the cache starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000
 _ODD_SPACE = re.compile(r"\s\s|[^\S \n]")
 _CONTROL = re.compile(r"[\x1c-\x1f]")
 _CUTS = re.compile(r"\s*\S+|\s+")
+#: Letters and digits for every version of Unicode.
 _PLAIN = re.compile(r"[0-9A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]")
 _encoders: dict[str, "Encoder"] = {}
 
 
-class _Words(dict):
-    """cut -> value of own(cut); keys without leading white space stand for a space and the word if spaced."""
+class Words(dict):
+    """cut -> value, of bounded size. own_many gives the values of cuts not seen yet, all of a text's at once.
+
+    If spaced, a key without leading white space stands for a space and the word.
+    """
+
+    def __init__(self, own_many, spaced: bool, limit: int = CACHE_WORDS):
+        self.own_many, self.spaced, self.limit = own_many, spaced, limit
+        self.ends = dict(zip(".,", own_many([".", ","])))
 
-    def __init__(self, own, spaced: bool, limit: int = CACHE_WORDS):
-        self.own, self.spaced, self.limit = own, spaced, limit
-        self.ends = {c: own(c) for c in ".,"}
+    def values_of(self, cuts: list[str]) -> list[bytes]:
+        found = list(map(self.get, cuts))
+        if None in found:
+            self.learn([c for c, v in zip(cuts, found) if v is None])
+            found = list(map(self.get, cuts))
+            if None in found:  # the cache began afresh
+                self.learn(cuts)
+                found = list(map(self.get, cuts))
+        return found
 
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= self.limit:
+    def learn(self, cuts: list[str]) -> None:
+        if len(self) > self.limit:
             self.clear()
-        if len(key) > 1 and key[-1] in ".," and _PLAIN.match(key[-2]):
-            value = self[key[:-1]] + self.ends[key[-1]]
-        else:
-            value = self.own(" " + key if self.spaced and key[0] != "\n" else key)
-        self[key] = value
-        return value
+        ended = [c for c in cuts if len(c) > 1 and c[-1] in ".," and _PLAIN.match(c[-2])]
+        new = {c[:-1] for c in ended if c[:-1] not in self}
+        new.update(set(cuts).difference(ended))
+        new = sorted(new)
+        self.update(zip(new, self.own_many([" " + c if self.spaced and c[0] != "\n" else c for c in new])))
+        self.update((c, self[c[:-1]] + self.ends[c[-1]]) for c in ended)
 
 
 class Encoder:
@@ -50,34 +64,43 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.byte_level = self.tokenizer.normalizer is None
-        self.words = _Words(self.direct, self.byte_level)
-        self.other = _Words(self.direct, False)
+        self.words = Words(self.direct, self.byte_level)
+        self.other = Words(self.direct, False)
 
-    def direct(self, text: str) -> bytes:
-        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-        return np.asarray(ids, "<u4").tobytes()
+    def direct(self, texts: list[str]) -> list[bytes]:
+        """Ids of each as the library gives them, little-endian unsigned 32-bit."""
+        found = [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for ids in found:
+                ids.byteswap()
+        return [ids.tobytes() for ids in found]
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; null: none."""
         return b"".join(cut_values(text, self.byte_level, self.words, self.other, self.direct))
 
 
-def cut_values(text, byte_level, words, other, direct) -> list:
+def cut_values(text, byte_level, words: Words, other: Words, direct) -> list[bytes]:
     """The values of a text's cuts in order; words is keyed without the space before a word, other by the cut itself."""
     if not text:
         return []
     if _CONTROL.search(text):
-        return [direct(text)]
+        return direct([text])
     if not byte_level:
-        return list(map(words.__getitem__, text.split()))
+        try:
+            text.encode("latin-1")
+            text = text.lower()  # these vocabularies lower-case; for such letters, alike in Python
+        except UnicodeEncodeError:
+            pass
+        return words.values_of(text.split())
     if not (_ODD_SPACE.search(text) or text[0].isspace() or text[-1].isspace()):
         cuts = text.replace("\n", " \n").split(" ")
-        return [other[cuts[0]], *map(words.__getitem__, cuts[1:])]
-    out = []
-    for cut in _CUTS.findall(text):
-        plain = len(cut) > 1 and not cut[1].isspace() and cut[0] in " \n"
-        out.append(words[cut.removeprefix(" ")] if plain else other[cut])
-    return out
+        return other.values_of(cuts[:1]) + words.values_of(cuts[1:])
+    cuts = _CUTS.findall(text)
+    plain = [len(c) > 1 and c[0] in " \n" and not c[1].isspace() for c in cuts]
+    of_words = iter(words.values_of([c.removeprefix(" ") for c, p in zip(cuts, plain) if p]))
+    of_others = iter(other.values_of([c for c, p in zip(cuts, plain) if not p]))
+    return [next(of_words) if p else next(of_others) for p in plain]
 
 
 def encoder(path: str) -> Encoder:

@@ -20,7 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encoding import Encoder, _Words, cut_values
+from .common import texts
+from .encoding import Encoder, Words, cut_values
 
 #: The public pattern by which byte-level vocabularies cut text (a fixed value of the file format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -51,8 +52,8 @@ class PrefixCounter:
         self.rank = {(raw(a), raw(b)): k for k, (a, b) in enumerate(merges)}
         self.follows: dict[tuple[bytes, bytes], bool] = {}
         self.library = Encoder(path)
-        self.pattern = regex.compile(PATTERN)
-        self.words, self.other = _Words(self.steps_of_cut, True), _Words(self.steps_of_cut, False)
+        self.pattern, self.space = regex.compile(PATTERN), regex.compile(r"\s")
+        self.words, self.other = Words(self.steps_of_cuts, True), Words(self.steps_of_cuts, False)
 
     def merged(self, data: bytes) -> list[bytes]:
         parts = [data[i : i + 1] for i in range(len(data))]
@@ -108,8 +109,9 @@ class PrefixCounter:
             library = self.library.tokenizer
             counts = [0, *(len(library.encode(cut[:j], add_special_tokens=False).ids) for j in range(1, len(cut) + 1))]
             return np.diff(counts)
-        counts, base = [0], 0
-        for piece in self.pre_tokens(cut):
+        counts, base, pieces = [0], 0, self.pre_tokens(cut)
+        patches = []
+        for piece, after in zip(pieces, [*pieces[1:], ""]):
             data = piece.encode()
             by_byte = self.prefix_counts(data)
             ends = np.cumsum([len(c.encode()) for c in piece]) if len(data) != len(piece) else range(1, len(data) + 1)
@@ -117,18 +119,20 @@ class PrefixCounter:
             if len(piece) == 3 and piece in ("'re", "'ve", "'ll"):
                 own[1] = 2  # short of its end, the apostrophe and the letter are pre-tokens
             counts += [base + n for n in own]
+            if self.space.match(piece) and self.space.match(after):
+                # a prefix that ends inside white space has all of that run as one pre-token
+                patches.append((len(counts), base + self.prefix_counts((piece + after[0]).encode())[-1]))
             base += own[-1]
-        spaces = len(cut) - len(cut.lstrip())
-        if 1 < spaces < len(cut):
-            counts[spaces] = self.prefix_counts(cut[:spaces].encode())[-1]
+        for at, n in patches:
+            counts[at] = n
         return np.diff(counts)
 
-    def steps_of_cut(self, cut: str) -> bytes:
-        return self.steps(cut).astype("<i2").tobytes()
+    def steps_of_cuts(self, cuts: list[str]) -> list[bytes]:
+        return [self.steps(c).astype("<i2").tobytes() for c in cuts]
 
     def index(self, text: str | None) -> np.ndarray:
         """Signed steps by character; their running sum is the count of each prefix."""
-        parts = cut_values(text, True, self.words, self.other, self.steps_of_cut)
+        parts = cut_values(text, True, self.words, self.other, self.steps_of_cuts)
         return np.frombuffer(b"".join(parts), "<i2")
 
 
@@ -178,4 +182,4 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = _TRUNCATION_LIMIT
                 out, names = [*out, pa.array(kept, pa.binary())], [*names, "prefix_steps"]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return texts(docs).mapInArrow(run, schema)
