@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import texts
+
 #: The bounds of what is learned from: documents of each language, characters of each document, languages.
 SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGUAGES = 150, 240, 200
 LANE, SYMBOLS = 512, 48
@@ -163,7 +165,7 @@ def identify(docs: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
     learned from like others. Rows keep their multiplicity; other columns are dropped.
     """
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held, F.lit(False))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang")
+    docs = texts(docs, "lang")
     learned = samples(docs, held_out)
     key = hash(tuple((k, tuple(v)) for k, v in sorted(learned.items())))
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, release, written
+from .common import components, release, texts, written
 from .wordhash import hashes_of, mix, run_hashes
 
 WORDS, PERCENT = 5, 75
@@ -148,7 +148,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     those of any of its texts. Other columns are dropped.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = texts(docs)
     sketches = written(docs.mapInArrow(_sketch, SKETCH), "sketches")
     known = sketches.where("doc_id is not null and n_shingles > 0")
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("node"))

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import texts
 from .encoding import encoder
 
 CAPACITY, OPEN_BINS, END_ID = 2048, 4096, 0
@@ -87,4 +88,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, op
             columns = [[r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], [r[0] for r in rows], [r[4] for r in rows], [p[0] for p in placed], [p[1] for p in placed]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, ARROW.types)], schema=ARROW)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return texts(docs).mapInArrow(run, SCHEMA)

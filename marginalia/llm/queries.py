@@ -60,6 +60,12 @@ def op9_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_toxicity, op3_token_counts, op5_minhash, op6_embeddings, op7_language, op8_substring, op9_packing)}
+def op10_secrets(spark, sf_dir):
+    from .secrets import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_toxicity, op3_token_counts, op5_minhash, op6_embeddings, op7_language, op8_substring, op9_packing, op10_secrets)}
 
 ORACLE_SQL: dict[str, str] = {}

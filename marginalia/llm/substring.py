@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, written
+from .common import release, texts, written
 from .wordhash import hashes_of, run_hashes
 
 WINDOW = 50
@@ -132,7 +132,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     64-bit hashes of words.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = texts(docs)
     first = written(docs.mapInArrow(_anchors(window), PASS_1), "anchors")
     each = first.where("doc_id is not null").select("doc_id", "sha", F.explode("anchors").alias("anchor"))
     alive = repeated(each, "anchor")

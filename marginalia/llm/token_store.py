@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import partitions, texts, written
 from .encoding import encoder
 
 CHUNK_BITS, RANK_BITS = 8, 512
@@ -110,27 +110,27 @@ def write_tokens(docs: DataFrame, tokenizer: str, segment_ids: int = SEGMENT_IDS
 
         code, part, seg = encoder(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([END_ID], "<u4").tobytes()
-        names, texts, total = [], [], 0
+        names, encoded, total = [], [], 0
 
         def flush():
-            ids = np.frombuffer(b"".join(texts), "<u4")
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in texts])])
+            ids = np.frombuffer(b"".join(encoded), "<u4")
+            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in encoded])])
             row = [[part], [seg], [names], [len(ids)], [pack(ids, offsets)]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, ARROW.types)], schema=ARROW)
 
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = code.encode(text.as_py()) + end
-                if texts and total + len(ids) // 4 > segment_ids:
+                if encoded and total + len(ids) // 4 > segment_ids:
                     yield flush()
-                    names, texts, total, seg = [], [], 0, seg + 1
+                    names, encoded, total, seg = [], [], 0, seg + 1
                 names.append(name)
-                texts.append(ids)
+                encoded.append(ids)
                 total += len(ids) // 4
-        if texts:
+        if encoded:
             yield flush()
 
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    dealt = texts(docs)
     dealt = dealt.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     return written(dealt.mapInArrow(encode, SEGMENTS), "tokens")
 
