@@ -30,6 +30,12 @@ def op3_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op4_decontamination(spark, sf_dir):
+    from .decontamination import find_contaminated
+
+    return find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_minhash(spark, sf_dir):
     from .minhash import near_duplicates
 
@@ -66,6 +72,6 @@ def op10_secrets(spark, sf_dir):
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_toxicity, op3_token_counts, op5_minhash, op6_embeddings, op7_language, op8_substring, op9_packing, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_toxicity, op3_token_counts, op4_decontamination, op5_minhash, op6_embeddings, op7_language, op8_substring, op9_packing, op10_secrets)}
 
 ORACLE_SQL: dict[str, str] = {}
