@@ -110,4 +110,4 @@ def trajectory(scores: DataFrame, steps: int = 3, preset: str = "seed", min_gain
 def gated(rows: DataFrame, acknowledged: Column, results: list[str]) -> DataFrame:
     """rows with blocked, and results null where the warning was not acknowledged."""
     ok = F.coalesce(acknowledged, F.lit(False))
-    return rows.select("*" if not results else [c for c in rows.columns if c not in results], *[F.when(ok, F.col(c)).alias(c) for c in results], (~ok).alias("blocked"))
+    return rows.select(*[c for c in rows.columns if c not in results], *[F.when(ok, F.col(c)).alias(c) for c in results], (~ok).alias("blocked"))
