@@ -258,9 +258,9 @@ def merged_manifest(spark, sf_dir):
     return corpus.merged_manifest(old, table(spark, sf_dir, "documents").where("lang = 'es'").groupBy("source").agg(F.count("*").alias("n")), "source")
 
 
-@query("A20_conflicts", "SELECT text_hash, n, labels FROM (SELECT sha256(d.text) AS text_hash, count(*) AS n, count(DISTINCT quality * 2 + toxic) AS labels FROM documents d JOIN labels USING (doc_id) GROUP BY 1) WHERE labels > 1")
+@query("A20_conflicts", "SELECT text_hash, n, labels FROM (SELECT sha256(substr(d.text, 1, 25)) AS text_hash, count(*) AS n, count(DISTINCT quality * 2 + toxic) AS labels FROM documents d JOIN labels USING (doc_id) GROUP BY 1) WHERE labels > 1")
 def conflicts(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("text_hash")).join(table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * 2 + F.col("toxic")).alias("label")), "doc_id")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.substring("text", 1, 25), 256).alias("text_hash")).join(table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * 2 + F.col("toxic")).alias("label")), "doc_id")
     return stores.conflicting_labels(rows, "text_hash", "label")
 
 

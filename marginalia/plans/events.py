@@ -229,9 +229,9 @@ def tolerance(spark, sf_dir):
     return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("target"), F.col(f"t{k}").alias("covered")) for k in range(22)])).alias("r")).select("r.*")
 
 
-@query("J8_unmatched", f"SELECT c_mktsegment, count(*) AS customers, {_share('count(*)', '(SELECT count(*) FROM customer)')} AS part_of_all FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) GROUP BY c_mktsegment")
+@query("J8_unmatched", f"SELECT c_mktsegment, count(*) AS customers, {_share('count(*)', '(SELECT count(*) FROM customer)')} AS part_of_all FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 200000) GROUP BY c_mktsegment")
 def unmatched(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     total = c.agg(F.count("*").alias("total"))
-    left = c.join(table(spark, sf_dir, "orders"), c["c_custkey"] == F.col("o_custkey"), "left_anti").groupBy("c_mktsegment").agg(F.count("*").alias("customers"))
+    left = c.join(table(spark, sf_dir, "orders").where("o_orderstatus = 'F' and o_totalprice > 200000"), c["c_custkey"] == F.col("o_custkey"), "left_anti").groupBy("c_mktsegment").agg(F.count("*").alias("customers"))
     return left.crossJoin(F.broadcast(total)).select("c_mktsegment", "customers", share(F.col("customers"), F.col("total")).alias("part_of_all"))
