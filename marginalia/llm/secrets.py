@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 # The shapes of candidates, tried in this order.
 RULES = {
     "private_key": r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----",
@@ -134,8 +136,8 @@ def kind(candidate: str) -> str:
     return "case " + " ".join(f"when {candidate} rlike {_sql('^(?:' + rule + ')')} then '{k}'" for k, rule in RULES.items()) + " end"
 
 
-def scored(docs: DataFrame, column: str = "_found") -> DataFrame:
-    """docs with an array of its distinct candidates: start (1-based, of the first occurrence), value, kind, score."""
+def scored(docs: DataFrame, column: str) -> DataFrame:
+    """docs with an array, column, of its distinct candidates: start (1-based, of the first occurrence), value, kind, score."""
     hits = docs.withColumn(column, F.expr(f"coalesce(array_distinct(regexp_extract_all(text, {_sql(CANDIDATE)}, 0)), array())"))
     placed = f"transform({column}, c -> named_struct('value', c, 'start', locate(c, text)))"
     hits = hits.withColumn(column, F.expr(placed))
@@ -155,7 +157,7 @@ def find_secrets(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     Null and empty texts have none. Rows keep their multiplicity; a null doc_id is carried; other
     columns are dropped. A value that recurs in a text is judged where it is first.
     """
-    rows = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    rows = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "_found")
     # outer: else Spark would infer a filter on the array's size and scan every text twice
     rows = rows.select("doc_id", F.explode_outer("_found").alias("c")).where("c is not null")
     return rows.select("doc_id", F.col("c.start").alias("start"), F.length("c.value").alias("length"), "c.kind", F.sha2(F.col("c.value").cast("binary"), 256).alias("value_sha256"), F.round("c.score", 6).alias("score"), (F.col("c.score") >= threshold).alias("is_secret"))
@@ -163,8 +165,10 @@ def find_secrets(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def mask_secrets(docs: DataFrame, threshold: float = 0.5, mask: str = "[SECRET]") -> DataFrame:
     """docs, all columns and rows, with every occurrence of its secrets in text masked; n_chars, if there, follows the text."""
-    rows = scored(docs).withColumn("_found", F.expr(f"transform(filter(_found, c -> c.score >= {threshold}D), c -> regexp_replace(c.value, {_sql(_ASSIGNMENT)}, ''))"))
-    rows = rows.withColumn("text", F.expr(f"aggregate(array_sort(_found, (a, b) -> length(b) - length(a)), text, (t, s) -> replace(t, s, '{mask}'))"))
+    found = fresh(docs, "_found")
+    rows = scored(docs, found).withColumn(found, F.expr(f"transform(filter({found}, c -> c.score >= {threshold}D), c -> regexp_replace(c.value, {_sql(_ASSIGNMENT)}, ''))"))
+    # longer ones first, lest a part of one be masked
+    rows = rows.withColumn("text", F.expr(f"aggregate(array_sort({found}, (a, b) -> length(b) - length(a)), text, (t, s) -> replace(t, s, '{mask}'))"))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("_found") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.drop("_found")
+        rows = rows.withColumn("n_chars", F.when(F.size(found) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.select(*docs.columns)
