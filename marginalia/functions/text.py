@@ -17,6 +17,11 @@ def half_up(x: Column, digits: int) -> Column:
     return F.floor(x * scale + 0.5) / scale
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def share(part: Column, whole: Column, digits: int = 6) -> Column:
     """part / whole, rounded; null where whole is 0."""
     return half_up(F.try_divide(part.cast("double"), whole.cast("double")), digits)

@@ -33,20 +33,27 @@ MAX_UNITS = 2048
 ROLES = ["agent", "recipient", "theme"]
 
 
-def frame_matches(text: Column, order: int, name: str, pattern: str, roles: list[str]) -> Column:
-    """Array of (frame, construction, start, end, agent, recipient, theme) of one frame's matches; offsets count characters from 0."""
+def frame_arrays(text: Column, k: int, pattern: str, roles: list[str]) -> dict[str, Column]:
+    """What a frame's matches are made of, as columns of their own, so that each pattern runs over a text once for each."""
     rx = F.lit(pattern)
-    whole, between = F.regexp_extract_all(text, rx, 0), F.split(text, pattern, -1)
-    slots = {role: F.regexp_extract_all(text, rx, k + 1) for k, role in enumerate(roles)}
-    length = lambda a, upto: F.aggregate(F.slice(a, F.lit(1), upto), F.lit(0), lambda s, x: s + F.length(x))
+    out = {f"_w{k}": F.regexp_extract_all(text, rx, 0), f"_b{k}": F.split(text, pattern, -1)}
+    return out | {f"_s{k}_{role}": F.regexp_extract_all(text, rx, j + 1) for j, role in enumerate(roles)}
 
-    def match(i: Column) -> Column:
-        start = length(between, i + 1) + length(whole, i)
-        value = {r: F.get(slots[r], i) if r in slots else F.lit(None).cast("string") for r in ROLES}
-        return F.struct(F.lit(order).alias("frame"), F.lit(name).alias("construction"), start.alias("start"), (start + F.length(F.get(whole, i))).alias("end"), *[value[r].alias(r) for r in ROLES])
 
-    n = F.size(whole)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), match)).otherwise(F.array().cast(_KIND))
+def frame_matches(k: int, name: str, roles: list[str]) -> Column:
+    """Array of (frame, construction, start, end, agent, recipient, theme) of one frame's matches; offsets count characters from 0.
+
+    A match starts after the text between matches and the matches before it: running sums.
+    """
+    whole, between = F.col(f"_w{k}"), F.col(f"_b{k}")
+    sums = F.aggregate(
+        F.arrays_zip(F.transform(between, F.length).alias("b"), F.transform(whole, F.length).alias("w")),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
+        lambda s, x: F.struct((s["at"] + x["b"] + F.coalesce(x["w"], F.lit(0))).alias("at"), F.concat(s["starts"], F.array(s["at"] + x["b"])).alias("starts")),
+    )["starts"]
+    parts = F.arrays_zip(sums.alias("start"), whole.alias("w"), *[F.col(f"_s{k}_{r}").alias(r) for r in roles])
+    value = lambda m: [(m[r] if r in roles else F.lit(None).cast("string")).alias(r) for r in ROLES]
+    return F.transform(F.filter(parts, lambda m: m["w"].isNotNull()), lambda m: F.struct(F.lit(k).alias("frame"), F.lit(name).alias("construction"), m["start"].alias("start"), (m["start"] + F.length(m["w"])).alias("end"), *value(m)))
 
 
 _KIND = "array<struct<frame:int,construction:string,start:int,end:int,agent:string,recipient:string,theme:string>>"
@@ -69,8 +76,11 @@ def read_frames(passages: DataFrame, text: str = "text", frames: list = FRAMES,
     Texts that are null, empty or over max_units UTF-16 units, or without a match, are Unknown.
     """
     t = F.when((F.length(text) > 0) & (u16len(F.col(text)) <= max_units), F.col(text))
-    parts = [F.coalesce(frame_matches(t, k, name, rx, roles), F.array().cast(_KIND)) for k, (name, rx, roles) in enumerate(frames)]
-    out = passages.withColumn("_matches", F.concat(*parts)).withColumn("_found", folded(F.col("_matches")))
+    arrays: dict[str, Column] = {}
+    for k, (_, rx, roles) in enumerate(frames):
+        arrays |= frame_arrays(t, k, rx, roles)
+    parts = [F.coalesce(frame_matches(k, name, roles), F.array().cast(_KIND)) for k, (name, _, roles) in enumerate(frames)]
+    out = passages.withColumns(arrays).withColumn("_matches", F.concat(*parts)).withColumn("_found", folded(F.col("_matches"))).drop(*arrays)
     first = F.get("_found", F.lit(0))
     out = out.withColumn("status", F.when(F.size("_found") > 0, "Readable").otherwise("Unknown"))
     for c in ("construction", *ROLES, "start", "end"):

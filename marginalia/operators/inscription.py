@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import half_up
+from ..functions.text import half_up, let
 
 # Stems, branches, markers of tone, and the preset weights and thresholds.
 _STEMS, _BRANCHES = "甲乙丙丁戊己庚辛壬癸", "子丑寅卯辰巳午未申酉戌亥"
@@ -93,15 +93,23 @@ def trajectory(scores: DataFrame, steps: int = 3, preset: str = "seed", min_gain
 
     def step(s: Column, i: Column) -> Column:
         score = half_up(clamp(0.7 * converged(s["three"], s["structure"], s["style"], F.col("_three"), F.col("_mean"), F.col("tone")) + 0.3 * F.col("_pulse")), 3)
-        delta = half_up(score - s["best"], 3)
-        accepted = (i == 1) | (delta >= min_gain)
-        best = F.when(accepted, F.greatest(s["best"], score)).otherwise(s["best"])
-        d = F.when(accepted, F.lit(damping)).otherwise(F.lit((1 + damping) / 2))
-        structure = s["structure"] * d + clamp(1 - F.col("_drift")) * (1 - d)
-        style = s["style"] * d + F.col("tone") * (1 - d)
-        total = s["three"] + structure + style
-        row = F.struct(i.alias("step"), score.alias("score"), delta.alias("delta"), best.alias("best"), accepted.alias("accepted"), F.when(i == 1, "initial").when(accepted, "improved").otherwise("damped").alias("reason"))
-        return F.struct(half_up(s["three"] / total, 3).alias("three"), half_up(structure / total, 3).alias("structure"), half_up(style / total, 3).alias("style"), best.alias("best"), F.concat(s["steps"], F.array(row)).alias("steps")).cast(kind)
+
+        def judged(x: Column) -> Column:
+            accepted = (i == 1) | (x["delta"] >= min_gain)
+            return F.struct(x["score"].alias("score"), x["delta"].alias("delta"), accepted.alias("accepted"))
+
+        def adapted(x: Column) -> Column:
+            d = F.when(x["accepted"], F.lit(damping)).otherwise(F.lit((1 + damping) / 2))
+            best = F.when(x["accepted"], F.greatest(s["best"], x["score"])).otherwise(s["best"])
+            row = F.struct(i.alias("step"), x["score"].alias("score"), x["delta"].alias("delta"), best.alias("best"), x["accepted"].alias("accepted"), F.when(i == 1, "initial").when(x["accepted"], "improved").otherwise("damped").alias("reason"))
+            return F.struct(row.alias("row"), (s["structure"] * d + clamp(1 - F.col("_drift")) * (1 - d)).alias("structure"), (s["style"] * d + F.col("tone") * (1 - d)).alias("style"))
+
+        def weighed(x: Column) -> Column:
+            total = s["three"] + x["structure"] + x["style"]
+            return F.struct(half_up(s["three"] / total, 3).alias("three"), half_up(x["structure"] / total, 3).alias("structure"), half_up(x["style"] / total, 3).alias("style"), x["row"]["best"].alias("best"), F.concat(s["steps"], F.array(x["row"])).alias("steps")).cast(kind)
+
+        scored_ = let(score, lambda v: F.struct(v.alias("score"), half_up(v - s["best"], 3).alias("delta")))
+        return let(let(let(scored_, judged), adapted), weighed)
 
     folded = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)
     return rows.withColumn("trajectory", folded["steps"]).drop("_mean", "_three", "_drift", "_pulse")
