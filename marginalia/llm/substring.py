@@ -25,15 +25,22 @@ from .common import release, texts, written
 from .wordhash import hashes_of, run_hashes
 
 WINDOW = 50
-PASS_1 = "doc_id bigint, sha string, n_words bigint, anchors array<bigint>"
-PASS_2 = "doc_id bigint, sha string, text string, at array<int>, hashes array<bigint>"
-OUT = "doc_id bigint, sha string, n_removed bigint, kept_sha256 string"
+#: key: the first 8 bytes of the digest of all words; with doc_id it names a row.
+PASS_1 = "doc_id bigint, key bigint, sha string, n_words bigint, anchors array<bigint>"
+PASS_2 = "doc_id bigint, key bigint, text string, at array<int>, hashes array<bigint>"
+OUT = "doc_id bigint, key bigint, n_removed bigint, kept_sha256 string"
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
+def digest_of(words: list[bytes]) -> tuple[int, str]:
+    """Key and hex digest."""
+    d = hashlib.sha256(b" ".join(words))
+    return int.from_bytes(d.digest()[:8], "little", signed=True), d.hexdigest()
+
+
 def anchors_of(w: np.ndarray, window: int) -> np.ndarray:
     """For each window, where its anchor starts."""
     half = run_hashes(w, window // 2)
@@ -66,15 +73,17 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 def _anchors(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sha, n, anchors = [], [], []
+            key, sha, n, anchors = [], [], [], []
             for text in batch.column(1):
                 words = words_of(text.as_py())
                 w = hashes_of(words)
-                sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
+                k, d = digest_of(words)
+                key.append(k)
+                sha.append(d)
                 n.append(len(words))
                 half = run_hashes(w, window // 2)
                 anchors.append(_long(np.unique(half[np.unique(anchors_of(w, window))])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sha, pa.string()), pa.array(n, pa.int64()), _lists(anchors, pa.int64())], names=["doc_id", "sha", "n_words", "anchors"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key, pa.int64()), pa.array(sha, pa.string()), pa.array(n, pa.int64()), _lists(anchors, pa.int64())], names=["doc_id", "key", "sha", "n_words", "anchors"])
 
     return run
 
@@ -85,15 +94,15 @@ def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             places, hashes, own = [], [], []
-            for sha, text, repeated in zip(batch.column(1), batch.column(2), batch.column(3)):
+            for key, text, repeated in zip(batch.column(1), batch.column(2), batch.column(3)):
                 words = words_of(text.as_py())
-                own.append(hashlib.sha256(b" ".join(words)).hexdigest() == sha.as_py())
+                own.append(digest_of(words)[0] == key.as_py())
                 w = hashes_of(words)
                 anchor = _long(run_hashes(w, window // 2))[anchors_of(w, window)]
                 at = np.flatnonzero(np.isin(anchor, repeated.values.to_numpy(zero_copy_only=False)))
                 places.append(at)
                 hashes.append(_long(run_hashes(w, window)[at]))
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), _lists(places, pa.int32()), _lists(hashes, pa.int64())], names=["doc_id", "sha", "text", "at", "hashes"])
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), _lists(places, pa.int32()), _lists(hashes, pa.int64())], names=["doc_id", "key", "text", "at", "hashes"])
             yield out.filter(pa.array(own, pa.bool_()))  # a repeated doc_id also met the anchors of its other texts
 
     return run
@@ -112,7 +121,7 @@ def _remove(window: int):
                 covered = np.cumsum(edges[:-1]) > 0
                 removed.append(int(covered.sum()))
                 kept.append(hashlib.sha256(b" ".join([words[i] for i in np.flatnonzero(~covered).tolist()])).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "sha", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "key", "n_removed", "kept_sha256"])
 
     return run
 
@@ -134,22 +143,22 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = docs.sparkSession
     docs = texts(docs)
     first = written(docs.mapInArrow(_anchors(window), PASS_1), "anchors")
-    each = first.where("doc_id is not null").select("doc_id", "sha", F.explode("anchors").alias("anchor"))
+    each = first.where("doc_id is not null").select("doc_id", "key", F.explode("anchors").alias("anchor"))
     alive = repeated(each, "anchor")
-    hits = written(each.join(alive, "anchor").groupBy("doc_id", "sha").agg(F.collect_set("anchor").alias("repeated")), "hits")
+    hits = written(each.join(alive, "anchor").groupBy("doc_id", "key").agg(F.collect_set("anchor").alias("repeated")), "hits")
     release(spark)
     # texts of documents with surviving anchors
-    again = docs.join(hits.select("doc_id", "repeated", "sha"), "doc_id")
-    second = written(again.select("doc_id", "sha", "text", "repeated").mapInArrow(_windows(window), PASS_2), "windows")
+    again = docs.join(hits.select("doc_id", "repeated", "key"), "doc_id")
+    second = written(again.select("doc_id", "key", "text", "repeated").mapInArrow(_windows(window), PASS_2), "windows")
     release(spark, hits)
-    each = second.select("doc_id", "sha", F.explode(F.arrays_zip("at", "hashes")).alias("w")).select("doc_id", "sha", "w.at", F.col("w.hashes").alias("hash"))
+    each = second.select("doc_id", "key", F.explode(F.arrays_zip("at", "hashes")).alias("w")).select("doc_id", "key", "w.at", F.col("w.hashes").alias("hash"))
     gone = each.join(repeated(each, "hash"), "hash").where("doc_id > first_doc")
-    gone = written(gone.groupBy("doc_id", "sha").agg(F.collect_set("at").alias("at")), "gone")
+    gone = written(gone.groupBy("doc_id", "key").agg(F.collect_set("at").alias("at")), "gone")
     release(spark)
-    cut = gone.join(second.select("doc_id", "sha", "text"), ["doc_id", "sha"]).select("doc_id", "sha", "text", "at")
-    cut = cut.mapInArrow(_remove(window), OUT).dropDuplicates(["doc_id", "sha"])
+    cut = gone.join(second.select("doc_id", "key", "text"), ["doc_id", "key"]).select("doc_id", "key", "text", "at")
+    cut = cut.mapInArrow(_remove(window), OUT).dropDuplicates(["doc_id", "key"])
     return (
-        first.select("doc_id", "sha", "n_words")
-        .join(cut, ["doc_id", "sha"], "left")
+        first.select("doc_id", "key", "sha", "n_words")
+        .join(cut, ["doc_id", "key"], "left")
         .select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
     )
