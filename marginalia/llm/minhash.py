@@ -10,8 +10,10 @@ Copies (equal sets) are one node. Within a bucket of documents with one band key
 are paired as such. First every member meets one pivot, the member that shares most buckets with
 others (the middle of its group), which is linear in the bucket. After these links are confirmed,
 most buckets are one component, and need nothing more: links inside a component change nothing.
-Only members of buckets that still hold several components meet members of the other components,
-again through the signature, so that no link that a band proposes is lost.
+Families (documents tied by buckets, linked or not) that hold several components are the rest: in
+each, the members outside its largest component meet all members of other components, in pairs of
+blocks of bounded size, through the signature and then full sets. Only links leave a block, so no
+link that a band proposes is lost and no rows of failed pairs are made.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, release, texts, written
-from .wordhash import hashes_of, mix, run_hashes
+from . import caches
+from .common import components, fresh, release, texts, written
+from .wordhash import hashes, hashes_of, mix, run_hashes
 
 WORDS, PERCENT = 5, 75
 K, ROWS, BITS = 128, 4, 4
@@ -36,8 +39,10 @@ SETS = "doc_id bigint, shingles array<bigint>"
 _random = np.random.default_rng(20240501)
 _MUL = (_random.integers(0, 1 << 32, K, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _XOR = _random.integers(0, 1 << 32, K, dtype=np.uint64).astype(np.uint32)
-#: Shingles hashed at once.
-_BLOCK = 1 << 18
+#: Low bit of each position of a packed long.
+_ONES = sum(1 << i for i in range(0, 64, BITS))
+#: Shingles hashed at once, and documents of a block.
+_BLOCK, BLOCK = 1 << 18, 64
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -89,6 +94,7 @@ def _fixed(rows: np.ndarray, present: np.ndarray) -> pa.Array:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    caches.use(hashes)
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
@@ -105,6 +111,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    caches.use(hashes)
     for batch in batches:
         sets = [shingles(t.as_py()).view(np.int64) for t in batch.column(1)]
         offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
@@ -113,8 +120,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def agreeing(a: str, b: str) -> Column:
     """Positions with equal low bits in two packed signatures (array columns)."""
-    ones = int("1" * (64 // BITS), 1 << BITS) if BITS > 1 else -1
-    ones -= (1 << 64) if ones >= 1 << 63 else 0
+    ones = _ONES - (1 << 64 if _ONES >= 1 << 63 else 0)
     differ = F.lit(0)
     for i in range(K * BITS // 64):
         x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
@@ -140,6 +146,61 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * shared >= PERCENT * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b").distinct()
 
 
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between members of a block pair that are in different components."""
+    for batch in batches:
+        left, right = [], []
+        for i in range(batch.num_rows):
+            ids, comp, side = (batch.column(c).slice(i, 1).flatten().to_numpy(zero_copy_only=False) for c in (0, 1, 2))
+            order = np.argsort(side, kind="stable")
+            a, b = (order[side[order] == s] for s in (0, 1))
+            a, b = (a, b) if len(b) else (a, a)
+            sig = batch.column(3).slice(i, 1).flatten().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), -1)
+            lists = batch.column(4).slice(i, 1).flatten()
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            agree = np.zeros((len(a), len(b)), np.int64)
+            for k in range(sig.shape[1]):
+                x, step = sig[a, k][:, None] ^ sig[b, k][None, :], 1
+                while step < BITS:
+                    x |= x >> np.uint64(step)
+                    step *= 2
+                agree += 64 // BITS - np.bitwise_count(x & np.uint64(_ONES)).astype(np.int64)
+            size = np.diff(ends)
+            near = (agree >= least_agreement()) & (comp[a][:, None] != comp[b][None, :])
+            near &= 100 * np.minimum(size[a][:, None], size[b][None, :]) >= PERCENT * np.maximum(size[a][:, None], size[b][None, :])
+            for p, q in zip(*(n.tolist() for n in np.nonzero(near))):
+                x, y = a[p], b[q]
+                both = np.concatenate([flat[ends[x] : ends[x + 1]], flat[ends[y] : ends[y + 1]]])
+                both.sort()
+                shared = int((both[1:] == both[:-1]).sum())
+                if 100 * shared >= PERCENT * (len(both) - shared):
+                    left.append(min(ids[x], ids[y]))
+                    right.append(max(ids[x], ids[y]))
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+
+def rest_links(families: DataFrame, found: DataFrame, hubs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components of a family, other than those inside its largest component."""
+    placed = families.select(F.col("id").alias("node"), F.col("component").alias("family")).join(found.withColumnRenamed("id", "node"), "node", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "node"))
+    per = placed.groupBy("family", "component").agg(F.count("*").alias("n"))
+    per = per.groupBy("family").agg(F.max(F.struct("n", -F.col("component"))).alias("top"), F.sum("n").alias("total"))
+    per = per.where("total > top.n").select("family", (-F.col("top.col2")).alias("main"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("main_blocks"), F.ceil((F.col("total") - F.col("top.n")) / BLOCK).cast("int").alias("rest_blocks"))
+    rows = placed.join(per, "family").withColumn("rest", F.col("component") != F.col("main"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.col("rest_blocks")).otherwise(F.col("main_blocks"))).cast("int")
+    rows = rows.withColumn("own", own)
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    place = lambda i, j, main, side: F.struct(i.alias("i"), j.alias("j"), F.lit(main).alias("main"), side.cast("int").alias("side"))
+    own = F.col("own")
+    with_rest = F.transform(upto(F.col("rest_blocks")), lambda k: place(F.least(own, k), F.greatest(own, k), False, own > k))
+    with_main = F.transform(upto(F.col("main_blocks")), lambda k: place(own, k, True, F.lit(0)))
+    of_main = F.transform(upto(F.col("rest_blocks")), lambda k: place(k, own, True, F.lit(1)))
+    rows = rows.select("family", "node", "component", F.explode(F.when(F.col("rest"), F.concat(with_rest, with_main)).otherwise(of_main)).alias("at"))
+    rows = rows.join(hubs.select("node", "signature"), "node").join(sets.select(F.col("doc_id").alias("node"), "shingles"), "node")
+    blocks = rows.groupBy("family", "at.main", "at.i", "at.j").agg(F.collect_list(F.struct("node", "component", "at.side", "signature", "shingles")).alias("m")).where(F.size("m") > 1)
+    return blocks.select("m.node", "m.component", "m.side", "m.signature", "m.shingles").mapInArrow(_across, "a bigint, b bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id = component_id).
 
@@ -163,8 +224,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ranked = members.select("key", "node").join(hubs.select("node", "hub"), "node")
     pivots = ranked.groupBy("key").agg(F.max(F.struct("hub", -F.col("node"))).alias("top")).select("key", (-F.col("top.col2")).alias("pivot"))
     met = members.select("key", "node").join(pivots, "key").where("node <> pivot")
-    met = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    met = met.join(hubs.select(F.col("node").alias("a"), F.col("signature").alias("sig_a")), "a")
+    met_all = written(met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "met")
+    met = met_all.join(hubs.select(F.col("node").alias("a"), F.col("signature").alias("sig_a")), "a")
     met = met.join(hubs.select(F.col("node").alias("b"), F.col("signature").alias("sig_b")), "b")
     met = written(met.where(agreeing("sig_a", "sig_b") >= least_agreement()).select("a", "b").distinct(), "pairs")
     sets = docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
@@ -173,17 +234,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = written(confirmed(met, sets), "links")
     release(spark)
     found = components(links)
-    # buckets that hold several components
-    placed = members.select("key", "node", "signature").join(found.withColumnRenamed("id", "node"), "node", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "node"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    placed = written(placed.join(open_keys, "key", "left_semi"), "open")
-    a = placed.select("key", F.col("node").alias("a"), F.col("component").alias("of_a"), F.col("signature").alias("sig_a"))
-    b = placed.select("key", F.col("node").alias("b"), F.col("component").alias("of_b"), F.col("signature").alias("sig_b"))
-    rest = a.join(b, "key").where("a < b and of_a <> of_b").where(agreeing("sig_a", "sig_b") >= least_agreement())
-    rest = rest.select("a", "b").distinct().join(met, ["a", "b"], "left_anti")
-    more = written(confirmed(rest, sets), "links")
-    release(spark, placed, sets, members)
+    families = components(met_all)
+    more = written(rest_links(families, found, hubs, sets), "links")
+    release(spark, sets, members)
     if not more.isEmpty():
         found = components(links.union(more))
     joined = known.select("digest", "doc_id").join(classes, "digest").join(found.withColumnRenamed("id", "node"), "node", "left")
@@ -193,6 +246,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that are the kept ones of their group."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    """The rows of docs, all columns, that are the kept ones of their group; rows that repeat a kept doc_id stay."""
+    gone = fresh(docs, "gone_id")
+    out = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(out, docs["doc_id"] == F.col(gone), "left_anti")
