@@ -70,7 +70,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Large-star / small-star rounds over DataFrames: each round is two aggregations with map-side
     combine, and its edges are written to the shared folder. A hub's neighbours are never gathered
-    in one task: only the minimum of a node's neighbours is aggregated and joined back.
+    in one task: only the minimum of a node's neighbours is aggregated and joined back. The joins
+    stay sort-merge, lest every round leave broadcasts in the driver's memory.
     """
     spark = edges.sparkSession
     now = written(
@@ -86,11 +87,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = (
-            both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+            both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         )
         # small star: u and its smaller neighbours go to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        small = large.join(least.hint("merge"), "u")
         after = written(
             small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").union(least.select("u", "m")).distinct(), "edges"
         )

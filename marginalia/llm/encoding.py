@@ -14,8 +14,10 @@ import re
 import sys
 from array import array
 
+from . import caches
+
 #: Words kept per worker before the cache starts afresh.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 1_000_000
 _ODD_SPACE = re.compile(r"\s\s|[^\S \n]")
 _CONTROL = re.compile(r"[\x1c-\x1f]")
 _CUTS = re.compile(r"\s*\S+|\s+")
@@ -32,6 +34,7 @@ class Words(dict):
 
     def __init__(self, own_many, spaced: bool, limit: int = CACHE_WORDS):
         self.own_many, self.spaced, self.limit = own_many, spaced, limit
+        caches.register(self)
         self.ends = dict(zip(".,", own_many([".", ","])))
 
     def values_of(self, cuts: list[str]) -> list[bytes]:
@@ -106,5 +109,7 @@ def cut_values(text, byte_level, words: Words, other: Words, direct) -> list[byt
 def encoder(path: str) -> Encoder:
     """One per worker process."""
     if path not in _encoders:
+        _encoders.clear()
         _encoders[path] = Encoder(path)
+    caches.use(_encoders[path].words, _encoders[path].other)
     return _encoders[path]

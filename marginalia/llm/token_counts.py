@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import caches
 from .common import texts
 from .encoding import Encoder, Words, cut_values
 
@@ -151,7 +152,9 @@ def chars_within(index: np.ndarray, budget: int) -> int:
 
 def counter(path: str) -> PrefixCounter:
     if path not in _counters:
+        _counters.clear()
         _counters[path] = PrefixCounter(path)
+    caches.use(_counters[path].words, _counters[path].other)
     return _counters[path]
 
 

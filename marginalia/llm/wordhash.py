@@ -9,8 +9,10 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from . import caches
+
 #: Word hashes kept per worker before the dictionary starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 P = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -23,12 +25,12 @@ class _Hashes(dict):
         return value
 
 
-_hashes = _Hashes()
+hashes = caches.register(_Hashes())
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def hashes_of(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
