@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from marginalia.sources.session import session
 
-    os.environ.setdefault("PYSPARK_SUBMIT_ARGS", "--master local[4] --driver-memory 4g pyspark-shell")
+    os.environ.setdefault("PYSPARK_SUBMIT_ARGS", "--master local[3] --driver-memory 4g pyspark-shell")
     s = session("tests", spark__sql__shuffle__partitions="4", spark__ui__enabled="false", spark__ui__showConsoleProgress="false")
     s.sparkContext.setLogLevel("ERROR")
     yield s
