@@ -319,6 +319,29 @@ def test_decontamination(spark):
     assert decontamination.find_contaminated(docs(spark, []), bench).count() == 0
 
 
+def test_decontamination_amid_rare_words():
+    """In a corpus of 15 million documents, short items of ordinary words amid words that are no features: all that brute force confirms."""
+    r = random.Random(4)
+    words = lambda n, of: [b"%s%d" % (of, r.randrange(300 if of == b"c" else 10**9)) for _ in range(n)]
+    items = [(k, b" ".join(words(n, b"c")).decode(), None) for k, n in enumerate((15, 18, 25, 40, 59, 84, 150))]
+    index = decontamination.Index(items)
+    index.choose_features([])
+    index.weigh(np.full(index.n_features, 5e6), 15_000_000)
+    index.set_basis(np.eye(index.n_features))
+    texts = []
+    for i in range(140):
+        item = items[i % 7][1].encode().split()
+        if i % 2:  # a quarter of the words dropped
+            item = [w for j, w in enumerate(item) if j % 4 != 1]
+        if i % 7 == 5:  # the tail alone
+            item = item[-60:]
+        texts.append(words(r.randint(0, 90), b"r") + item + words(r.randint(0, 90), b"r"))
+    every = [[(at, k) for at in range(0, len(t), decontamination.STRIDE) for k in range(len(index.items))] for t in texts]
+    want = [index.confirm(t, e) for t, e in zip(texts, every)]
+    assert sum(w[3] > 0 for w in want) >= 120 and all(w[3] for w in want[5::14])
+    assert [index.confirm(t, c) for t, c in zip(texts, index.search(texts))] == want
+
+
 def test_common_subsequence():
     r = random.Random(2)
     for _ in range(200):
