@@ -15,14 +15,18 @@ from pyspark.sql import functions as F
 
 from .common import fresh
 
-# The shapes of candidates, tried in this order.
+# The names that keys are assigned to.
+NAMED = r"(?i:token|secret(?:[_-]?\w{0,40}key)?|passw(?:or)?d|(?:api|access|private)[_-]?key|credential)s?[\"']?\s{0,3}[:=]\s{0,3}[\"']?"
+# The shapes of candidates, tried in this order; slashed ones are sought by themselves, since they may hold others.
+# A private key goes on to its END (its headers have single dashes), or if that is cut off over the lines of its body.
 RULES = {
-    "private_key": r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----",
+    "private_key": r"-----BEGIN (?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?-----(?:(?:[^-]*-(?!----)){0,40}[^-]*-----END (?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?-----|(?:\s*[0-9A-Za-z+/=]{40,}){0,400})",
     "aws_key": r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])",
     "github_token": r"gh[pousr]_[0-9A-Za-z]{36,251}",
     "jwt": r"eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}",
-    "assigned": r"(?i:token|secret|passw(?:or)?d|api[_-]?key|credential)[\"']?\s{0,3}[:=]\s{0,3}[\"']?[^\s\"',;<>(){}]{8,}",
+    "assigned": NAMED + r"[^\s\"',;<>(){}]{8,}",
     "opaque": r"[0-9A-Za-z+=_-]{20,}",
+    "slashed": r"(?<![0-9A-Za-z+/=_-])(?=[0-9A-Za-z+=_-]*/)[0-9A-Za-z+/=_-]{20,}",
 }
 # Words of names, placeholders and prose that keys do not hold.
 DICTIONARY = ["access", "account", "address", "admin", "changeme", "client", "commit", "config", "content", "default", "document", "dummy", "example", "file", "function", "hello", "image", "index", "insert", "license", "local", "message", "module", "name", "number", "object", "option", "package", "page", "param", "password", "placeholder", "private", "public", "release", "request", "sample", "secret", "server", "service", "session", "string", "system", "test", "token", "type", "user", "value", "version", "word", "your"]
@@ -37,8 +41,8 @@ LABELLED, TREES, DEPTH = 3000, 15, 6
 FEATURES = ["length", "digits", "upper", "lower", "other", "moves", "distinct", "pairs", "words", "path", "before_for", "before_against", "quoted", "known"]
 _forests: dict[str, str] = {}
 
-CANDIDATE = "|".join(f"(?:{rule})" for rule in RULES.values())
-_ASSIGNMENT = r"^(?i:token|secret|passw(?:or)?d|api[_-]?key|credential)[\"']?\s{0,3}[:=]\s{0,3}[\"']?"
+CANDIDATE = "|".join(f"(?:{rule})" for k, rule in RULES.items() if k != "slashed")
+_ASSIGNMENT = "^" + NAMED
 
 
 def _sql(s: str) -> str:
@@ -75,6 +79,7 @@ def findings(spark: SparkSession) -> DataFrame:
     h, u = "sha2(cast(id as string), 256)", "base64(unhex(sha2(cast(id + 7 as string), 256)))"
     w = lambda k: f"element_at(array({', '.join(repr(x) for x in DICTIONARY)}), cast(pmod(xxhash64(id, {k}), {len(DICTIONARY)}) as int) + 1)"
     prose = "concat_ws('', transform(sequence(1, 10), i -> element_at(array(" + ", ".join(repr(x) for x in PAIRS) + f"), cast(pmod(xxhash64(id, i), {len(PAIRS)}) as int) + 1)))"
+    slashed = f"concat(substr({u}, 1, 9), '/', substr({u}, 10, 12), '/', substr({u}, 22))"
     alnum = f"regexp_replace({u}, '[^0-9A-Za-z]', '')"
     key = "element_at(array('token', 'secret', 'password', 'api_key', 'TOKEN', 'apikey', 'credential'), cast(pmod(xxhash64(id, 3), 7) as int) + 1)"
     # candidate, before, after, secret
@@ -88,6 +93,14 @@ def findings(spark: SparkSession) -> DataFrame:
         (f"concat('eyJ', substr({alnum}, 1, 20), '.', substr({h}, 1, 30), '.', substr({alnum}, 3, 30))", "'auth bearer '", "' '", 1),
         ("'-----BEGIN RSA PRIVATE KEY-----'", f"concat({w(1)}, '\n')", "'\n'", 1),
         (f"substr({alnum}, 1, 32)", "'api_key is '", "' '", 1),
+        (f"concat('-----BEGIN PRIVATE KEY-----\n', {u}, '\n', {u}, '\n-----END PRIVATE KEY-----')", f"concat({w(1)}, '\n')", "'\n'", 1),
+        (f"concat('secret_access_key = ', substr({slashed}, 1, 40))", "'aws_'", "'\n'", 1),
+        (f"concat('SECRET_KEY=', substr({u}, 1, 16))", f"concat({w(1)}, ' ')", "'\n'", 1),
+        (f"substr({slashed}, 1, 40)", "'secret access key '", "' '", 1),
+        (f"concat('com/', {w(1)}, '/', {w(2)}, '/', {prose})", "'https://www.'", "' '", 0),
+        (f"concat('/', {w(1)}, '/', {w(2)}, '/', {prose})", f"concat({prose}, ' ')", "'.py '", 0),
+        (f"concat({prose}, '/', {prose})", f"concat({w(1)}, ' ')", "' '", 0),
+        (f"concat('com/', {w(1)}, '/2024/10/', {w(2)}, '-', {w(3)})", "'https://www.'", "' '", 0),
         (f"concat({prose}, {prose})", f"concat({w(1)}, ' ')", "' '", 0),
         (f"concat(upper(left({prose}, 1)), substr({prose}, 2))", f"concat({prose}, ' ')", "'. '", 0),
         (f"substr({h}, 1, 40)", "'commit '", "' '", 0),
@@ -138,7 +151,7 @@ def kind(candidate: str) -> str:
 
 def scored(docs: DataFrame, column: str) -> DataFrame:
     """docs with an array, column, of its distinct candidates: start (1-based, of the first occurrence), value, kind, score."""
-    hits = docs.withColumn(column, F.expr(f"coalesce(array_distinct(regexp_extract_all(text, {_sql(CANDIDATE)}, 0)), array())"))
+    hits = docs.withColumn(column, F.expr(f"coalesce(array_distinct(concat(regexp_extract_all(text, {_sql(CANDIDATE)}, 0), regexp_extract_all(text, {_sql(RULES['slashed'])}, 0))), array())"))
     placed = f"transform({column}, c -> named_struct('value', c, 'start', locate(c, text)))"
     hits = hits.withColumn(column, F.expr(placed))
     around = (

@@ -382,6 +382,21 @@ def test_secrets(spark):
     assert secrets.find_secrets(docs(spark, [])).count() == 0
 
 
+def test_secrets_of_other_shapes(spark):
+    body = "\n".join(hashlib.sha256(b"%d" % k).hexdigest() for k in range(9))
+    aws = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ4tE9aWLm"
+    rows = [(k, f"a\n-----BEGIN {name}-----\n{head}{body}\n-----END {name}-----\nz") for k, (name, head) in enumerate((("PRIVATE KEY", ""), ("RSA PRIVATE KEY", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,00\n\n"), ("PGP PRIVATE KEY BLOCK", "Version: 1\n\n")))]
+    rows += [(3, f"aws_secret_access_key = {aws} z"), (4, "SECRET_KEY=aK9x/Q2mT7vLp4Zr z"), (5, f"the secret access key {aws} z")]
+    clean = [(6, "see https://www.example.com/release/document/thenatedinreouch z"), (7, "in /package/module/thenatedinreouch.py z")]
+    df = docs(spark, rows + clean)
+    masked = {r["doc_id"]: r["text"] for r in secrets.mask_secrets(df).collect()}
+    assert [masked[k] for k in range(3)] == ["a\n[SECRET]\nz"] * 3
+    assert [masked[k] for k in (3, 4, 5)] == ["aws_secret_access_key = [SECRET] z", "SECRET_KEY=[SECRET] z", "the secret access key [SECRET] z"]
+    assert all(masked[k] == t for k, t in clean)
+    keys = [r["value_sha256"] for r in secrets.find_secrets(df).where("kind = 'private_key'").collect()]
+    assert len(set(keys)) == 3
+
+
 def test_secrets_forest_accuracy(spark):
     rows = secrets.findings(spark)
     got = rows.select("secret", F.expr(secrets.features("candidate", "before", "after")).alias("f")).withColumn("p", F.expr(secrets.forest(spark, "f")))
