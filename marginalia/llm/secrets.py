@@ -149,11 +149,18 @@ def kind(candidate: str) -> str:
     return "case " + " ".join(f"when {candidate} rlike {_sql('^(?:' + rule + ')')} then '{k}'" for k, rule in RULES.items()) + " end"
 
 
+def _places(rule: str) -> str:
+    """SQL for an array of the matches of rule in text, each with its start; what lies between matches has the lengths that lead to it."""
+    cut = f"named_struct('values', regexp_extract_all(text, {_sql(rule)}, 0), 'gaps', split(text, {_sql(rule)}, -1))"
+    step = "named_struct('at', s.at + length(c.gap) + length(c.value), 'all', concat(s.all, array(named_struct('value', c.value, 'start', s.at + length(c.gap)))))"
+    none = "cast(array() as array<struct<value: string, start: int>>)"
+    pairs = "transform(m.values, (v, i) -> named_struct('value', v, 'gap', m.gaps[i]))"
+    return f"flatten(transform(array({cut}), m -> aggregate({pairs}, named_struct('at', 1, 'all', {none}), (s, c) -> {step}, s -> s.all)))"
+
+
 def scored(docs: DataFrame, column: str) -> DataFrame:
-    """docs with an array, column, of its distinct candidates: start (1-based, of the first occurrence), value, kind, score."""
-    hits = docs.withColumn(column, F.expr(f"coalesce(array_distinct(concat(regexp_extract_all(text, {_sql(CANDIDATE)}, 0), regexp_extract_all(text, {_sql(RULES['slashed'])}, 0))), array())"))
-    placed = f"transform({column}, c -> named_struct('value', c, 'start', locate(c, text)))"
-    hits = hits.withColumn(column, F.expr(placed))
+    """docs with an array, column, of its candidates by occurrence: start (1-based), value, kind, score."""
+    hits = docs.withColumn(column, F.expr(f"coalesce(concat({_places(CANDIDATE)}, {_places(RULES['slashed'])}), array())"))
     around = (
         f"transform({column}, c -> named_struct('value', c.value, 'start', c.start, "
         f"'before', substr(text, greatest(c.start - {NEIGHBOURS}, 1), least(c.start - 1, {NEIGHBOURS})), "
@@ -165,10 +172,11 @@ def scored(docs: DataFrame, column: str) -> DataFrame:
 
 
 def find_secrets(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """A row per document and distinct candidate: doc_id, start, length, kind, value_sha256, score, is_secret (score >= threshold).
+    """A row per document and occurrence of a candidate: doc_id, start, length, kind, value_sha256, score, is_secret (score >= threshold).
 
     Null and empty texts have none. Rows keep their multiplicity; a null doc_id is carried; other
-    columns are dropped. A value that recurs in a text is judged where it is first.
+    columns are dropped. A value that recurs in a text is judged by the words beside it at each place.
+    A slashed candidate may lie in another or hold one.
     """
     rows = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "_found")
     # outer: else Spark would infer a filter on the array's size and scan every text twice
@@ -177,9 +185,9 @@ def find_secrets(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def mask_secrets(docs: DataFrame, threshold: float = 0.5, mask: str = "[SECRET]") -> DataFrame:
-    """docs, all columns and rows, with every occurrence of its secrets in text masked; n_chars, if there, follows the text."""
+    """docs, all columns and rows, with every occurrence in text of a value that is a secret at any place masked; n_chars, if there, follows the text."""
     found = fresh(docs, "_found")
-    rows = scored(docs, found).withColumn(found, F.expr(f"transform(filter({found}, c -> c.score >= {threshold}D), c -> regexp_replace(c.value, {_sql(_ASSIGNMENT)}, ''))"))
+    rows = scored(docs, found).withColumn(found, F.expr(f"array_distinct(transform(filter({found}, c -> c.score >= {threshold}D), c -> regexp_replace(c.value, {_sql(_ASSIGNMENT)}, '')))"))
     # longer ones first, lest a part of one be masked
     rows = rows.withColumn("text", F.expr(f"aggregate(array_sort({found}, (a, b) -> length(b) - length(a)), text, (t, s) -> replace(t, s, '{mask}'))"))
     if "n_chars" in docs.columns:

@@ -397,6 +397,18 @@ def test_secrets_of_other_shapes(spark):
     assert len(set(keys)) == 3
 
 
+def test_secrets_by_occurrence(spark):
+    key = hashlib.sha1(b"k").hexdigest()
+    filler = " and so on with the words of another sentence that is long "
+    text = f"x{key}y 😀 commit {key}{filler}api_key is {key} end"
+    df = docs(spark, [(1, text), (2, f"api_key is {key}{filler}api_key is {key}{filler}")])
+    found = [(r["doc_id"], r["start"], r["is_secret"]) for r in secrets.find_secrets(df).orderBy("doc_id", "start").collect() if r["length"] == len(key)]
+    assert [f[:2] for f in found] == [(1, text.index("commit") + 8), (1, text.index("api_key") + 12), (2, 12), (2, 12 + len(key + filler) + 11)]
+    assert [f[2] for f in found] == [False, True, True, True]
+    masked = {r["doc_id"]: r["text"] for r in secrets.mask_secrets(df).collect()}
+    assert key not in masked[1] and key not in masked[2]
+
+
 def test_secrets_forest_accuracy(spark):
     rows = secrets.findings(spark)
     got = rows.select("secret", F.expr(secrets.features("candidate", "before", "after")).alias("f")).withColumn("p", F.expr(secrets.forest(spark, "f")))
