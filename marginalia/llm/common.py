@@ -12,14 +12,24 @@ from pyspark.sql import functions as F
 from ..sources.session import ship_package
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: Bytes of the rows that a Python worker gets at once; Spark's own bound is far above what a small executor can hold of several.
+ARROW_BYTES = 8 << 20
+
+
+def prepared(spark: SparkSession) -> None:
+    """Workers get the package, and rows in batches of bounded bytes."""
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepared(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text, of their types, and the columns named more; whatever else docs has goes."""
-    ship_package(docs.sparkSession)
+    prepared(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
@@ -40,12 +50,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written to the shared folder and read again: lineage ends here, so a lost executor costs a re-read."""
+def few(df: DataFrame, waves: int = 4) -> DataFrame:
+    """df in so many partitions for each core at most, by running several in one task, one after another.
+
+    Files then number a few for each core, whatever the number of partitions before. Memory is that
+    of one partition at a time.
+    """
+    return df.coalesce(max(1, waves * df.sparkSession.sparkContext.defaultParallelism))
+
+
+def written(df: DataFrame, name: str, waves: int = 4) -> DataFrame:
+    """df as a table written to the shared folder and read again: lineage ends here, so a lost executor costs a re-read. waves: files for each core at most."""
     spark = df.sparkSession
-    ship_package(spark)
+    prepared(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    few(df, waves).write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
@@ -65,41 +84,38 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of undirected edges: rows (id, component), component the smallest id reachable; ids without edges are absent.
+def _settled(edges: DataFrame) -> bool:
+    """Whether edges (g, u, v) are stars: each u once, and no v is a u."""
+    ends = edges.select("g", F.col("u").alias("id"), F.lit(1).alias("leaf"), F.lit(0).alias("centre"))
+    ends = ends.union(edges.select("g", F.col("v").alias("id"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")))
+    return ends.groupBy("g", "id").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre")).where("leaf + centre > 1").isEmpty()
 
-    Large-star / small-star rounds over DataFrames: each round is two aggregations with map-side
-    combine, and its edges are written to the shared folder. A hub's neighbours are never gathered
-    in one task: only the minimum of a node's neighbours is aggregated and joined back. The joins
-    stay sort-merge, lest every round leave broadcasts in the driver's memory.
-    """
-    spark = edges.sparkSession
-    now = written(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "edges"
-    )
 
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def components(edges: DataFrame, a: str = "a", b: str = "b", graph: str | None = None) -> DataFrame:
+    """Connected components of undirected edges: rows (g, id, component), component the smallest id reachable; ids without edges are absent.
+
+    graph names a column that tells several graphs apart, g in the result (0 without one).
 
-    seen = mark(now)
-    while seen[0]:
+    Large-star / small-star rounds over DataFrames until only stars are left: each round is two
+    aggregations with map-side combine, and its edges are written to the shared folder. A hub's
+    neighbours are never gathered in one task: only the minimum of a node's neighbours is
+    aggregated and joined back. The joins stay sort-merge, lest every round leave broadcasts in the
+    driver's memory.
+    """
+    spark = edges.sparkSession
+    g = F.col(graph) if graph else F.lit(0)
+    now = written(edges.select(g.cast("int").alias("g"), F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "edges", 1)
+    while not _settled(now):
         # large star: every larger neighbour of u goes to the least of u and its neighbours
-        both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = (
-            both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        )
+        both = now.union(now.select("g", "v", "u"))
+        least = both.groupBy("g", "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least.hint("merge"), ["g", "u"]).where("v > u").select("g", F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         # small star: u and its smaller neighbours go to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least.hint("merge"), "u")
-        after = written(
-            small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").union(least.select("u", "m")).distinct(), "edges"
-        )
-        before, now = now, after
-        was, seen = seen, mark(now)
-        release(spark, before)
-        if was == seen:
-            break
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
-        now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+        least = large.groupBy("g", "u").agg(F.min("v").alias("m"))
+        small = large.join(least.hint("merge"), ["g", "u"]).select("g", F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
+        after = written(small.union(least.select("g", "u", "m")).distinct(), "edges", 1)
+        release(spark, now)
+        now = after
+    return now.select("g", F.col("u").alias("id"), F.col("v").alias("component")).union(
+        now.select("g", F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import few, texts
 from .encoding import encoder
 
 CAPACITY, OPEN_BINS, END_ID = 2048, 4096, 0
@@ -78,14 +78,15 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, op
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = memoryview(code.encode(text.as_py()) + end)
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    piece = ids[at : at + 4 * capacity]
-                    rows.append((len(piece) // 4, name, k, at // 4, zlib.crc32(piece)))
+            for name, ids in zip(batch.column(0).to_pylist(), code.encode_all(batch.column(1))):
+                last = len(ids) // (4 * capacity)  # the piece that has the end id
+                for k in range(last):
+                    rows.append((capacity, name, k, k * capacity, zlib.crc32(ids[4 * k * capacity : 4 * (k + 1) * capacity])))
+                rest = ids[4 * last * capacity :]
+                rows.append((len(rest) // 4 + 1, name, last, last * capacity, zlib.crc32(end, zlib.crc32(rest))))
             rows.sort(key=lambda r: -r[0])
             placed = [bins.place(r[0]) for r in rows]
             columns = [[r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], [r[0] for r in rows], [r[4] for r in rows], [p[0] for p in placed], [p[1] for p in placed]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, ARROW.types)], schema=ARROW)
 
-    return texts(docs).mapInArrow(run, SCHEMA)
+    return few(texts(docs)).mapInArrow(run, SCHEMA)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .common import table
+from .common import few, table
 
 
 def tokenizer(name: str) -> str:
@@ -72,7 +72,11 @@ def op10_secrets(spark, sf_dir):
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_toxicity, op3_token_counts, op4_decontamination, op5_minhash, op6_embeddings, op7_language, op8_substring, op9_packing, op10_secrets)}
+def _few(query):
+    return lambda spark, sf_dir: few(query(spark, sf_dir))
+
+
+QUERIES = {f.__name__: _few(f) for f in (op1_token_store, op2_toxicity, op3_token_counts, op4_decontamination, op5_minhash, op6_embeddings, op7_language, op8_substring, op9_packing, op10_secrets)}
 
 #: Words as the contracts have them: runs of other than 0x20 and 0x09 to 0x0D.
 _WORDS = r"regexp_extract_all({t}, '[^\x20\x09-\x0D]+')"

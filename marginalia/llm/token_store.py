@@ -106,33 +106,32 @@ def write_tokens(docs: DataFrame, tokenizer: str, segment_ids: int = SEGMENT_IDS
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        code, part, seg = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        code, part, seg = encoder(tokenizer), 0, 0
         end = np.array([END_ID], "<u4").tobytes()
-        names, encoded, total = [], [], 0
+        names, encoded, sizes, total = [], [], [0], 0
 
         def flush():
             ids = np.frombuffer(b"".join(encoded), "<u4")
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in encoded])])
-            row = [[part], [seg], [names], [len(ids)], [pack(ids, offsets)]]
+            row = [[part], [seg], [names], [len(ids)], [pack(ids, np.array(sizes))]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, ARROW.types)], schema=ARROW)
 
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = code.encode(text.as_py()) + end
-                if encoded and total + len(ids) // 4 > segment_ids:
+            part = batch.column(2)[0].as_py() if batch.num_rows else part
+            for name, ids in zip(batch.column(0).to_pylist(), code.encode_all(batch.column(1))):
+                n = len(ids) // 4 + 1
+                if encoded and total + n > segment_ids:
                     yield flush()
-                    names, encoded, total, seg = [], [], 0, seg + 1
+                    names, encoded, sizes, total, seg = [], [], [0], 0, seg + 1
                 names.append(name)
-                encoded.append(ids)
-                total += len(ids) // 4
+                encoded += [ids, end]
+                total += n
+                sizes.append(total)
         if encoded:
             yield flush()
 
     dealt = texts(docs)
     dealt = dealt.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    return written(dealt.mapInArrow(encode, SEGMENTS), "tokens")
+    return written(dealt.withColumn("part", F.spark_partition_id()).mapInArrow(encode, SEGMENTS), "tokens")
 
 
 ARROW = pa.schema([("part", pa.int32()), ("seg", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("codes", pa.binary())])
