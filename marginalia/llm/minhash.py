@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -113,8 +114,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     caches.use(hashes)
     for batch in batches:
-        sets = [shingles(t.as_py()).view(np.int64) for t in batch.column(1)]
-        offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        sets = [np.zeros(0, np.int64), *[shingles(t.as_py()).view(np.int64) for t in batch.column(1)]]
+        offsets = np.cumsum([len(s) for s in sets]).astype(np.int32)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], names=["doc_id", "shingles"])
 
 
@@ -146,41 +147,47 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * shared >= PERCENT * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b").distinct()
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between members of a block pair that are in different components."""
-    for batch in batches:
-        left, right = [], []
-        for i in range(batch.num_rows):
-            ids, comp, side = (batch.column(c).slice(i, 1).flatten().to_numpy(zero_copy_only=False) for c in (0, 1, 2))
-            order = np.argsort(side, kind="stable")
-            a, b = (order[side[order] == s] for s in (0, 1))
-            a, b = (a, b) if len(b) else (a, a)
-            sig = batch.column(3).slice(i, 1).flatten().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), -1)
-            lists = batch.column(4).slice(i, 1).flatten()
-            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            agree = np.zeros((len(a), len(b)), np.int64)
-            for k in range(sig.shape[1]):
-                x, step = sig[a, k][:, None] ^ sig[b, k][None, :], 1
-                while step < BITS:
-                    x |= x >> np.uint64(step)
-                    step *= 2
-                agree += 64 // BITS - np.bitwise_count(x & np.uint64(_ONES)).astype(np.int64)
-            size = np.diff(ends)
-            near = (agree >= least_agreement()) & (comp[a][:, None] != comp[b][None, :])
-            near &= 100 * np.minimum(size[a][:, None], size[b][None, :]) >= PERCENT * np.maximum(size[a][:, None], size[b][None, :])
-            for p, q in zip(*(n.tolist() for n in np.nonzero(near))):
-                x, y = a[p], b[q]
-                both = np.concatenate([flat[ends[x] : ends[x + 1]], flat[ends[y] : ends[y + 1]]])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                if 100 * shared >= PERCENT * (len(both) - shared):
-                    left.append(min(ids[x], ids[y]))
-                    right.append(max(ids[x], ids[y]))
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _across(group: pa.Table) -> pa.Table:
+    """Links between members of a block pair that are in different components; sides 0 and 1, or one side alone."""
+    group = group.combine_chunks()
+    ids, comp, side = (group.column(c).to_numpy() for c in ("node", "component", "side"))
+    lists = lambda name: group.column(name).chunk(0)
+    left, right = [], []
+    if len(ids) > 1:
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        a, b = (a, b) if len(a) and len(b) else (np.arange(len(ids)),) * 2
+        sig = lists("signature").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), -1)
+        ends, flat = np.concatenate([[0], np.cumsum(pc.list_value_length(lists("shingles")).to_numpy(zero_copy_only=False))]), lists("shingles").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        agree = np.zeros((len(a), len(b)), np.int64)
+        for k in range(sig.shape[1]):
+            x, step = sig[a, k][:, None] ^ sig[b, k][None, :], 1
+            while step < BITS:
+                x |= x >> np.uint64(step)
+                step *= 2
+            agree += 64 // BITS - np.bitwise_count(x & np.uint64(_ONES)).astype(np.int64)
+        size = np.diff(ends)
+        near = (agree >= least_agreement()) & (comp[a][:, None] != comp[b][None, :])
+        near &= 100 * np.minimum(size[a][:, None], size[b][None, :]) >= PERCENT * np.maximum(size[a][:, None], size[b][None, :])
+        for p, q in zip(*(n.tolist() for n in np.nonzero(near))):
+            x, y = a[p], b[q]
+            both = np.concatenate([flat[ends[x] : ends[x + 1]], flat[ends[y] : ends[y + 1]]])
+            both.sort()
+            shared = int((both[1:] == both[:-1]).sum())
+            if 100 * shared >= PERCENT * (len(both) - shared):
+                left.append(min(ids[x], ids[y]))
+                right.append(max(ids[x], ids[y]))
+    return pa.table([pa.array(left, pa.int64()), pa.array(right, pa.int64())], schema=LINKS)
 
 
 def rest_links(families: DataFrame, found: DataFrame, hubs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between components of a family, other than those inside its largest component."""
+    """Links (a, b) between components of a family, other than those inside its largest component.
+
+    A block pair is a group of its own, sorted by Spark and handed to Python by itself, so memory
+    holds one: about 2 * BLOCK sets.
+    """
     placed = families.select(F.col("id").alias("node"), F.col("component").alias("family")).join(found.withColumnRenamed("id", "node"), "node", "left")
     placed = placed.withColumn("component", F.coalesce("component", "node"))
     per = placed.groupBy("family", "component").agg(F.count("*").alias("n"))
@@ -188,17 +195,16 @@ def rest_links(families: DataFrame, found: DataFrame, hubs: DataFrame, sets: Dat
     per = per.where("total > top.n").select("family", (-F.col("top.col2")).alias("main"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("main_blocks"), F.ceil((F.col("total") - F.col("top.n")) / BLOCK).cast("int").alias("rest_blocks"))
     rows = placed.join(per, "family").withColumn("rest", F.col("component") != F.col("main"))
     own = F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.col("rest_blocks")).otherwise(F.col("main_blocks"))).cast("int")
-    rows = rows.withColumn("own", own)
+    rows = rows.withColumn("own", own).join(hubs.select("node", "signature"), "node").join(sets.select(F.col("doc_id").alias("node"), "shingles"), "node")
     upto = lambda n: F.sequence(F.lit(0), n - 1)
     place = lambda i, j, main, side: F.struct(i.alias("i"), j.alias("j"), F.lit(main).alias("main"), side.cast("int").alias("side"))
     own = F.col("own")
     with_rest = F.transform(upto(F.col("rest_blocks")), lambda k: place(F.least(own, k), F.greatest(own, k), False, own > k))
     with_main = F.transform(upto(F.col("main_blocks")), lambda k: place(own, k, True, F.lit(0)))
     of_main = F.transform(upto(F.col("rest_blocks")), lambda k: place(k, own, True, F.lit(1)))
-    rows = rows.select("family", "node", "component", F.explode(F.when(F.col("rest"), F.concat(with_rest, with_main)).otherwise(of_main)).alias("at"))
-    rows = rows.join(hubs.select("node", "signature"), "node").join(sets.select(F.col("doc_id").alias("node"), "shingles"), "node")
-    blocks = rows.groupBy("family", "at.main", "at.i", "at.j").agg(F.collect_list(F.struct("node", "component", "at.side", "signature", "shingles")).alias("m")).where(F.size("m") > 1)
-    return blocks.select("m.node", "m.component", "m.side", "m.signature", "m.shingles").mapInArrow(_across, "a bigint, b bigint").distinct()
+    rows = rows.withColumn("at", F.explode(F.when(F.col("rest"), F.concat(with_rest, with_main)).otherwise(of_main)))
+    rows = rows.select("family", "at.main", "at.i", "at.j", "at.side", "node", "component", "signature", "shingles")
+    return rows.groupBy("family", "main", "i", "j").applyInArrow(_across, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -206,7 +212,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Null, empty and blank texts have no shingles and stand alone. A null doc_id stands alone too,
     with a null component, and is kept. Rows that repeat a doc_id are one node, whose links are
-    those of any of its texts. Other columns are dropped.
+    those of any of its texts. Other columns are dropped. A link is found if the two texts agree in
+    a band: at the threshold that fails for one pair in 200,000, rarer above it.
     """
     spark = docs.sparkSession
     docs = texts(docs)
@@ -214,37 +221,48 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = sketches.where("doc_id is not null and n_shingles > 0")
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("node"))
     nodes = known.join(classes, ["digest"]).where("doc_id = node").select("node", "signature", "bands").dropDuplicates(["node", "signature"])
-    nodes = written(nodes, "nodes")
-    keys = nodes.select("node", F.explode("bands").alias("key"))
-    crowded = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = keys.join(crowded, "key")
-    members = written(members.join(nodes.select("node", "signature"), "node"), "members")
+    nodes = written(nodes, "nodes", 2)
+    crowded = nodes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = written(nodes.select("node", F.explode("bands").alias("key")).join(crowded, "key"), "members", 2)
+    hubs = members.groupBy("node").agg(F.sum("n").alias("hub")).join(nodes.select("node", "signature"), "node")
+    hubs = written(hubs.dropDuplicates(["node"]), "hubs", 1)
     release(spark, nodes)
-    hubs = members.groupBy("node").agg(F.sum("n").alias("hub"), F.first("signature").alias("signature"))
     ranked = members.select("key", "node").join(hubs.select("node", "hub"), "node")
     pivots = ranked.groupBy("key").agg(F.max(F.struct("hub", -F.col("node"))).alias("top")).select("key", (-F.col("top.col2")).alias("pivot"))
     met = members.select("key", "node").join(pivots, "key").where("node <> pivot")
-    met_all = written(met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "met")
-    met = met_all.join(hubs.select(F.col("node").alias("a"), F.col("signature").alias("sig_a")), "a")
+    met = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    met = met.join(hubs.select(F.col("node").alias("a"), F.col("signature").alias("sig_a")), "a")
     met = met.join(hubs.select(F.col("node").alias("b"), F.col("signature").alias("sig_b")), "b")
-    met = written(met.where(agreeing("sig_a", "sig_b") >= least_agreement()).select("a", "b").distinct(), "pairs")
-    sets = docs.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = written(sets.mapInArrow(_sets, SETS), "sets")
-    release(spark)
-    links = written(confirmed(met, sets), "links")
-    release(spark)
-    found = components(links)
-    families = components(met_all)
-    more = written(rest_links(families, found, hubs, sets), "links")
-    release(spark, sets, members)
+    met = written(met.select("a", "b", (agreeing("sig_a", "sig_b") >= least_agreement()).alias("near")).distinct(), "met", 1)
+    release(spark, members)
+    # a merge at every size: the documents that met others grow with the input
+    sets = docs.join(hubs.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
+    sets = written(sets.mapInArrow(_sets, SETS), "sets", 2)
+    links = confirmed(met.where("near").select("a", "b").distinct(), sets)
+    # both graphs at once: families by what met, components by what is linked
+    both = met.select(F.lit(0).alias("graph"), "a", "b").union(links.select(F.lit(1).alias("graph"), "a", "b"))
+    of_both = components(both, graph="graph")
+    release(spark, met)
+    families, found = of_both.where("g = 0").drop("g"), of_both.where("g = 1").drop("g")
+    more = written(rest_links(families, found, hubs, sets), "links", 1)
+    release(spark, sets, hubs)
     if not more.isEmpty():
-        found = components(links.union(more))
-    joined = known.select("digest", "doc_id").join(classes, "digest").join(found.withColumnRenamed("id", "node"), "node", "left")
-    of_row = joined.groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
+        found = joined(found, more)
+    joined_rows = known.select("digest", "doc_id").join(classes, "digest").join(found.withColumnRenamed("id", "node"), "node", "left")
+    of_row = joined_rows.groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
     out = sketches.select("doc_id", "n_shingles").join(of_row, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def joined(found: DataFrame, more: DataFrame) -> DataFrame:
+    """Components (id, component) with the links (a, b) added: only components are joined, not their members anew."""
+    of = lambda end: found.select(F.col("id").alias(end), F.col("component").alias(f"of_{end}"))
+    ends = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    moved = written(components(ends).select(F.col("id").alias("component"), F.col("component").alias("to")), "components", 1)
+    alone = moved.select(F.col("component").alias("id"), F.col("to").alias("component")).join(found.select("id"), "id", "left_anti")
+    return found.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component")).union(alone)
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that are the kept ones of their group; rows that repeat a kept doc_id stay."""
     gone = fresh(docs, "gone_id")

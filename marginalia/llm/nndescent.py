@@ -119,7 +119,7 @@ def merged(old: DataFrame | None, new: DataFrame, growth: int, threshold: float)
     rows = rows.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.max("was").alias("was"))
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v")))
     kept = (F.col("rank") <= NEIGHBOURS) | ((F.col("sim") >= threshold) & (F.col("rank") <= NEIGHBOURS << growth))
-    return written(rows.where(kept).select("u", "v", "sim", "was"), "lists")
+    return written(rows.where(kept).select("u", "v", "sim", "was"), "lists", 2)
 
 
 def link_edges(lists: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -206,7 +206,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, log: list | N
     usable = usable.where(F.size("embedding") == dim)
     unit = F.transform("embedding", lambda x: x / F.col("norm"))
     classes = usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"), F.first("norm").alias("norm"))
-    nodes = written(classes.select("node", "label", "n", unit.alias("unit"), unit.cast("array<float>").alias("vector")), "vectors")
+    nodes = written(classes.select("node", "label", "n", unit.alias("unit"), unit.cast("array<float>").alias("vector")), "vectors", 2)
     largest = nodes.groupBy("label").count().agg(F.max("count")).first()[0]
     lists = None
     for attempt in range(TRIES):
@@ -218,7 +218,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, log: list | N
             lists = now
             if new <= QUIET * size:
                 break
-        found = components(link_edges(lists, nodes, threshold))
+        found = components(link_edges(lists, nodes, threshold)).drop("g")
         recall = audited(nodes, found, threshold)
         if log is not None:
             log.append(recall)
