@@ -1,16 +1,18 @@
 """Language by cross-parsing: how few phrases of a language's labelled text a document needs.
 
-Per language a suffix automaton of its sample is built; a text is read left to right, and a phrase
-ends where the automaton has no way on, that is, at the longest match from its start. The language
-with the fewest phrases per symbol wins. The automata are dense tables (state, symbol) -> state,
-and the texts of a batch advance together, one symbol of every text at a time, so a step is a few
-vector operations. Long texts are cut into lanes of LANE symbols that parse side by side; each
-lane begins a phrase of its own, in every language alike, and all of a text is read.
+Per language a suffix automaton of its sample is built, over the bytes of UTF-8, so that every
+script has its letters. A text is read left to right, and a phrase ends where the automaton has no
+way on, that is, at the longest match from its start. The language with the fewest phrases per
+symbol wins. The automata are dense tables (state, symbol) -> state, and the texts of a batch
+advance together, one symbol of every text at a time, so a step is a few vector operations.
+
+Long texts are cut into lanes that are parsed side by side, each as if a phrase began with it, and
+then corrected: the parse of the lane before goes on into the lane until both begin a phrase at
+one place, from where they are the same. The phrases are those of one parse from left to right.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import texts
 
-#: The bounds of what is learned from: documents of each language, characters of each document, languages.
-SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGUAGES = 150, 240, 200
-LANE, SYMBOLS = 512, 48
+#: The bounds of what is learned from, in whole rows: documents of each language, their bytes, and bytes of all languages; documents up to SHORT bytes come first.
+SAMPLE_DOCS, SAMPLE_BYTES, ALL_BYTES, SHORT = 150, 60_000, 800_000, 600
+#: Symbols that are parsed side by side.
+LANE = 512
 UNDETERMINED = "und"
 _letter = regex.compile(r"\p{L}")
 _models: dict[int, "Model"] = {}
@@ -64,65 +67,88 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 class Model:
-    """samples: language -> prepared texts. Symbols: 0 white space, 1 rare letters, the others by frequency."""
+    """samples: language -> prepared texts."""
 
     def __init__(self, samples: dict[str, list[str]]):
         self.languages = sorted(samples)
-        letters = Counter(c for texts in samples.values() for t in texts for c in t if c != " ")
-        common = sorted(letters, key=lambda c: (-letters[c], c))[: SYMBOLS - 2]
-        self.symbol = np.ones(0x3000, np.uint8)
-        self.symbol[ord(" ")] = 0
-        self.beyond = {}
-        for k, c in enumerate(common):
-            if ord(c) < 0x3000:
-                self.symbol[ord(c)] = k + 2
-            else:
-                self.beyond[ord(c)] = k + 2
-        self.tables = [self.table(samples[lang]) for lang in self.languages]
-
-    def symbols(self, text: str) -> np.ndarray:
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-        out = self.symbol[np.minimum(codes, 0x2FFF)]
-        high = codes >= 0x3000
-        if high.any():
-            out[high] = [self.beyond.get(c, 1) for c in codes[high].tolist()]
-        return out
-
-    def table(self, texts: list[str]) -> np.ndarray:
-        """Entries 2 * state, plus 1 where a new phrase begins with the symbol."""
-        states = suffix_automaton(self.symbols(" ".join(texts)).tolist())
-        root = np.full(SYMBOLS, 1, np.int32)
+        self.tables = [self.table(" ".join(samples[lang]).encode("utf-8", "replace")) for lang in self.languages]
+
+    @staticmethod
+    def table(sample: bytes) -> tuple[np.ndarray, int, np.ndarray]:
+        """The symbol of each byte (the last for those that the sample lacks), their number, and entries 2 * state, plus 1 where a new phrase begins with the symbol."""
+        letters = sorted(set(sample))
+        symbol = np.full(256, len(letters), np.int32)
+        symbol[letters] = np.arange(len(letters))
+        size = len(letters) + 1
+        states = suffix_automaton(symbol[list(sample)].tolist())
+        root = np.full(size, 1, np.int32)
         for c, s in states[0].items():
             root[c] = 2 * s + 1
         out = np.tile(root, (len(states), 1))
-        for k, nexts in enumerate(states):
+        for k, nexts in enumerate(states[1:], 1):  # at the root a phrase always begins
             for c, s in nexts.items():
                 out[k, c] = 2 * s
-        return out.ravel()
+        return symbol, size, out.ravel()
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases (text, language) and symbols of prepared texts."""
-        symbols = [self.symbols(t) for t in texts]
-        sizes = np.array([len(s) for s in symbols], np.int64)
-        lanes = [(i, s[at : at + LANE]) for i, s in enumerate(symbols) for at in range(0, len(s), LANE)]
-        lanes.sort(key=lambda x: -len(x[1]))
+        data = [np.frombuffer(t.encode("utf-8", "replace"), np.uint8) for t in texts]
+        sizes = np.array([len(s) for s in data], np.int64)
+        lanes = [(i, k, s[k * LANE : (k + 1) * LANE]) for i, s in enumerate(data) for k in range(-(-len(s) // LANE))]
+        lanes.sort(key=lambda x: -len(x[2]))
         counts = np.zeros((len(texts), len(self.languages)), np.int64)
         if not lanes:
             return counts, sizes
-        owner, long = np.array([i for i, _ in lanes]), np.array([len(s) for _, s in lanes])
-        grid = np.zeros((long[0], len(lanes)), np.int32)
-        for k, (_, s) in enumerate(lanes):
+        owner, long = np.array([i for i, *_ in lanes]), np.array([len(s) for *_, s in lanes])
+        grid = np.zeros((long[0], len(lanes)), np.uint8)
+        for k, (*_, s) in enumerate(lanes):
             grid[: len(s), k] = s
+        at = {(i, k): n for n, (i, k, _) in enumerate(lanes)}
+        before = np.array([at.get((i, k - 1), -1) for i, k, _ in lanes])
         active = np.searchsorted(-long, -np.arange(1, long[0] + 1), side="right")
-        for lang, table in enumerate(self.tables):
-            state, found = np.zeros(len(lanes), np.int32), np.zeros(len(lanes), np.int32)
-            for t, n in enumerate(active.tolist()):
-                step = table[state[:n] * SYMBOLS + grid[t, :n]]
-                found[:n] += step & 1
-                state[:n] = step >> 1
-            counts[:, lang] = np.bincount(owner, found + 1, len(texts)).astype(np.int64)
+        for lang, (symbol, size, table) in enumerate(self.tables):
+            counts[:, lang] = np.bincount(owner, self.parsed(symbol[grid], size, table, active, before, long), len(texts)).astype(np.int64)
         return counts, sizes
 
+    @staticmethod
+    def parsed(symbols: np.ndarray, size: int, table: np.ndarray, active: np.ndarray, before: np.ndarray, long: np.ndarray) -> np.ndarray:
+        """How many phrases begin in each lane when its text is parsed as one."""
+        lanes = len(before)
+        state, found, begins = np.zeros(lanes, np.int32), np.zeros(lanes, np.int64), np.zeros(symbols.shape, bool)
+        for t, n in enumerate(active.tolist()):
+            step = table[state[:n] * size + symbols[t, :n]]
+            begins[t, :n] = step & 1
+            found[:n] += step & 1
+            state[:n] = step >> 1
+        alone, end = found.copy(), state.copy()
+        todo = np.flatnonzero(before >= 0)
+        while len(todo):
+            own, now, mine, other = todo, end[before[todo]], np.zeros(len(todo), np.int64), np.zeros(len(todo), np.int64)
+            late = []
+            for t in range(len(symbols)):
+                over = long[own] <= t  # the lane ended before the parses met
+                if over.any():
+                    late += [(own[over], mine[over], now[over])]
+                    own, now, mine, other = own[~over], now[~over], mine[~over], other[~over]
+                if not len(own):
+                    break
+                step = table[now * size + symbols[t, own]]
+                flag = (step & 1).astype(bool)
+                mine, now = mine + flag, step >> 1
+                other += begins[t, own]
+                met = flag & begins[t, own]
+                found[own[met]] = mine[met] + alone[own[met]] - other[met]
+                own, now, mine, other = own[~met], now[~met], mine[~met], other[~met]
+            if len(own):
+                late += [(own, mine, now)]
+            changed = []
+            for which, n, last in late:
+                found[which] = n
+                changed += which[end[which] != last].tolist()
+                end[which] = last
+            todo = np.flatnonzero(np.isin(before, changed)) if changed else np.zeros(0, np.int64)
+        return found
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         known = [bool(t) and _letter.search(t) is not None for t in texts]
         counts, sizes = self.phrases([prepared(t) if k else "" for t, k in zip(texts, known)])
@@ -138,22 +164,35 @@ class Model:
 
 
 def samples(docs: DataFrame, held_out: F.Column) -> dict[str, list[str]]:
-    """Texts to learn from: SAMPLE_DOCS documents a language, those with the least hash, SAMPLE_CHARS characters from the middle of each."""
+    """Whole texts to learn from: of each language SAMPLE_DOCS documents and SAMPLE_BYTES bytes at most, or one document; short ones first, then by hash. With many languages each has its share of ALL_BYTES."""
     labelled = docs.where(~held_out & F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
-    # about three times the documents needed pass the hash; then the least of them, so no sort sees a language whole
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 3.0 * SAMPLE_DOCS / n)))])
+    budget = min(SAMPLE_BYTES, ALL_BYTES // len(counts))
+    # several times the documents needed pass the hash; then the least of them, so no sort sees a language whole
+    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 10.0 * SAMPLE_DOCS / n)))])
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     near = labelled.withColumn("h", h).where(F.col("h") < share[F.col("lang")] * (1 << 20))
-    middle = F.greatest(F.lit(1), ((F.length("text") - SAMPLE_CHARS) / 2).cast("int") + 1)
-    near = near.select("lang", "h", "doc_id", F.substring("text", middle, SAMPLE_CHARS).alias("text"))
-    ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))).where(F.col("k") <= SAMPLE_DOCS)
+    near = near.withColumn("size", F.octet_length("text"))
+    first = Window.partitionBy("lang").orderBy(F.col("size") > SHORT, "h", "doc_id", "text")
+    ranked = near.withColumn("k", F.row_number().over(first)).where(F.col("k") <= SAMPLE_DOCS)
+    ranked = ranked.withColumn("used", F.sum("size").over(Window.partitionBy("lang").orderBy("k"))).where((F.col("used") <= budget) | (F.col("k") == 1))
     out: dict[str, list[str]] = {}
-    for r in ranked.orderBy("lang", "k").collect():
+    for r in ranked.select("lang", "k", "text").orderBy("lang", "k").collect():
         out.setdefault(r["lang"], []).append(prepared(r["text"]))
-    return out
+    return agreed({lang: texts for lang, texts in out.items() if any(texts)})
+
+
+def agreed(learned: dict[str, list[str]]) -> dict[str, list[str]]:
+    """Without the texts that a model of the other half of the texts takes for another language, unless all of a language's would go: labels may be wrong."""
+    halves = [{lang: texts[k::2] for lang, texts in learned.items() if any(texts[k::2])} for k in (0, 1)]
+    out: dict[str, list[str]] = {lang: [] for lang in learned}
+    for own, other in (halves, halves[::-1]):
+        model = Model(other)
+        for lang, texts in own.items():
+            out[lang] += [t for t, (found, _) in zip(texts, model.predict(texts)) if found == lang or lang not in other]
+    return {lang: texts or learned[lang] for lang, texts in out.items()}
 
 
 def identify(docs: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
