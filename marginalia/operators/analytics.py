@@ -27,22 +27,25 @@ def group_stats(per_work: DataFrame, group: str) -> DataFrame:
     )
 
 
-def gram_counts(rows: DataFrame, key: str, words: Column, n: int, group: str, least: int) -> DataFrame:
-    """n-grams by how many passages have them (once each), and how many groups."""
-    each = rows.select(key, group, F.explode(F.array_distinct(grams(words, n))).alias("gram"))
-    return each.groupBy("gram").agg(F.count("*").alias("passages"), F.count_distinct(group).alias("groups")).where(F.col("passages") >= least)
+def gram_counts(rows: DataFrame, key: str, words: Column, sizes: list[int], group: str, least: int) -> DataFrame:
+    """n-grams by how many passages have them (once each), how many groups, and the least passage that has it. Counted by (gram, group) first, so a gram's groups need no second shuffle of all rows."""
+    each = rows.select(key, group, F.explode(F.array_distinct(F.flatten(F.array(*[grams(words, n) for n in sizes])))).alias("gram"))
+    per_group = each.groupBy("gram", group).agg(F.count("*").alias("n"), F.min(key).alias("first"))
+    return per_group.groupBy("gram").agg(F.sum("n").alias("passages"), F.count("*").alias("groups"), F.min("first").alias("witness")).where(F.col("passages") >= least)
 
 
 def top(rows: DataFrame, k: int, by: str, tie: str) -> DataFrame:
     return rows.orderBy(F.desc(by), tie).limit(k)
 
 
-def unsuppressed(ranked: DataFrame, gram: str, n: str, share_: float = 0.9) -> list[tuple[str, int]]:
-    """Greedy pass over a ranked head (bounded by its report size): a gram inside a kept one with nearly its count goes."""
+def unsuppressed(ranked: DataFrame, gram: str, n: str, share_: float = 0.9, most: int | None = None) -> list[tuple[str, int]]:
+    """Greedy pass down a ranking until most are kept (None: to its end): a gram inside a kept one with nearly its count goes. Rows come one partition at a time."""
     kept: list[tuple[str, int]] = []
-    for r in ranked.select(gram, n).collect():
+    for r in ranked.select(gram, n).toLocalIterator():
         if not any(r[gram] in g and m >= share_ * r[n] for g, m in kept):
             kept.append((r[gram], r[n]))
+            if len(kept) == most:
+                break
     return kept
 
 
@@ -93,13 +96,16 @@ def completed(counts: DataFrame, expected: DataFrame, key: str, value: str) -> D
 def stride(rows: DataFrame, order: str, step: int) -> DataFrame:
     """Every step-th row of the order, from the first, without one global sort.
 
-    A row's place is the rows in lower ranges of order plus its place within its own range.
+    A row's place is the rows in lower ranges of order plus its place within its own range. Ranges
+    are summed in two levels, so no task sees more than those of one upper range, or the upper ones.
     """
-    spans = rows.withColumn("_range", F.floor(F.col(order) / 4096))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = spans.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    spans = rows.withColumn("_range", F.floor(F.col(order) / 4096)).withColumn("_upper", F.floor(F.col("_range") / 4096))
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = spans.groupBy("_upper", "_range").agg(F.count("*").alias("_n"))
+    uppers = sizes.groupBy("_upper").agg(F.sum("_n").alias("_n")).select("_upper", before(Window.orderBy("_upper")).alias("_lower"))
+    sizes = sizes.withColumn("_before", before(Window.partitionBy("_upper").orderBy("_range"))).join(uppers, "_upper").select("_range", (F.col("_before") + F.col("_lower")).alias("_before"))
     place = F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
-    return spans.join(sizes.select("_range", "_before"), "_range").withColumn("place", place).where(F.pmod("place", F.lit(step)) == 0).drop("_range", "_before")
+    return spans.drop("_upper").join(sizes, "_range").withColumn("place", place).where(F.pmod("place", F.lit(step)) == 0).drop("_range", "_before")
 
 
 def transitions(rows: DataFrame, partition: str, order: list[str], node: str) -> DataFrame:
@@ -115,15 +121,22 @@ def reciprocity(edges: DataFrame) -> DataFrame:
     return e.join(back, ["a", "b"], "left").agg(F.count("*").alias("edges"), F.count("_back").alias("reciprocal"), share(F.count("_back"), F.count("*")).alias("rate"))
 
 
+def numbered(rows: DataFrame, group: list[str], name: Column) -> DataFrame:
+    """rows with r, the place of each in its group by the hash of name, in parts of the hash's range: no task sorts a group."""
+    rows = rows.withColumn("_h", F.sha2(name.cast("binary"), 256)).withColumn("_part", F.substring("_h", 1, 3))
+    sizes = rows.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # 4096 parts at most
+    sizes = sizes.select(*group, "_part", before.alias("_before"))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy(*group, "_part").orderBy("_h"))
+    return rows.join(sizes, [*group, "_part"]).withColumn("r", place).drop("_h", "_part", "_before")
+
+
 def permutation_null(edges: DataFrame, trials: int, seed: str = "null") -> DataFrame:
-    """Reciprocal edges when the second ends are shuffled: per trial, by the order of a hash of trial, edge and seed."""
+    """Reciprocal edges when the second ends are shuffled: per trial, first ends by the order of a hash of the edge, second ends by one of trial, edge and seed."""
     e = edges.select("a", "b").distinct()
     t = e.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
-    name = F.concat_ws("|", F.col("trial"), "a", "b", F.lit(seed))
-    first = Window.partitionBy("trial").orderBy("a", "b")
-    shuffled = Window.partitionBy("trial").orderBy(F.sha2(name.cast("binary"), 256))
-    ranked_a = t.select("trial", "a", F.row_number().over(first).alias("r"))
-    ranked_b = t.select("trial", "b", F.row_number().over(shuffled).alias("r"))
+    ranked_a = numbered(t, ["trial"], F.concat_ws("|", "a", "b")).select("trial", "a", "r")
+    ranked_b = numbered(t, ["trial"], F.concat_ws("|", F.col("trial"), "a", "b", F.lit(seed))).select("trial", "b", "r")
     mixed = ranked_a.join(ranked_b, ["trial", "r"]).select("trial", "a", "b").distinct()
     back = mixed.select("trial", F.col("b").alias("a"), F.col("a").alias("b"))
     hits = mixed.join(back, ["trial", "a", "b"], "left_semi").groupBy("trial").agg(F.count("*").alias("reciprocal"))

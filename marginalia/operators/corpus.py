@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -79,21 +81,96 @@ def strip_switches(t: Column) -> Column:
     return F.regexp_replace(t, "__[A-Z]+__", "")
 
 
-def strip_templates(t: Column, depth: int = 6) -> Column:
-    """Templates, innermost first, to a fixed depth; {{另|a|b}} keeps its first form. Unbalanced braces eat no text."""
-    for _ in range(depth):
-        t = F.regexp_replace(t, "\\{\\{另\\|([^{}|]*)\\|[^{}]*\\}\\}", "$1")
-        t = F.regexp_replace(t, "\\{\\{[^{}]*\\}\\}", "")
-    return t
+# Templates that wrap text of the work (their first parameter stays), and those that hold commentary.
+CONTENT_TEMPLATES = ["另", "另2", "參", "参", "!", "僻字", "ProperNoun", "+", "-", "ruby", "專", "書", "標", "YL", "ul", "WavyBookMark", "別", "校", "quote", "blue", "red", "~~", "PUA", "？"]
+COMMENTARY_TEMPLATES = ["green", "deepPink", "annotate", "註", "註釋"]
+
+
+def _quoted(names: list[str]) -> str:
+    return "|".join(re.escape(n) for n in names)
+
+
+def repeated(t: Column, mark: str, step, most: int | None = None) -> Column:
+    """step applied to t once for each occurrence of mark in it (at most most times): enough for any nesting, from the inside."""
+    times = F.regexp_count(t, F.lit(mark))
+    times = F.least(times, F.lit(most)) if most else times
+    return F.when(times > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(times, F.lit(1))), t, lambda s, _: step(s))).otherwise(t)
+
+
+def strip_templates(t: Column, kept: list[str] = CONTENT_TEMPLATES) -> Column:
+    """Templates, innermost first, however deep: of those in kept the first parameter stays, others go whole. Unbalanced braces eat no text."""
+    inner = r"(?:(?!\{\{|\}\})[\s\S])*"
+    first = r"\{\{\s*(?:" + _quoted(kept) + r")\s*\|((?:\[\[[^\]]*\]\]|(?!\{\{|\}\}|\|)[\s\S])*)(?:\|" + inner + r")?\}\}"
+    return repeated(t, r"\{\{", lambda s: F.regexp_replace(F.regexp_replace(s, first, "$1"), r"\{\{\s*(?!(?:" + _quoted(kept) + r")\s*\|)" + inner + r"\}\}", ""))
+
+
+def template_counts(t: Column) -> Column:
+    """Templates that keep text, commentary templates, and all."""
+    n = lambda names: F.regexp_count(t, F.lit(r"\{\{\s*(?:" + _quoted(names) + r")\s*\|"))
+    return F.struct(n(CONTENT_TEMPLATES).alias("content"), n(COMMENTARY_TEMPLATES).alias("commentary"), F.regexp_count(t, F.lit(r"\{\{")).alias("all"))
+
+
+def strip_conversions(t: Column, passes: int = 20) -> Column:
+    """Language-conversion markers -{x}-, innermost first: flags go, of variants the last form stays."""
+    inner = r"(?:(?!-\{|\}-)[\s\S])*"
+
+    def step(s: Column) -> Column:
+        s = F.regexp_replace(s, r"-\{\s*[A-Za-z]\s*\|" + inner + r"\}-", "")
+        s = F.regexp_replace(s, r"-\{" + inner + r"\|((?:(?!-\{|\}-|\|)[\s\S])*?)\s*\}-", "$1")
+        s = F.regexp_replace(s, r"-\{(?:(?!-\{|\}-|\|)[\s\S])*:((?:(?!-\{|\}-|\||:)[\s\S])*?)\s*\}-", "$1")
+        return F.regexp_replace(s, r"-\{\s*((?:(?!-\{|\}-|\||:)[\s\S])*?)\s*\}-", "$1")
+
+    return repeated(t, r"-\{", step, passes)
 
 
-def strip_conversions(t: Column, passes: int = 4) -> Column:
-    """Language-conversion markers -{x}-, innermost first."""
-    for _ in range(passes):
-        t = F.regexp_replace(t, "-\\{([^{}|]*)\\}-", "$1")
+def decode_numeric(t: Column) -> Column:
+    """&#N; as the letter of that number; numbers of no letter stay."""
+    letter = lambda n: F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32")
+    codes = F.filter(F.array_distinct(F.regexp_extract_all(t, F.lit(r"&#(\d{1,7});"), 1)), lambda n: (n.cast("long") <= 0x10FFFF) & ~n.cast("long").between(0xD800, 0xDFFF))
+    return F.aggregate(codes, t, lambda s, n: F.replace(s, F.concat(F.lit("&#"), n, F.lit(";")), letter(n)))
+
+
+def lift_anchors(t: Column) -> Column:
+    """<div id="x"> (with its own bold name as content, if so) becomes a line with the marker NUL A:x NUL."""
+    t = F.regexp_replace(t, "<div[^>]*\\bid=\"([^\"]+)\"[^>]*>\\s*'{2,3}\\s*\\1\\s*'{2,3}\\s*</div>", "\n\u0000A:$1\u0000\n")
+    return F.regexp_replace(t, "<div[^>]*\\bid=\"([^\"]+)\"[^>]*>", "\n\u0000A:$1\u0000\n")
+
+
+def strip_annotations(t: Column) -> Column:
+    """Regions {{*s}} to {{*e}} go with what they hold."""
+    return F.regexp_replace(t, r"\{\{\s*\*s\s*\}\}[\s\S]*?\{\{\s*\*e\s*\}\}", "")
+
+
+def drop_elements(t: Column, tags: list[str]) -> Column:
+    """Elements of the declared names go with what they hold."""
+    for tag in tags:
+        t = F.regexp_replace(F.regexp_replace(t, rf"(?i)<{tag}\b[^>]*>[\s\S]*?</{tag}>", ""), rf"(?i)<{tag}\b[^>]*/>", "")
     return t
 
 
+def demote_headings(t: Column, least: int = 2, most: int = 4) -> Column:
+    """Headings of other levels than least to most become plain lines."""
+
+    def line(x: Column) -> Column:
+        rx = r"^(={1,6})\s*([^=\n].*?)\s*\1$"
+        level = F.length(F.regexp_extract(F.trim(x), rx, 1))
+        return F.when((level > 0) & ~level.between(least, most), F.trim(F.regexp_extract(F.trim(x), rx, 2))).otherwise(x)
+
+    return F.array_join(F.transform(F.split(t, "\n"), line), "\n")
+
+
+def drop_sections(rows: DataFrame, title: str, titles: list[str]) -> DataFrame:
+    """Sections but those of the given titles."""
+    return rows.where(F.col(title).isNull() | ~F.trim(F.col(title)).isin(titles))
+
+
+def clean_inline(t: Column) -> Column:
+    """A title on one line: every markup step but those for lines and sections, quote marks and runs of white space."""
+    t = strip_conversions(strip_links(strip_tags(strip_templates(strip_comments(F.coalesce(t, F.lit("")))))))
+    t = decode_entities(decode_numeric(t))
+    return F.trim(F.regexp_replace(F.regexp_replace(t, "'{2,3}", ""), r"[\s ]+", " "))
+
+
 def normalize_lines(t: Column) -> Column:
     lines = F.transform(F.split(F.regexp_replace(t, "\\r\\n?", "\n"), "\n"), lambda x: F.regexp_replace(F.regexp_replace(x, "^[:;*#]+", ""), "^[ \\t]+|[ \\t]+$", ""))
     return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"), "^\n+|\n+$", "")
@@ -108,8 +185,8 @@ def clean_html(t: Column) -> Column:
 
 
 def clean_wikitext(t: Column) -> Column:
-    t = strip_templates(only_included(strip_comments(t)))
-    return normalize_lines(strip_switches(decode_entities(strip_conversions(strip_links(strip_tags(t))))))
+    t = strip_templates(strip_annotations(only_included(strip_comments(t))))
+    return normalize_lines(strip_switches(decode_entities(decode_numeric(strip_conversions(strip_links(strip_tags(t)))))))
 
 
 def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -133,11 +210,28 @@ def carried_forward(rows: DataFrame, value: str, partition: str, order: str) ->
     return rows.withColumn(value, F.last(value, ignorenulls=True).over(w))
 
 
-def structural(rows: DataFrame, text: str, partition: str, order: list[str], short: int = 4) -> DataFrame:
-    """First rule that fits marks a passage: empty, repeated (as the one before), short, or body."""
-    w = Window.partitionBy(partition).orderBy(*order)
-    before = F.lag(text).over(w)
-    return rows.withColumn("marker", F.when(F.col(text) == "", "empty").when(F.col(text) == before, "repeated").when(F.length(text) <= short, "short").otherwise("body"))
+# What marks a passage as no text of the work, in this order; the second holds for up to four letters.
+COLOPHON, NUMBERED, AFTER, HEADING = r"^右[^\n]{0,8}$", r"^[^\n]{1,4}[一二三四五六七八九十]$", r"^[一二三四五六七八九十]+。", r"^[^\n]{2,4}$"
+# Markup that must not be left in a text, in the order of report.
+RESIDUE = {
+    "template braces": r"\{\{|\}\}",
+    "wiki link brackets": r"\[\[|\]\]",
+    "html tag": r"</?[a-zA-Z][^>]*>",
+    "behaviour switch": r"__NOTOC__|__NOEDITSECTION__",
+    "language conversion marker": r"-\{|\}-",
+    "internal anchor marker": r"\x00",
+    "html entity": r"&(?:nbsp|amp|lt|gt|quot);",
+    "comment marker": r"<!--|-->",
+}
+
+
+def structural(rows: DataFrame, text: str, partition: str, order: list[str]) -> DataFrame:
+    """rows with marker, the first rule that fits: right-colophon, numbered-heading, heading-after-numbered; null for text. By form, never by length alone."""
+    before = F.lag(text).over(Window.partitionBy(partition).orderBy(*order))
+    t = F.col(text)
+    after = F.coalesce(before.rlike(AFTER), F.lit(False)) & t.rlike(HEADING)
+    marker = F.when(t.rlike(COLOPHON), "right-colophon").when((F.length(t) <= 4) & t.rlike(NUMBERED), "numbered-heading").when(after, "heading-after-numbered")
+    return rows.withColumn("marker", marker)
 
 
 def residue(text: Column, rules: dict[str, str]) -> Column:

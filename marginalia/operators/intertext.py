@@ -14,19 +14,27 @@ def normalized(t: Column, variants: list[tuple[str, str]] = ()) -> Column:
     return F.translate(out, "".join(a for a, _ in variants), "".join(b for _, b in variants)) if variants else out
 
 
-def contained(quotes: DataFrame, quote: str, passages: DataFrame, passage: str, n: int = 5) -> DataFrame:
-    """Pairs in which the words of quote stand in a row in passage; both normalized.
+def contained(quotes: DataFrame, quote: str, passages: DataFrame, passage: str, key: str, n: int = 5) -> DataFrame:
+    """Pairs in which the words of quote stand in a row in passage; both normalized, key names a passage.
 
-    A quote of n words or more is looked up by its rarest-first n-gram's equi-join partners: its
-    first n words must be an n-gram of the passage. Shorter quotes are looked up by their whole.
+    A quote is looked up by the hash of its first n words (all of them if fewer). Only hashes and
+    keys of passages are made and joined, for the gram lengths that quotes have; texts are joined
+    to the few candidates, which are then compared.
     """
-    q = quotes.withColumn("_words", F.split(quote, " ")).withColumn("_n", F.least(F.size("_words"), F.lit(n)))
-    q = q.withColumn("_gram", F.array_join(F.slice("_words", F.lit(1), F.col("_n")), " "))
-    lengths = [k for k in range(1, n + 1)]
-    words = F.split(passage, " ")
-    p = passages.withColumn("_gram", F.explode(F.array_distinct(F.flatten(F.array(*[grams(words, k) for k in lengths])))))
-    hits = q.join(p, "_gram").where(F.contains(F.concat(F.lit(" "), F.col(passage), F.lit(" ")), F.concat(F.lit(" "), F.col(quote), F.lit(" "))))
-    return hits.drop("_gram", "_words", "_n")
+    words = F.split(quote, " ")
+    q = quotes.withColumn("_n", F.least(F.size(words), F.lit(n)))
+    q = q.withColumn("_gram", F.xxhash64(F.slice(words, F.lit(1), F.col("_n"))))
+    lengths = sorted(r["_n"] for r in q.select("_n").distinct().collect())  # at most n
+    def hashes(k: int) -> Column:
+        size = F.size("_w")
+        starts = F.when(size >= k, F.sequence(F.lit(1), size - (k - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(F.slice("_w", i, F.lit(k))))
+
+    runs = [hashes(k) for k in lengths]
+    p = passages.select(key, F.split(passage, " ").alias("_w")).select(key, F.explode(F.array_distinct(F.flatten(F.array(*runs)))).alias("_gram")) if runs else passages.select(key, F.lit(0).cast("long").alias("_gram")).limit(0)
+    p = p.join(q.select("_gram").distinct(), "_gram", "left_semi")
+    hits = q.join(p, "_gram").drop("_gram", "_n").join(passages, key)
+    return hits.where(F.contains(F.concat(F.lit(" "), F.col(passage), F.lit(" ")), F.concat(F.lit(" "), F.col(quote), F.lit(" "))))
 
 
 def citation_status(found: Column, known: Column, length: Column, least: int) -> Column:
@@ -40,24 +48,22 @@ def one_edit(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0) & (F.size(places) == 1), F.get(places, F.lit(0)))
 
 
-def near_matches(rows: DataFrame, key: str, words: str, window: int, block: int) -> DataFrame:
-    """Windows of several rows that differ in one word: blocked by shared runs of block words at the same place.
+def near_matches(rows: DataFrame, words: str, window: int) -> DataFrame:
+    """Distinct windows that differ in exactly one word: left, right, at (place from 1), from, to.
 
-    Two windows of `window` words with one difference share a whole half, so halves are the keys.
-    Keys that many windows share pair each window with the others only through a half that is rare
-    enough to tell: pairs come from distinct window texts, not from occurrences.
+    The key of a window is its words but one, with the place of that one: windows of a key differ
+    there only, so every pair that is joined is a result, and no pair comes twice.
     """
     runs = rows.select(F.explode(F.array_distinct(grams(F.col(words), window))).alias("w")).distinct()
-    halves = runs.select("w", F.split("w", " ").alias("_words"))
-    half = window // 2
-    left = F.concat(F.lit("0|"), F.array_join(F.slice("_words", 1, half), " "))
-    right = F.concat(F.lit("1|"), F.array_join(F.slice("_words", half + 1, window - half), " "))
-    keyed = halves.select("w", "_words", F.explode(F.array(left, right)).alias("_key"))
+    parts = runs.select("w", F.split("w", " ").alias("_words"))
+    places = F.transform(F.sequence(F.lit(1), F.lit(window)), lambda i: F.struct(i.alias("at"), F.get("_words", i - 1).alias("word"), F.concat(F.slice("_words", F.lit(1), i - 1), F.lit([""]), F.slice("_words", i + 1, F.lit(window))).alias("key")))
+    keyed = parts.select("w", F.explode(places).alias("p")).select("w", "p.at", "p.word", F.xxhash64("p.at", "p.key").alias("_key"), F.col("p.key").alias("_rest"))
+    # keys of one window alone go before any pair is made
+    shared = keyed.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1").select("_key")
+    keyed = keyed.join(shared, "_key", "left_semi")
     a, b = keyed.alias("a"), keyed.alias("b")
-    pairs = a.join(b, F.col("a._key") == F.col("b._key")).where("a.w < b.w")
-    at = one_edit(F.col("a._words"), F.col("b._words"))
-    return pairs.select(F.col("a.w").alias("left"), F.col("b.w").alias("right"), at.alias("at"), F.get("a._words", at - 1).alias("from"), F.get("b._words", at - 1).alias("to")).where("at is not null").distinct()
-
+    pairs = a.join(b, (F.col("a._key") == F.col("b._key")) & (F.col("a.at") == F.col("b.at")) & (F.col("a._rest") == F.col("b._rest")) & (F.col("a.w") < F.col("b.w")))
+    return pairs.select(F.col("a.w").alias("left"), F.col("b.w").alias("right"), F.col("a.at").alias("at"), F.col("a.word").alias("from"), F.col("b.word").alias("to"))
 
 def variant_counts(matches: DataFrame, least: int = 1) -> DataFrame:
     """Substitutions by how many matches show them, with the first witness."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import u16len
 from . import finite, stores
 
 EVIDENCE = "schema string, id string, grammar string, text string, expected struct<agent:string,recipient:string,theme:string>, contentHash string, targetId string, reason string"
@@ -54,15 +55,19 @@ def volume_key(name: Column) -> Column:
     return F.when(digits == "", None).when(F.contains(digits, F.lit("十")), with_ten).otherwise(of[digits])
 
 
+# The inquiry of a head and, perhaps, one of its nine places.
+TERNARY = "^(?:觀|观)「([^」]+)」(?:之([一二三四五六七八九])(?:贊|赞))?。?$"
+
+
 def ternary_inquiry(rows: DataFrame, heads: DataFrame) -> DataFrame:
-    """rows (id, text) of inquiries 觀「head」之N贊 joined to heads (name, digits): status, digits, zan, address."""
-    rx = "^[觀观]「([^「」]{1,4})」之([一二三四五六七八九])[贊赞]。?$"
-    name, zan = F.regexp_extract("text", rx, 1), F.instr(F.lit("一二三四五六七八九"), F.regexp_extract("text", rx, 2))
-    out = rows.withColumn("name", F.when(F.col("text").rlike(rx), name)).withColumn("zan", F.when(F.col("text").rlike(rx), zan)).join(F.broadcast(heads), "name", "left")
-    status = F.when(F.col("digits").isNotNull(), "IndexedText").otherwise("Unknown")
-    reason = F.when(F.col("name").isNull(), "outside-inquiry-grammar").when(F.col("digits").isNull(), "name-not-in-catalog")
+    """rows (id, text) of inquiries 觀「head」, with 之N贊 or without, joined to heads (name, digits): status, reason, digits, zan, address (null without a zan)."""
+    hit = F.coalesce(F.col("text").rlike(TERNARY), F.lit(False))
+    zan = F.instr(F.lit("一二三四五六七八九"), F.regexp_extract("text", TERNARY, 2))
+    out = rows.withColumn("name", F.when(hit, F.regexp_extract("text", TERNARY, 1))).withColumn("zan", F.when(hit & (F.regexp_extract("text", TERNARY, 2) != ""), zan)).join(heads, "name", "left")
+    there = F.col("digits").isNotNull()
+    reason = F.when(F.col("name").isNull(), "outside-declared-query-grammar").when(~there, "unknown-head")
     address = F.concat("digits", F.lpad(F.conv((F.col("zan") - 1).cast("string"), 10, 3), 2, "0"))
-    return out.select("id", status.alias("status"), reason.alias("reason"), "digits", F.when(F.col("digits").isNotNull(), F.col("zan")).alias("zan"), address.alias("address"))
+    return out.select("id", F.when(there, "IndexedText").otherwise("Unknown").alias("status"), reason.alias("reason"), "digits", F.when(there, F.col("zan")).alias("zan"), address.alias("address"))
 
 
 def hexagram_inquiry(rows: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -77,21 +82,38 @@ def hexagram_inquiry(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     return out.select("id", F.when(F.col("bits").isNotNull(), "IndexedText").otherwise("Unknown").alias("status"), F.when(F.col("name").isNull(), "outside-changes-inquiry-grammar").when(F.col("bits").isNull(), "hexagram-name-not-in-catalog").alias("reason"), "bits", "position", "changed", "target")
 
 
+# A clause, and the longest text in UTF-16 units.
+CLAUSE = "^(凡|有)「([^「」\\r\\n]{1,32})」(皆非|皆|非|為|为)「([^「」\\r\\n]{1,32})」$"
+MAX_SYLLOGISM = 512
+
+
 def syllogism_text(rows: DataFrame) -> DataFrame:
-    """rows (id, text) of three clauses: mood, figure and terms, null where the text is no syllogism of this form."""
-    clause = "(凡|有)「([^「」]{1,16})」(皆非|皆|不是|是|非)「([^「」]{1,16})」"
-    rx = f"^{clause}[。，]{clause}[。，]故{clause}。?$"
-    part = lambda k: F.regexp_extract("text", rx, k)
-    kind = lambda q, v: F.when((q == "凡") & (v == "皆"), "A").when((q == "凡") & (v == "皆非"), "E").when((q == "有") & (v == "是"), "I").when((q == "有") & v.isin("非", "不是"), "O")
-    clauses = [(kind(part(4 * c + 1), part(4 * c + 3)), part(4 * c + 2), part(4 * c + 4)) for c in range(3)]
-    (k1, a1, b1), (k2, a2, b2), (k3, s, p) = clauses
+    """rows (id, text) of two premises and a conclusion: status, reason, mood and figure; the reason is the first that holds."""
+    cut = F.split("text", "。", -1)
+    parts = F.when(F.element_at(cut, -1) == "", F.slice(cut, 1, F.greatest(F.size(cut) - 1, F.lit(0)))).otherwise(cut)
+    parts = F.when(u16len(F.col("text")) <= MAX_SYLLOGISM, parts)
+    out = rows.select("id", "text", parts.alias("_p"))
+    three = F.coalesce((F.size("_p") == 3) & F.get("_p", F.lit(2)).startswith("故"), F.lit(False))
+    clause = lambda k: F.get("_p", F.lit(k)) if k < 2 else F.substring(F.get("_p", F.lit(2)), 2, 600)
+    of = lambda k, g: F.regexp_extract(clause(k), CLAUSE, g)
+    kind = lambda k: F.when((of(k, 1) == "凡") & (of(k, 3) == "皆"), "A").when((of(k, 1) == "凡") & (of(k, 3) == "皆非"), "E").when((of(k, 1) == "有") & of(k, 3).isin("為", "为"), "I").when((of(k, 1) == "有") & (of(k, 3) == "非"), "O")
+    out = out.select("id", "text", "_p", three.alias("_three"), *[kind(k).alias(f"_k{k}") for k in range(3)], *[of(k, g).alias(f"_{'s' if g == 2 else 'o'}{k}") for k in range(3) for g in (2, 4)])
+    fits = F.col("_k0").isNotNull() & F.col("_k1").isNotNull() & F.col("_k2").isNotNull()
+    terms = F.array_distinct(F.array(*[f"_{e}{k}" for k in range(3) for e in "so"]))
+    s, p = F.col("_s2"), F.col("_o2")
+    middle = F.get(F.filter(terms, lambda x: (x != s) & (x != p)), F.lit(0))
+    wires = {1: ((middle, p), (s, middle)), 2: ((p, middle), (s, middle)), 3: ((middle, p), (middle, s)), 4: ((p, middle), (middle, s))}
     figure = F.lit(None).cast("int")
-    for n, (major, minor) in {1: ((a1, b1), (a2, b2)), 2: ((b1, a1), (a2, b2)), 3: ((a1, b1), (b2, a2)), 4: ((b1, a1), (b2, a2))}.items():
-        # major joins M to P and minor S to M, each in the order of the figure
-        fits = (major[0] == minor[1]) & (major[1] == p) & (minor[0] == s) & (s != p) & (major[0] != s) & (major[0] != p)
-        figure = F.when(figure.isNull() & fits, n).otherwise(figure)
-    good = F.col("text").rlike(rx)
-    return rows.select("id", F.when(good & figure.isNotNull(), F.concat(k1, k2, k3)).alias("mood"), F.when(good, figure).alias("figure"))
+    for n, ((a, b), (c, d)) in wires.items():
+        figure = F.when((F.col("_s0") == a) & (F.col("_o0") == b) & (F.col("_s1") == c) & (F.col("_o1") == d), n).otherwise(figure)
+    out = out.withColumn("_figure", figure)
+    reason = (
+        F.when(F.col("_p").isNull(), "outside-syllogism-grammar").when(~F.col("_three"), "expected-two-premises-and-conclusion").when(~fits, "outside-syllogism-grammar")
+        .when((F.size(terms) != 3) | (s == p), "requires-three-distinct-term-names").when(F.col("_figure").isNull(), "not-a-standard-figure-in-declared-premise-order")
+    )
+    out = out.withColumn("reason", reason)
+    good = F.col("reason").isNull()
+    return out.select("id", F.when(good, "Parsed").otherwise("Unknown").alias("status"), "reason", F.when(good, F.concat("_k0", "_k1", "_k2")).alias("mood"), F.when(good, F.col("_figure")).alias("figure"))
 
 
 def warranted(claims: DataFrame, records: DataFrame, retractions: DataFrame) -> DataFrame:
@@ -118,5 +140,5 @@ def gates(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
 def seeded(rows: DataFrame, construction: str, work: str, order: str, cap: int) -> DataFrame:
     """Rows to label: per construction the first of each work before the second of any, cap of them."""
     in_work = F.row_number().over(Window.partitionBy(construction, work).orderBy(order))
-    ranked = rows.withColumn("_k", in_work)
+    ranked = rows.withColumn("_k", in_work).where(F.col("_k") <= cap)  # a limit Spark applies before the shuffle
     return ranked.withColumn("rank", F.row_number().over(Window.partitionBy(construction).orderBy("_k", order))).where(F.col("rank") <= cap).drop("_k")

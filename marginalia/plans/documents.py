@@ -53,21 +53,26 @@ def drop_lines(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(F.split(t, "\n")).alias("lines"), kept.alias("kept"))
 
 
-@query("C19_structural", r"""
-WITH p AS (SELECT doc_id, i, trim(parts[i]) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents), LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS i)),
-m AS (SELECT CASE WHEN text = '' THEN 'empty' WHEN text = lag(text) OVER (PARTITION BY doc_id ORDER BY i) THEN 'repeated' WHEN length(text) <= 4 THEN 'short' ELSE 'body' END AS marker, length(text) AS n FROM p)
-SELECT marker, count(*) AS passages, sum(n)::BIGINT AS chars FROM m GROUP BY marker""")
+_MARKED = [("w1", 1, "三一。凡治"), ("w1", 2, "因情"), ("w1", 3, "参观一"), ("w1", 4, "右經"), ("w1", 5, "生之，"), ("w2", 1, "因情"), ("w2", 2, "右三者天下之所當先務也"), ("w2", 3, "必罰二十"), ("w2", 4, "二。賞罰"), ("w2", 5, ""), ("w2", 6, "主道"), ("w2", 7, None)]
+
+
+@query("C19_structural", f"""
+WITH m AS (SELECT work, ord, text, lag(text) OVER (PARTITION BY work ORDER BY ord) AS before FROM {values_sql(['work', 'ord', 'text'], _MARKED)})
+SELECT work, ord, CASE WHEN regexp_matches(text, '^右[^\n]{{0,8}}$') THEN 'right-colophon' WHEN length(text) <= 4 AND regexp_matches(text, '^[^\n]{{1,4}}[一二三四五六七八九十]$') THEN 'numbered-heading'
+WHEN regexp_matches(before, '^[一二三四五六七八九十]+。') AND regexp_matches(text, '^[^\n]{{2,4}}$') THEN 'heading-after-numbered' END AS marker FROM m""")
 def structural(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "raw")).select("doc_id", "i", F.trim("raw").alias("text"))
-    return corpus.structural(rows, "text", "doc_id", ["i"]).groupBy("marker").agg(F.count("*").alias("passages"), F.sum(F.length("text")).alias("chars"))
+    rows = values(spark, "work string, ord int, text string", _MARKED)
+    return corpus.structural(rows, "text", "work", ["ord"]).select("work", "ord", "marker")
 
 
-_RESIDUE = {"entity": "&[a-z]+;", "tag": "<[a-z]+>", "brace": r"\{\{", "assignment": '[A-Za-z_]+ = "', "mail": "[a-z0-9.]+@[a-z0-9.]+"}
+def _residue_sql(column: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({column}, '{rx}') THEN '{k}'" for k, rx in corpus.RESIDUE.items()) + " END"
 
 
-@query("F6_residue", "SELECT rule, count(*) AS n FROM (SELECT CASE " + " ".join(f"WHEN regexp_matches(text, '{rx}') THEN '{k}'" for k, rx in _RESIDUE.items()) + " END AS rule FROM documents) GROUP BY rule")
+@query("F6_residue", f"SELECT 'pages' AS place, {_residue_sql('html')} AS rule, count(*) AS n FROM pages GROUP BY ALL UNION ALL SELECT 'documents', {_residue_sql('text')}, count(*) FROM documents GROUP BY ALL")
 def residue(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(corpus.residue(F.col("text"), _RESIDUE).alias("rule")).agg(F.count("*").alias("n"))
+    of = lambda name, column: table(spark, sf_dir, name).groupBy(F.lit(name).alias("place"), corpus.residue(F.col(column), corpus.RESIDUE).alias("rule")).agg(F.count("*").alias("n"))
+    return of("pages", "html").union(of("documents", "text"))
 
 
 @query("C23_normalized", f"SELECT doc_id, md5(array_to_string({_TOKENS.format(t='text')}, ' ')) AS digest, len({_TOKENS.format(t='text')}) AS words FROM documents")
@@ -105,22 +110,25 @@ def hypothesis(spark, sf_dir):
     return one.select("p_en", "p_other", half_up(F.col("p_en") - F.col("p_other"), 6).alias("delta"), F.when(F.col("p_en") > F.col("p_other"), "supported").otherwise("not-supported").alias("verdict"))
 
 
+_GRAMS = "list_transform(range(1, len(w) - {m} + 1), lambda i: array_to_string(w[i:i+{m}], ' '))"
+
+
 @query("A8_grams", f"""
 WITH t AS (SELECT doc_id, source, {_TOKENS.format(t='text')} AS w FROM documents),
-g AS (SELECT doc_id, source, unnest(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS gram FROM t)
-SELECT gram, count(*) AS passages, count(DISTINCT source) AS groups FROM g GROUP BY gram HAVING count(*) >= 8 ORDER BY passages DESC, gram LIMIT 200""")
+g AS (SELECT doc_id, source, unnest(list_distinct(list_concat({_GRAMS.format(m=1)}, {_GRAMS.format(m=2)}))) AS gram FROM t)
+SELECT gram, count(*) AS passages, count(DISTINCT source) AS groups, min(doc_id) AS witness FROM g GROUP BY gram HAVING count(*) >= 8 ORDER BY passages DESC, gram LIMIT 200""")
 def gram_counts(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return analytics.top(analytics.gram_counts(d, "doc_id", tokens(F.col("text")), 2, "source", 8), 200, "passages", "gram")
+    return analytics.top(analytics.gram_counts(d, "doc_id", tokens(F.col("text")), [2, 3], "source", 8), 200, "passages", "gram")
 
 
 @query("A9_unsuppressed")
 def unsuppressed(spark, sf_dir):
-    """The report of 40 grams of two to four words, those inside a kept one of nearly its count suppressed: a greedy pass over the ranked head."""
+    """The report of 40 grams of two to eight words, those inside a kept one of nearly its count suppressed: a greedy pass down the whole ranking."""
     d = table(spark, sf_dir, "documents")
     w = tokens(F.col("text"))
-    each = d.select(F.explode(F.concat(*[grams(w, n) for n in (2, 3, 4)])).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n >= 8")
-    kept = analytics.unsuppressed(each.orderBy(F.desc("n"), F.desc(F.length("gram")), "gram").limit(400), "gram", "n")[:40]
+    each = d.select(F.explode(F.flatten(F.array(*[grams(w, n) for n in range(2, 9)]))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n >= 8")
+    kept = analytics.unsuppressed(each.orderBy(F.desc("n"), F.desc(F.length("gram")), "gram"), "gram", "n", most=40)
     return values(spark, "rank int, gram string, n bigint", [(k, g, n) for k, (g, n) in enumerate(kept, 1)])
 
 
@@ -140,7 +148,7 @@ hits AS (SELECT item_id, doc_id, lang FROM b, d WHERE q <> '' AND contains(' ' |
 def _hits(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select("item_id", intertext.normalized(F.col("text")).alias("q")).where("q <> ''")
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", intertext.normalized(F.col("text")).alias("p"))
-    return b, intertext.contained(b, "q", d, "p").select("item_id", "doc_id", "lang").distinct()
+    return b, intertext.contained(b, "q", d, "p", "doc_id").select("item_id", "doc_id", "lang").distinct()
 
 
 @query("J3_contained", f"WITH {_CONTAINED} SELECT item_id, count(*) AS documents, min(doc_id) AS first_doc FROM hits GROUP BY item_id")
@@ -161,26 +169,19 @@ def citation_matrix(spark, sf_dir):
     return _hits(spark, sf_dir)[1].groupBy("lang").agg(F.count("*").alias("links"), F.count_distinct("item_id").alias("items"), F.count_distinct("doc_id").alias("documents"))
 
 
-_PIECES = f"SELECT DISTINCT w FROM (SELECT unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i+7], ' '))) AS w FROM (SELECT {_TOKENS.format(t='text')} AS w FROM benchmark UNION ALL SELECT {_TOKENS.format(t='text')} FROM documents WHERE lang = 'fr'))"
+_PIECES = f"SELECT DISTINCT w FROM (SELECT unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i+7], ' '))) AS w FROM (SELECT {_TOKENS.format(t='text')} AS w FROM benchmark UNION ALL SELECT {_TOKENS.format(t='text')} FROM documents))"
+_ONE_OFF = f"""r AS (SELECT w, string_split(w, ' ') AS ws FROM ({_PIECES})),
+k AS (SELECT w, ws, i, array_to_string(ws[1:i-1] || ['*'] || ws[i+1:8], ' ') AS key FROM r, (SELECT unnest(range(1, 9)) AS i)),
+p AS (SELECT a.w AS l, b.w AS r, CAST(a.i AS INT) AS at_, a.ws[a.i] AS f, b.ws[b.i] AS t FROM k a JOIN k b ON a.key = b.key AND a.i = b.i AND a.w < b.w)"""
 
 
-@query("J4_near_matches", f"""
-WITH r AS (SELECT w, string_split(w, ' ') AS ws FROM ({_PIECES})),
-k AS (SELECT w, ws, '0|' || array_to_string(ws[1:4], ' ') AS key FROM r UNION ALL SELECT w, ws, '1|' || array_to_string(ws[5:8], ' ') FROM r),
-p AS (SELECT DISTINCT a.w AS l, b.w AS r, a.ws AS lw, b.ws AS rw FROM k a JOIN k b ON a.key = b.key AND a.w < b.w),
-d AS (SELECT l, r, lw, rw, list_filter(range(1, 9), lambda i: lw[i] <> rw[i]) AS "at" FROM p)
-SELECT l AS "left", r AS "right", CAST(d."at"[1] AS INT) AS "at", lw[d."at"[1]] AS "from", rw[d."at"[1]] AS "to" FROM d WHERE len(d."at") = 1""")
+@query("J4_near_matches", f"""WITH {_ONE_OFF} SELECT l AS "left", r AS "right", at_ AS "at", f AS "from", t AS "to" FROM p""")
 def near_matches(spark, sf_dir):
-    rows = table(spark, sf_dir, "benchmark").select(tokens(F.col("text")).alias("w")).union(table(spark, sf_dir, "documents").where("lang = 'fr'").select(tokens(F.col("text"))))
-    return intertext.near_matches(rows, "w", "w", 8, 4)
+    rows = table(spark, sf_dir, "benchmark").select(tokens(F.col("text")).alias("w")).union(table(spark, sf_dir, "documents").select(tokens(F.col("text"))))
+    return intertext.near_matches(rows, "w", 8)
 
 
-@query("A13_variants", f"""
-WITH r AS (SELECT w, string_split(w, ' ') AS ws FROM ({_PIECES})),
-k AS (SELECT w, ws, '0|' || array_to_string(ws[1:4], ' ') AS key FROM r UNION ALL SELECT w, ws, '1|' || array_to_string(ws[5:8], ' ') FROM r),
-p AS (SELECT DISTINCT a.w AS l, b.w AS r, a.ws AS lw, b.ws AS rw FROM k a JOIN k b ON a.key = b.key AND a.w < b.w),
-d AS (SELECT l, lw, rw, list_filter(range(1, 9), lambda i: lw[i] <> rw[i]) AS "at" FROM p)
-SELECT lw[d."at"[1]] AS "from", rw[d."at"[1]] AS "to", count(*) AS n, min(l) AS witness FROM d WHERE len(d."at") = 1 GROUP BY ALL HAVING count(*) >= 2""")
+@query("A13_variants", f"""WITH {_ONE_OFF} SELECT f AS "from", t AS "to", count(*) AS n, min(l) AS witness FROM p GROUP BY ALL HAVING count(*) >= 2""")
 def variants(spark, sf_dir):
     return intertext.variant_counts(near_matches(spark, sf_dir), 2)
 
@@ -258,9 +259,9 @@ def merged_manifest(spark, sf_dir):
     return corpus.merged_manifest(old, table(spark, sf_dir, "documents").where("lang = 'es'").groupBy("source").agg(F.count("*").alias("n")), "source")
 
 
-@query("A20_conflicts", "SELECT text_hash, n, labels FROM (SELECT sha256(substr(d.text, 1, 25)) AS text_hash, count(*) AS n, count(DISTINCT quality * 2 + toxic) AS labels FROM documents d JOIN labels USING (doc_id) GROUP BY 1) WHERE labels > 1")
+@query("A20_conflicts", "SELECT text_hash, n, labels FROM (SELECT sha256(d.text) AS text_hash, count(*) AS n, count(DISTINCT quality * 2 + toxic) AS labels FROM documents d JOIN labels USING (doc_id) GROUP BY 1) WHERE labels > 1")
 def conflicts(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.substring("text", 1, 25), 256).alias("text_hash")).join(table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * 2 + F.col("toxic")).alias("label")), "doc_id")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("text_hash")).join(table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * 2 + F.col("toxic")).alias("label")), "doc_id")
     return stores.conflicting_labels(rows, "text_hash", "label")
 
 

@@ -113,17 +113,29 @@ def mutual_edges(spark, sf_dir):
     return e.join(e.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_semi")
 
 
-_USER_EDGES = "SELECT DISTINCT a, b FROM (SELECT user_id AS a, lead(user_id) OVER (PARTITION BY event_type ORDER BY event_id) AS b FROM events WHERE event_id < 4000) WHERE b IS NOT NULL AND a <> b"
-
-
 @query("A6_permutation_null", f"""
-WITH e AS ({_USER_EDGES}), t AS (SELECT trial, a, b FROM e, (SELECT unnest(range(1, 9)) AS trial)),
-ra AS (SELECT trial, a, row_number() OVER (PARTITION BY trial ORDER BY a, b) AS r FROM t), rb AS (SELECT trial, b, row_number() OVER (PARTITION BY trial ORDER BY sha256(concat_ws('|', trial, a, b, 'null'))) AS r FROM t),
+WITH e AS ({_EDGES}), t AS (SELECT trial, a, b FROM e, (SELECT unnest(range(1, 9)) AS trial)),
+ra AS (SELECT trial, a, row_number() OVER (PARTITION BY trial ORDER BY sha256(concat_ws('|', a, b))) AS r FROM t), rb AS (SELECT trial, b, row_number() OVER (PARTITION BY trial ORDER BY sha256(concat_ws('|', trial, a, b, 'null'))) AS r FROM t),
 m AS (SELECT DISTINCT trial, a, b FROM ra JOIN rb USING (trial, r))
 SELECT CAST(m.trial AS INT) AS trial, count(*) AS edges, count(x.a) AS reciprocal FROM m LEFT JOIN m x ON x.trial = m.trial AND x.a = m.b AND x.b = m.a GROUP BY m.trial""")
 def permutation_null(spark, sf_dir):
-    edges = analytics.transitions(table(spark, sf_dir, "events").where("event_id < 4000"), "event_type", ["event_id"], "user_id")
-    return analytics.permutation_null(edges, 8)
+    return analytics.permutation_null(_edges(spark, sf_dir), 8)
+
+
+@query("A6_null_summary", f"""
+WITH e AS ({_EDGES}), t AS (SELECT trial, a, b FROM e, (SELECT unnest(range(1, 9)) AS trial)),
+ra AS (SELECT trial, a, row_number() OVER (PARTITION BY trial ORDER BY sha256(concat_ws('|', a, b))) AS r FROM t), rb AS (SELECT trial, b, row_number() OVER (PARTITION BY trial ORDER BY sha256(concat_ws('|', trial, a, b, 'null'))) AS r FROM t),
+m AS (SELECT DISTINCT trial, a, b FROM ra JOIN rb USING (trial, r)),
+n AS (SELECT m.trial, {_share('count(x.a)', 'count(*)')} AS rate FROM m LEFT JOIN m x ON x.trial = m.trial AND x.a = m.b AND x.b = m.a GROUP BY m.trial),
+o AS (SELECT {_share('count(r.a)', 'count(*)')} AS rate FROM e LEFT JOIN e r ON e.a = r.b AND e.b = r.a)
+SELECT any_value(o.rate) AS observed, count(*) AS trials, round(avg(n.rate), 6) AS mean, min(n.rate) AS least, max(n.rate) AS greatest, count(*) FILTER (n.rate < o.rate) AS below FROM n, o""")
+def null_summary(spark, sf_dir):
+    """The observed rate among those of the null: its mean, least and greatest, and how many trials are below."""
+    edges = _edges(spark, sf_dir).distinct()
+    null = analytics.permutation_null(edges, 8).select(share(F.col("reciprocal"), F.col("edges")).alias("rate"))
+    seen = analytics.reciprocity(edges).select(F.col("rate").alias("observed"))  # one row
+    both = null.crossJoin(F.broadcast(seen))
+    return both.agg(F.first("observed").alias("observed"), F.count("*").alias("trials"), F.round(F.avg("rate"), 6).alias("mean"), F.min("rate").alias("least"), F.max("rate").alias("greatest"), F.count_if(F.col("rate") < F.col("observed")).alias("below"))
 
 
 _PREFIXES = [("pur", "revenue"), ("c", "attention"), ("v", "attention"), ("s", "access")]

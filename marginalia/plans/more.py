@@ -128,6 +128,6 @@ def decoded_features(spark, sf_dir):
     return finite.addresses(spark).groupBy("phase_group", "phase_within").agg(F.count("*").alias("n"))
 
 
-@query("S10_prefix_listing", "SELECT page_id, url FROM pages WHERE starts_with(url, 'http') AND page_id % 5 = 0")
+@query("S10_prefix_listing", "SELECT page_id, url FROM pages WHERE starts_with(url, 'http')")
 def prefix_listing(spark, sf_dir):
-    return table(spark, sf_dir, "pages").where(F.col("url").startswith("http") & (F.col("page_id") % 5 == 0)).select("page_id", "url")
+    return table(spark, sf_dir, "pages").where(F.col("url").startswith("http")).select("page_id", "url")

@@ -59,14 +59,16 @@ def volume_key(spark, sf_dir):
     return values(spark, "name string", [(n,) for n, _ in _VOLUMES]).select("name", records.volume_key(F.col("name")).alias("key"))
 
 
-_TERNARY = [("t1", "觀「少」之九贊。"), ("t2", "观「中」之一赞"), ("t3", "觀「無」之二贊。"), ("t4", "觀「中」。")]
-_TERNARY_OUT = [("t1", "IndexedText", None, "0011", 9, "001122"), ("t2", "IndexedText", None, "0000", 1, "000000"), ("t3", "Unknown", "name-not-in-catalog", None, None, None), ("t4", "Unknown", "outside-inquiry-grammar", None, None, None)]
+_TERNARY = [("t1", "觀「少」之九贊。"), ("t2", "观「中」之一赞"), ("t3", "觀「無」之二贊。"), ("t4", "觀「中」。"), ("t5", "觀「中」之十贊。"), ("t6", None), ("t7", "觀「少」之四贊"), ("t8", "看「中」。")]
+_HEADS = [("中", "0000"), ("少", "0011")]
 
 
-@query("R14_ternary_inquiry", f"SELECT * FROM {values_sql(['id', 'status', 'reason', 'digits', 'zan', 'address'], _TERNARY_OUT)}")
+@query("R14_ternary_inquiry", f"""WITH q AS (SELECT id, text, coalesce(regexp_matches(text, '{records.TERNARY}'), false) AS hit, regexp_extract(text, '{records.TERNARY}', 1) AS name, regexp_extract(text, '{records.TERNARY}', 2) AS n FROM {values_sql(['id', 'text'], _TERNARY)}),
+j AS (SELECT q.*, h.digits, CASE WHEN n <> '' THEN strpos('一二三四五六七八九', n) END AS z FROM q LEFT JOIN {values_sql(['name', 'digits'], _HEADS).replace('AS t(', 'AS h(')} ON hit AND h.name = q.name)
+SELECT id, CASE WHEN digits IS NULL THEN 'Unknown' ELSE 'IndexedText' END AS status, CASE WHEN NOT hit THEN 'outside-declared-query-grammar' WHEN digits IS NULL THEN 'unknown-head' END AS reason, digits, CAST(CASE WHEN digits IS NOT NULL THEN z END AS INT) AS zan,
+CASE WHEN digits IS NOT NULL THEN digits || CAST((z - 1) // 3 AS VARCHAR) || CAST((z - 1) % 3 AS VARCHAR) END AS address FROM j""")
 def ternary_inquiry(spark, sf_dir):
-    heads = values(spark, "name string, digits string", [("中", "0000"), ("少", "0011")])
-    return records.ternary_inquiry(values(spark, "id string, text string", _TERNARY), heads)
+    return records.ternary_inquiry(values(spark, "id string, text string", _TERNARY), values(spark, "name string, digits string", _HEADS))
 
 
 _CHANGES = [("h1", "觀「乾」之初爻。"), ("h2", "观「坤」"), ("h3", "觀「鼎」。"), ("h4", "乾之初爻")]
@@ -79,10 +81,24 @@ def hexagram_inquiry(spark, sf_dir):
     return records.hexagram_inquiry(values(spark, "id string, text string", _CHANGES), catalog)
 
 
-_SYLLOGISMS = [("y1", "凡「人」皆「动物」。凡「学者」皆「人」。故凡「学者」皆「动物」。"), ("y2", "凡「鱼」皆非「人」。有「学者」是「人」。故有「学者」非「鱼」。"), ("y3", "凡「人」皆「动物」。凡「学者」皆「马」。故凡「学者」皆「动物」。"), ("y4", "人皆动物")]
-
-
-@query("R15_syllogism_text", "SELECT * FROM (VALUES ('y1', 'AAA', 1), ('y2', 'EIO', 2), ('y3', NULL, NULL), ('y4', NULL, NULL)) t(id, mood, figure)")
+_SYLLOGISMS = [
+    ("y1", "凡「人」皆「动物」。凡「学者」皆「人」。故凡「学者」皆「动物」。"), ("y2", "凡「鱼」皆非「人」。有「学者」為「人」。故有「学者」非「鱼」。"),
+    ("y3", "凡「人」皆「动物」。凡「学者」皆「马」。故凡「学者」皆「动物」。"), ("y4", "人皆动物"), ("y5", "凡「人」皆「物」。有「人」为「士」。故有「士」为「物」"),
+    ("y6", "凡「物」皆「人」。有「人」非「士」。故有「士」非「物」。"), ("y7", "有「人」皆「物」。凡「士」皆「人」。故凡「士」皆「物」。"), ("y8", "凡「甲」皆「乙」。凡「丙」皆「甲」。故凡「乙」皆「丙」。"),
+    ("y9", "凡「人」皆「物」。" * 60), ("y10", None), ("y11", "凡「甲」皆「乙」。凡「甲」皆「乙」。故凡「甲」皆「乙」。"),
+]
+_PART = lambda k, g: f"regexp_extract(CASE WHEN {k} = 3 THEN substr(p[3], 2) ELSE p[{k}] END, '{records.CLAUSE}', {g})"
+_KIND = lambda k: f"CASE WHEN {_PART(k, 1)} = '凡' AND {_PART(k, 3)} = '皆' THEN 'A' WHEN {_PART(k, 1)} = '凡' AND {_PART(k, 3)} = '皆非' THEN 'E' WHEN {_PART(k, 1)} = '有' AND {_PART(k, 3)} IN ('為', '为') THEN 'I' WHEN {_PART(k, 1)} = '有' AND {_PART(k, 3)} = '非' THEN 'O' END"
+
+
+@query("R15_syllogism_text", f"""WITH a AS (SELECT id, text, string_split(text, '。') AS c FROM {values_sql(['id', 'text'], _SYLLOGISMS)}),
+b AS (SELECT id, CASE WHEN length(text) <= 512 THEN CASE WHEN c[len(c)] = '' THEN c[1:len(c)-1] ELSE c END END AS p FROM a),
+k AS (SELECT id, p, {', '.join(f"{_KIND(k)} AS k{k}, {_PART(k, 2)} AS s{k}, {_PART(k, 4)} AS o{k}" for k in (1, 2, 3))} FROM b),
+m AS (SELECT *, list_distinct([s1, o1, s2, o2, s3, o3]) AS terms FROM k), n AS (SELECT *, list_filter(terms, lambda x: x <> s3 AND x <> o3)[1] AS mid FROM m),
+f AS (SELECT *, CASE WHEN s1 = mid AND o1 = o3 AND s2 = s3 AND o2 = mid THEN 1 WHEN s1 = o3 AND o1 = mid AND s2 = s3 AND o2 = mid THEN 2 WHEN s1 = mid AND o1 = o3 AND s2 = mid AND o2 = s3 THEN 3 WHEN s1 = o3 AND o1 = mid AND s2 = mid AND o2 = s3 THEN 4 END AS fig FROM n),
+r AS (SELECT *, CASE WHEN p IS NULL THEN 'outside-syllogism-grammar' WHEN len(p) <> 3 OR NOT coalesce(starts_with(p[3], '故'), false) THEN 'expected-two-premises-and-conclusion' WHEN k1 IS NULL OR k2 IS NULL OR k3 IS NULL THEN 'outside-syllogism-grammar'
+WHEN len(terms) <> 3 OR s3 = o3 THEN 'requires-three-distinct-term-names' WHEN fig IS NULL THEN 'not-a-standard-figure-in-declared-premise-order' END AS reason FROM f)
+SELECT id, CASE WHEN reason IS NULL THEN 'Parsed' ELSE 'Unknown' END AS status, reason, CASE WHEN reason IS NULL THEN k1 || k2 || k3 END AS mood, CASE WHEN reason IS NULL THEN fig END AS figure FROM r""")
 def syllogism_text(spark, sf_dir):
     return records.syllogism_text(values(spark, "id string, text string", _SYLLOGISMS))
 
@@ -156,13 +172,13 @@ SELECT source, count(*) AS links, array_to_string(list_slice(list(item_id || ':'
 def navigation(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select("item_id", intertext.normalized(F.col("text")).alias("q")).where("q <> ''")
     d = table(spark, sf_dir, "documents").select("doc_id", "source", intertext.normalized(F.col("text")).alias("p"))
-    hits = intertext.contained(b, "q", d, "p").select("source", F.concat_ws(":", "item_id", "doc_id").alias("link")).distinct()
+    hits = intertext.contained(b, "q", d, "p", "doc_id").select("source", F.concat_ws(":", "item_id", "doc_id").alias("link")).distinct()
     # the least three per source, so no list of all links is gathered
     w = F.row_number().over(Window.partitionBy("source").orderBy("link"))
     first = hits.withColumn("k", w).where("k <= 3").groupBy("source").agg(F.array_join(F.array_sort(F.collect_list("link")), " ").alias("examples"))
     return hits.groupBy("source").agg(F.count("*").alias("links")).join(first, "source")
 
 
-@query("A26_repeated_turns", "SELECT sha256(lower(substr(text, 1, 12))) AS digest, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM conversations GROUP BY 1 HAVING count(*) > 1")
+@query("A26_repeated_turns", "SELECT sha256(lower(text)) AS digest, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM conversations GROUP BY 1 HAVING count(*) > 1")
 def repeated_turns(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy(F.sha2(F.lower(F.substring("text", 1, 12)), 256).alias("digest")).agg(F.count("*").alias("n"), F.count_distinct("conv_id").alias("conversations")).where("n > 1")
+    return table(spark, sf_dir, "conversations").groupBy(F.sha2(F.lower("text"), 256).alias("digest")).agg(F.count("*").alias("n"), F.count_distinct("conv_id").alias("conversations")).where("n > 1")
