@@ -4,8 +4,8 @@ Level 1 looks at runs of half the window's length. Not every run is sent: of any
 half-length run with the least hash is its anchor (winnowing), so two equal windows have equal
 anchors at the same place in them. Anchors that only one document has end there: no window around
 them repeats. Only windows whose anchor survives are hashed at the doubled length, and only
-those that start in several documents survive that level. With further levels, windows that
-survive are doubled again until none do (longest_repeats).
+those that start in several documents survive that level. longest_repeats goes on: windows that
+survive are doubled again, and again, until none do.
 
 Groups are never gathered: a level needs the least and greatest doc_id per hash, an aggregate with
 map-side combine, and a join back that adaptive execution splits where one hash is very common.
@@ -25,20 +25,17 @@ from .common import release, texts, written
 from .wordhash import hashes_of, run_hashes
 
 WINDOW = 50
-#: key: the first 8 bytes of the digest of all words; with doc_id it names a row.
-PASS_1 = "doc_id bigint, key bigint, sha string, n_words bigint, anchors array<bigint>"
-PASS_2 = "doc_id bigint, key bigint, text string, at array<int>, hashes array<bigint>"
-OUT = "doc_id bigint, key bigint, n_removed bigint, kept_sha256 string"
+PASS_1 = "doc_id bigint, sha string, n_words bigint, anchors array<bigint>"
+PASS_2 = "doc_id bigint, text string, hashes array<bigint>"
+OUT = "doc_id bigint, sha string, n_removed bigint, kept_sha256 string"
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
-def digest_of(words: list[bytes]) -> tuple[int, str]:
-    """Key and hex digest."""
-    d = hashlib.sha256(b" ".join(words))
-    return int.from_bytes(d.digest()[:8], "little", signed=True), d.hexdigest()
+def digest_of(words: list[bytes]) -> str:
+    return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
 def anchors_of(w: np.ndarray, window: int) -> np.ndarray:
@@ -73,55 +70,52 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 def _anchors(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, sha, n, anchors = [], [], [], []
+            sha, n, anchors = [], [], []
             for text in batch.column(1):
                 words = words_of(text.as_py())
                 w = hashes_of(words)
-                k, d = digest_of(words)
-                key.append(k)
-                sha.append(d)
+                sha.append(digest_of(words))
                 n.append(len(words))
                 half = run_hashes(w, window // 2)
                 anchors.append(_long(np.unique(half[np.unique(anchors_of(w, window))])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key, pa.int64()), pa.array(sha, pa.string()), pa.array(n, pa.int64()), _lists(anchors, pa.int64())], names=["doc_id", "key", "sha", "n_words", "anchors"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sha, pa.string()), pa.array(n, pa.int64()), _lists(anchors, pa.int64())], names=["doc_id", "sha", "n_words", "anchors"])
 
     return run
 
 
 def _windows(window: int):
-    """Hashes of the windows whose anchor is among the document's repeated ones."""
+    """Distinct hashes of the windows whose anchor is among the repeated ones. Rows that share a doc_id share these, so one may send a window that only the other's anchors let through: it is compared like any other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places, hashes, own = [], [], []
-            for key, text, repeated in zip(batch.column(1), batch.column(2), batch.column(3)):
-                words = words_of(text.as_py())
-                own.append(digest_of(words)[0] == key.as_py())
-                w = hashes_of(words)
+            hashes = []
+            for text, repeated in zip(batch.column(1), batch.column(2)):
+                w = hashes_of(words_of(text.as_py()))
                 anchor = _long(run_hashes(w, window // 2))[anchors_of(w, window)]
-                at = np.flatnonzero(np.isin(anchor, repeated.values.to_numpy(zero_copy_only=False)))
-                places.append(at)
-                hashes.append(_long(run_hashes(w, window)[at]))
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), _lists(places, pa.int32()), _lists(hashes, pa.int64())], names=["doc_id", "key", "text", "at", "hashes"])
-            yield out.filter(pa.array(own, pa.bool_()))  # a repeated doc_id also met the anchors of its other texts
+                at = np.isin(anchor, repeated.values.to_numpy(zero_copy_only=False))
+                hashes.append(_long(np.unique(run_hashes(w, window)[at])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(hashes, pa.int64())], names=["doc_id", "text", "hashes"])
 
     return run
 
 
 def _remove(window: int):
+    """What is left of texts without the windows of the given hashes, wherever they stand in the text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, kept = [], []
-            for text, at in zip(batch.column(2), batch.column(3)):
+            sha, removed, kept = [], [], []
+            for text, gone in zip(batch.column(1), batch.column(2)):
                 words = words_of(text.as_py())
                 edges = np.zeros(len(words) + 1, np.int64)
-                starts = np.unique(at.values.to_numpy(zero_copy_only=False))
+                starts = np.flatnonzero(np.isin(_long(run_hashes(hashes_of(words), window)), gone.values.to_numpy(zero_copy_only=False)))
                 edges[starts] += 1
                 edges[starts + window] -= 1
                 covered = np.cumsum(edges[:-1]) > 0
+                sha.append(digest_of(words))
                 removed.append(int(covered.sum()))
-                kept.append(hashlib.sha256(b" ".join([words[i] for i in np.flatnonzero(~covered).tolist()])).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "key", "n_removed", "kept_sha256"])
+                kept.append(digest_of([words[i] for i in np.flatnonzero(~covered).tolist()]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sha, pa.string()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "sha", "n_removed", "kept_sha256"])
 
     return run
 
@@ -143,22 +137,55 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = docs.sparkSession
     docs = texts(docs)
     first = written(docs.mapInArrow(_anchors(window), PASS_1), "anchors")
-    each = first.where("doc_id is not null").select("doc_id", "key", F.explode("anchors").alias("anchor"))
-    alive = repeated(each, "anchor")
-    hits = written(each.join(alive, "anchor").groupBy("doc_id", "key").agg(F.collect_set("anchor").alias("repeated")), "hits")
+    each = first.where("doc_id is not null").select("doc_id", F.explode("anchors").alias("anchor"))
+    hits = written(each.join(repeated(each, "anchor"), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("repeated")), "hits", 2)
     release(spark)
     # texts of documents with surviving anchors
-    again = docs.join(hits.select("doc_id", "repeated", "key"), "doc_id")
-    second = written(again.select("doc_id", "key", "text", "repeated").mapInArrow(_windows(window), PASS_2), "windows")
+    second = written(docs.join(hits, "doc_id").select("doc_id", "text", "repeated").mapInArrow(_windows(window), PASS_2), "windows", 2)
     release(spark, hits)
-    each = second.select("doc_id", "key", F.explode(F.arrays_zip("at", "hashes")).alias("w")).select("doc_id", "key", "w.at", F.col("w.hashes").alias("hash"))
+    each = second.select("doc_id", F.explode("hashes").alias("hash"))
     gone = each.join(repeated(each, "hash"), "hash").where("doc_id > first_doc")
-    gone = written(gone.groupBy("doc_id", "key").agg(F.collect_set("at").alias("at")), "gone")
+    gone = written(gone.groupBy("doc_id").agg(F.collect_set("hash").alias("gone")), "gone", 1)
     release(spark)
-    cut = gone.join(second.select("doc_id", "key", "text"), ["doc_id", "key"]).select("doc_id", "key", "text", "at")
-    cut = cut.mapInArrow(_remove(window), OUT).dropDuplicates(["doc_id", "key"])
+    cut = gone.join(second.select("doc_id", "text"), "doc_id").select("doc_id", "text", "gone")
+    cut = cut.mapInArrow(_remove(window), OUT).dropDuplicates(["doc_id", "sha"])
     return (
-        first.select("doc_id", "key", "sha", "n_words")
-        .join(cut, ["doc_id", "key"], "left")
+        first.select("doc_id", "sha", "n_words")
+        .join(cut, ["doc_id", "sha"], "left")
         .select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
     )
+
+
+def longest_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Levels of the doubling: rows (length, doc_id, n_windows) for window, 2 * window, and so on until no candidate survives.
+
+    n_windows is how many distinct windows of that length in the document start in another one too.
+    At each level only places whose two halves both repeat are hashed; a document's surviving
+    hashes travel with its text to the next. Null texts and null doc_ids have no windows.
+    """
+    docs = texts(docs).where("doc_id is not null")
+    alive = docs.select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("hashes"))
+    length, levels = window, None
+    while True:
+
+        def run(batches: Iterator[pa.RecordBatch], length=length, first=levels is None) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = []
+                for text, halves in zip(batch.column(1), batch.column(2)):
+                    w = hashes_of(words_of(text.as_py()))
+                    whole = run_hashes(w, length)
+                    if not first:
+                        half = np.isin(_long(run_hashes(w, length // 2)), halves.values.to_numpy(zero_copy_only=False))
+                        whole = whole[half[: len(whole)] & half[length // 2 : length // 2 + len(whole)]]
+                    found.append(_long(np.unique(whole)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(found, pa.int64())], names=["doc_id", "text", "hashes"])
+
+        level = written(alive.mapInArrow(run, PASS_2), "level")
+        each = level.select("doc_id", F.explode("hashes").alias("hash")).distinct()
+        hits = written(each.join(repeated(each, "hash").select("hash"), "hash").groupBy("doc_id").agg(F.collect_set("hash").alias("hashes")), "alive", 2)
+        if hits.isEmpty():
+            return levels if levels is not None else hits.select(F.lit(length).alias("length"), "doc_id", F.size("hashes").alias("n_windows"))
+        rows = hits.select(F.lit(length).alias("length"), "doc_id", F.size("hashes").alias("n_windows"))
+        levels = rows if levels is None else levels.union(rows)
+        alive = hits.join(level.select("doc_id", "text"), "doc_id").select("doc_id", "text", "hashes")
+        length *= 2
