@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -10,16 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.session import ship_package
+from . import caches
 
 
 #: Bytes of the rows that a Python worker gets at once; Spark's own bound is far above what a small executor can hold of several.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 
 
 def prepared(spark: SparkSession) -> None:
-    """Workers get the package, and rows in batches of bounded bytes."""
+    """Workers get the package, and rows in batches of bounded bytes; the driver keeps short descriptions of plans, which adaptive execution writes anew after every stage."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    spark.conf.set("spark.sql.ui.explainMode", "simple")
+    spark.conf.set("spark.sql.maxPlanStringLength", 20_000)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +52,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def few(df: DataFrame, waves: int = 4) -> DataFrame:
+def few(df: DataFrame, waves: int = 16) -> DataFrame:
     """df in so many partitions for each core at most, by running several in one task, one after another.
 
     Files then number a few for each core, whatever the number of partitions before. Memory is that
@@ -59,12 +61,13 @@ def few(df: DataFrame, waves: int = 4) -> DataFrame:
     return df.coalesce(max(1, waves * df.sparkSession.sparkContext.defaultParallelism))
 
 
-def written(df: DataFrame, name: str, waves: int = 4) -> DataFrame:
+def written(df: DataFrame, name: str, waves: int = 8) -> DataFrame:
     """df as a table written to the shared folder and read again: lineage ends here, so a lost executor costs a re-read. waves: files for each core at most."""
     spark = df.sparkSession
     prepared(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     few(df, waves).write.option("compression", "zstd").parquet(path)
+    release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
@@ -76,7 +79,7 @@ def release(spark: SparkSession, *frames: DataFrame) -> None:
     for df in frames:
         path = hadoop.Path(df.written_to)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
+    caches.trim()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -24,7 +24,7 @@ from . import caches
 from .wordhash import mix
 
 #: Bytes that a worker's values of words may take, and those of a dictionary of other cuts, about.
-CACHE_BYTES, DICTIONARY_BYTES = 64 << 20, 8 << 20
+CACHE_BYTES, DICTIONARY_BYTES = 24 << 20, 4 << 20
 #: Bytes of the longest word that is kept.
 LONGEST = 64
 #: What an entry takes beside its key's letters and its value's bytes.
@@ -33,7 +33,7 @@ _ENDS = frozenset(".,")
 #: Words that are encoded as one text.
 JOINED = 256
 #: Bytes of text that are cut at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 _ODD_SPACE = re.compile(r"\s\s|[^\S \n]")
 _CONTROL = re.compile(r"[\x0b\x0c\x1c-\x1f]")
 _CUTS = re.compile(r"\s*\S+|\s+")

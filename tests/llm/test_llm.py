@@ -448,3 +448,144 @@ def test_cache_answers_repeat_and_limit():
     assert b"".join(w.values_of(["a", "b", "a,", "\nc"])) == b" a b a,\nc"
     assert b"".join(w.values_of(["a", "d", "e"])) == b" a d e"
     assert asked.count(" a") <= 2
+
+
+def test_longest_repeats_double_until_none_survive(spark):
+    r = random.Random(4)
+    long, short = (" ".join(f"p{k}-{r.randrange(9)}" for k in range(n)) for n in (45, 12))
+    fill = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(r.randint(0, 30)))
+    rows = [(i, f"{fill()} {(long, short)[i % 2]} {fill()}") for i in range(8)] + [(8, None), (9, ""), (None, long)]
+    want = {}
+    for length in (10, 20, 40, 80):
+        seen = {}
+        for i, t in rows:
+            w = (t or "").split() if i is not None else []
+            for k in range(len(w) - length + 1):
+                seen.setdefault(tuple(w[k : k + length]), set()).add(i)
+        for owners in seen.values():
+            for i in owners if len(owners) > 1 else ():
+                want[length, i] = want.get((length, i), 0) + 1
+    got = {(x["length"], x["doc_id"]): x["n_windows"] for x in substring.longest_repeats(docs(spark, rows), window=10).collect()}
+    assert got == want and max(n for n, _ in want) == 40
+    assert substring.longest_repeats(docs(spark, []), window=10).count() == 0
+
+
+def brute_phrases(sample, text):
+    n = at = 0
+    while at < len(text):
+        k = 1
+        while at + k < len(text) and text[at : at + k + 1] in sample:
+            k += 1
+        at, n = at + k, n + 1
+    return n
+
+
+def test_language_phrases_match_a_plain_parse_on_several_scripts():
+    r = random.Random(1)
+    samples = {"a": ["abab cab хлеб и соль 日本語の本"], "b": ["baba bac ab 日本 語 ελληνικα"]}
+    model = language.Model(samples)
+    letters = "abc хлебс日本語ελ"
+    texts = ["ab" * 900, "", *("".join(r.choice(letters) for _ in range(r.choice([3, 50, language.LANE, 2000]))) for _ in range(30))]
+    counts, _ = model.phrases(texts)
+    for k, t in enumerate(texts):
+        assert counts[k].tolist() == [brute_phrases(" ".join(samples[x]).encode(), t.encode()) for x in model.languages]
+
+
+def test_special_strings_in_long_cuts_are_counted_in_linear_time():
+    import time
+
+    c = token_counts.PrefixCounter(BYTE)
+    c.index("warm up")
+    text = "xab" * 33_000 + "<|endoftext|>" + "yab" * 33_000
+    began = time.process_time()
+    index = c.index(text)
+    assert time.process_time() - began < 10
+    assert token_counts.count(index) == len(c.library.tokenizer.encode(text, add_special_tokens=False).ids)
+    short = "ab<|endoftext|>c <|ENDOFTEXT|>"
+    assert np.cumsum(c.index(short)).tolist() == [len(c.library.tokenizer.encode(short[:j], add_special_tokens=False).ids) for j in range(1, len(short) + 1)]
+
+
+def test_counts_in_batches_match_the_library(spark):
+    rows = [(i, t) for i, t in enumerate(strings(300, 9))] + [(1000, None), (1001, ""), (1002, "The thand. Foo, bar " * 600), (1003, "<|endoftext|>")]
+    library = Encoder(BYTE).tokenizer
+    got = {r["doc_id"]: r for r in token_counts.token_counts(docs(spark, rows), BYTE, limit=5).collect()}
+    for i, t in rows:
+        n = len(library.encode(t or "", add_special_tokens=False).ids)
+        assert (got[i]["n_bytes"], got[i]["n_tokens"], got[i]["over_limit"]) == (len((t or "").encode()), n, n > 5)
+        if len(t or "") < 200:
+            want = [len(library.encode(t[:j], add_special_tokens=False).ids) for j in range(1, len(t or "") + 1)] if t else []
+            assert got[i]["chars_within_limit"] == max([0, *(j for j, m in enumerate(want, 1) if m <= 5)])
+
+
+def test_packing_columns(spark):
+    library = Encoder(WORD).tokenizer
+    rows = [*CASES, (20, "a b c " * 21 + "a"), (21, "a " * 63), (22, "a " * 64)]
+    got = packing.pack_documents(docs(spark, rows), WORD, capacity=64).collect()
+    want = []
+    for i, t in rows:
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        want += [(i, k, at, len(ids[at : at + 64]), zlib.crc32(ids[at : at + 64].tobytes())) for k, at in enumerate(range(0, len(ids), 64))]
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == sorted(want)
+    total = sum(w[3] for w in want)
+    assert len({r["sequence_id"] for r in got}) <= -(-total // 64) + 16  # open bins of the tasks
+
+
+def test_toxicity_with_few_labels(spark):
+    rows = toxic_docs(200)
+    df = spark.createDataFrame([r[:3] for r in rows], "doc_id bigint, text string, lang string")
+    few = spark.createDataFrame([(r[0], r[3]) for r in rows[:24]], "doc_id bigint, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.predict(df, toxicity.fit(df, few)).collect()}
+    clean = [r[0] for r in rows if not r[3]]
+    assert sum(got[i] for i in clean) <= 0.1 * len(clean)
+    one_kind = spark.createDataFrame([(r[0], 0) for r in rows[:24]], "doc_id bigint, toxic int")
+    assert not any(r["predicted"] for r in toxicity.predict(df, toxicity.fit(df, one_kind)).collect())
+    assert toxicity.predict(df.where("doc_id < 0"), toxicity.fit(df.where("doc_id < 0"), few)).count() == 0
+
+
+def test_decontamination_in_blocks_keeps_rows(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "ITEMS_IN_PASS", 2)
+    r = random.Random(6)
+    items = [" ".join(f"i{k}x{r.randrange(10**6)}" for _ in range(20)) for k in range(7)]
+    rows = [(i, f"some words {items[i % 7]} and more") for i in range(10)] + [(50, "clean words only"), (0, "clean too"), (None, items[3]), (None, None)]
+    rows.append(rows[0])
+    bench = spark.createDataFrame([(k, t) for k, t in enumerate(items)], "item_id bigint, text string")
+    got = [(x["doc_id"], x["item_id"], x["n_items"]) for x in decontamination.find_contaminated(docs(spark, rows), bench).collect()]
+    want = [(i, next((k for k, t in enumerate(items) if t in (text or "")), None)) for i, text in rows]
+    assert sorted(got, key=str) == sorted([(i, k, int(k is not None)) for i, k in want], key=str)
+
+
+def test_vectors_of_several_lengths_and_sizes(spark):
+    rows = [(1, [1.0, 0.0], 7), (2, [2.0, 0.0], 7), (3, [1.0, 0.0, 0.0], 7), (4, [5.0, 0.0, 0.0], 7), (5, [1e200, 1e200], 8), (6, [1e-200, 1e-200], 8), (7, [1.0, -1.0], 8), (None, [1.0, 0.0], 7)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nndescent.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (1, 5), 6: (1, 5), 7: (0, 7), None: (0, None)}
+
+
+def test_near_duplicates_of_long_documents_in_many_components(spark):
+    """Families whose members share bands but mostly do not link, with long texts: the rest of a family is compared in blocks."""
+    r = random.Random(12)
+    base = [f"b{k}" for k in range(3000)]
+    rows = []
+    for i in range(40):
+        own = list(base)
+        for k in r.sample(range(3000), r.choice([60, 90, 110, 130, 150])):
+            own[k] = f"c{r.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(docs(spark, rows)).collect()}
+    assert got == brute_near(rows)
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf_dir, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    real = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", F.col("n_chars").cast("bigint").alias("n_chars"))
+    odd = spark.createDataFrame([(90001, None, None, None, None), (90002, "", "en", "s", 0), (90003, " \n ", "en", "s", 3), (None, "a b c", "en", "s", 5), (90002, "", "en", "s", 0)], schema)
+    for df in (real.limit(50).union(odd), real.limit(0)):
+        docs_ = df
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs_ = stage(spark, docs_, sf_dir).cache()
+            assert docs_.columns == df.columns, name
+        left = [x["doc_id"] for x in docs_.collect()]
+        if df.count():
+            assert left.count(90001) == 1 and left.count(90002) == 2 and left.count(90003) == 1 and left.count(None) == 1
+        assert corpus_pipeline.STAGES[-1][1](spark, docs_, sf_dir).count() >= len(left)
