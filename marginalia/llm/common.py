@@ -67,7 +67,6 @@ def written(df: DataFrame, name: str, waves: int = 8) -> DataFrame:
     prepared(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     few(df, waves).write.option("compression", "zstd").parquet(path)
-    release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
