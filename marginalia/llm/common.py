@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,9 +70,31 @@ def written(df: DataFrame, name: str, waves: int = 8) -> DataFrame:
     few(df, waves).write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    trim_driver(spark)
     return out
 
 
+def trim_driver(spark: SparkSession) -> None:
+    """Gives free native pages of the driver's JVM back to the system, in milliseconds.
+
+    Adaptive execution starts a thread for each exchange it runs at once, and each thread's native
+    allocations leave free pages in a malloc arena of its own: of 1256 MB after two runs of the
+    pipeline 209 MB were such pages, while the heap in use was 112 MB. JVMs without the command
+    (before 17.0.9, or without its bean) keep them.
+    """
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    of = jvm.java.lang.Class.forName
+    names = ["javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"]
+    types, args = gateway.new_array(jvm.java.lang.Class, len(names)), gateway.new_array(jvm.java.lang.Object, len(names))
+    try:
+        for i, name in enumerate(names):
+            types[i] = of(name)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        of("javax.management.MBeanServer").getMethod("invoke", types).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JJavaError:
+        pass
+
+
 def release(spark: SparkSession, *frames: DataFrame) -> None:
     """Frees shuffle files of finished stages, and the tables behind frames that nothing reads any more."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
@@ -80,6 +103,7 @@ def release(spark: SparkSession, *frames: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     caches.trim()
     spark.sparkContext._jvm.System.gc()
+    trim_driver(spark)
 
 
 def partitions(spark: SparkSession) -> int:
