@@ -63,11 +63,11 @@ def few(df: DataFrame, waves: int = 16) -> DataFrame:
 
 
 def written(df: DataFrame, name: str, waves: int = 8) -> DataFrame:
-    """df as a table written to the shared folder and read again: lineage ends here, so a lost executor costs a re-read. waves: files for each core at most."""
+    """df as a table written to the shared folder and read again: lineage ends here, so a lost executor costs a re-read. waves: files for each core at most; 0: a file for each of df's tasks."""
     spark = df.sparkSession
     prepared(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    few(df, waves).write.option("compression", "zstd").parquet(path)
+    (few(df, waves) if waves else df).write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     trim_driver(spark)

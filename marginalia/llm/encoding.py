@@ -199,10 +199,8 @@ class Encoder:
     """byte_level: a pre-tokenizer that ties one space to the word after it; else white space is dropped."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = self.load(path)
         self.byte_level = self.tokenizer.normalizer is None
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(sorted(special, key=len, reverse=True)) or r"(?!)", re.I)
@@ -215,6 +213,11 @@ class Encoder:
         self.other = Words(self.direct, False)
         self.ends = np.frombuffer(b"".join(self.odd.ends[c] for c in ".,"), "<u4")
 
+    def load(self, path: str):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(path)
+
     def direct(self, texts: list[str]) -> list[bytes]:
         """Ids of each as the library gives them, little-endian unsigned 32-bit."""
         return [little(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
