@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     crowded = nodes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = written(nodes.select("node", F.explode("bands").alias("key")).join(crowded, "key"), "members", 2)
     hubs = members.groupBy("node").agg(F.sum("n").alias("hub")).join(nodes.select("node", "signature"), "node")
-    hubs = written(hubs.dropDuplicates(["node"]), "hubs", 1)
+    hubs = written(hubs, "hubs", 1)  # a row for each signature of a node: an id that repeats may be the least of several classes
     release(spark, nodes)
     ranked = members.select("key", "node").join(hubs.select("node", "hub"), "node")
     pivots = ranked.groupBy("key").agg(F.max(F.struct("hub", -F.col("node"))).alias("top")).select("key", (-F.col("top.col2")).alias("pivot"))
@@ -248,12 +248,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     release(spark, sets, hubs)
     if not more.isEmpty():
         found = joined(found, more)
-    joined_rows = known.select("digest", "doc_id").join(classes, "digest").join(found.withColumnRenamed("id", "node"), "node", "left")
-    of_row = joined_rows.groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
+    placed = known.select("digest", "doc_id").join(classes, "digest").join(found.withColumnRenamed("id", "node"), "node", "left")
+    of_row = one_component(written(placed.select("doc_id", F.coalesce("component", "node").alias("component")), "placed", 2))
     out = sketches.select("doc_id", "n_shingles").join(of_row, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def one_component(placed: DataFrame) -> DataFrame:
+    """(doc_id, component_id) from rows (doc_id, component): an id of texts in several components joins these."""
+    ends = placed.groupBy("doc_id").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    several = ends.where("least < most").select("doc_id", "least")
+    if several.isEmpty():
+        return ends.select("doc_id", F.col("least").alias("component_id"))
+    moved = components(placed.join(several, "doc_id").where("component <> least").select(F.col("component").alias("a"), F.col("least").alias("b")))
+    moved = moved.select(F.col("id").alias("least"), F.col("component").alias("to"))
+    return ends.join(moved, "least", "left").select("doc_id", F.coalesce("to", "least").alias("component_id"))
+
+
 def joined(found: DataFrame, more: DataFrame) -> DataFrame:
     """Components (id, component) with the links (a, b) added: only components are joined, not their members anew."""
     of = lambda end: found.select(F.col("id").alias(end), F.col("component").alias(f"of_{end}"))

@@ -8,7 +8,7 @@ short, new cells are drawn and the lists refined again. Pairs above the threshol
 
 Links make components. Inside a component all pairs are counted exactly, block against block, so
 link counts do not depend on how long the lists grew: the lists only have to connect. Equal
-vectors of a label are one node with a multiplicity; groups of a cell are dealt to blocks of
+directions of a label are one node with a multiplicity; groups of a cell are dealt to blocks of
 bounded size.
 """
 
@@ -177,36 +177,91 @@ def audited(nodes: DataFrame, found: DataFrame, threshold: float) -> float:
 
 
 def _counts(threshold: float):
-    """Rows of a component's block pair: each vector's links in the other block, weighted with multiplicities."""
+    """Rows of a component's block pair: each vector's links in the other block, weighted with multiplicities; and the links of marked vectors one by one (other)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, links = [], []
+            nodes, links, others = [], [], []
             for i in range(batch.num_rows):
                 lo, hi = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                ids, block, n = (batch.column(c).slice(i, 1).flatten().to_numpy(zero_copy_only=False) for c in (2, 3, 4))
-                x = _matrix(batch.column(5), i, np.float64)
+                ids, block, n, marked = (batch.column(c).slice(i, 1).flatten().to_numpy(zero_copy_only=False) for c in (2, 3, 4, 5))
+                x = _matrix(batch.column(6), i, np.float64)
                 hit = x @ x.T >= threshold
                 if lo != hi:
                     hit &= block[:, None] != block[None, :]
                 np.fill_diagonal(hit, False)
-                nodes.append(ids)
-                links.append(hit @ n)
+                marked = marked.astype(bool)
+                a, b = np.nonzero(hit & (marked[:, None] | marked[None, :])) if marked.any() else (np.zeros(0, np.int64),) * 2
+                nodes += [ids, ids[a]]
+                links += [hit @ n, np.zeros(len(a), np.int64)]
+                others += [np.full(len(ids), -1), ids[b]]
             if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(links).astype(np.int64))], names=["node", "links"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (nodes, links, others)], names=["node", "links", "other"])
 
     return run
 
 
 def counted(nodes: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
-    """node, links: over all pairs of each component, in blocks of about BLOCK."""
-    rows = nodes.select("node", "n", "unit").join(found.withColumnRenamed("id", "node"), "node")
+    """node, links, other: over all pairs of each component, in blocks of about BLOCK. other is -1, or a vector that node is linked to where one of the two is marked (links is 0 then)."""
+    rows = nodes.select("node", "n", "marked", "unit").join(found.withColumnRenamed("id", "node"), "node")
     sizes = rows.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    groups = rows.groupBy("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).agg(F.collect_list(F.struct("node", "block", "n", "unit")).alias("m"))
-    counts = groups.select("lo", "hi", "m.node", "m.block", "m.n", "m.unit").mapInArrow(_counts(threshold), "node bigint, links bigint")
-    return counts.groupBy("node").agg(F.sum("links").alias("links"))
+    groups = rows.groupBy("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).agg(F.collect_list(F.struct("node", "block", "n", "marked", "unit")).alias("m"))
+    return groups.select("lo", "hi", "m.node", "m.block", "m.n", "m.marked", "m.unit").mapInArrow(_counts(threshold), "node bigint, links bigint, other bigint")
+
+
+def _blocks(threshold: float):
+    """Rows of a label's block pair: for each vector the least vector of the other block it is linked to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids = batch.column(0).slice(i, 1).flatten().to_numpy(zero_copy_only=False)
+                x = _matrix(batch.column(1), i, np.float64)
+                hit = x @ x.T >= threshold
+                np.fill_diagonal(hit, False)
+                least = np.where(hit, ids[None, :], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
+                own = hit.any(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(least[own])], names=["a", "b"])
+
+    return run
+
+
+def exact_edges(nodes: DataFrame, threshold: float) -> DataFrame:
+    """Edges (a, b) with the components of all links: block against block within each label, a vector's least partner of each block pair."""
+    sizes = nodes.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = nodes.select("node", "label", "unit").join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    groups = rows.groupBy("label", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).agg(F.collect_list(F.struct("node", "unit")).alias("m"))
+    return groups.select("m.node", "m.unit").mapInArrow(_blocks(threshold), "a bigint, b bigint")
+
+
+def linked_ids(members: DataFrame, nodes: DataFrame, counts: DataFrame) -> DataFrame:
+    """vec_id, n_links: the distinct other ids linked to any vector of an id.
+
+    members: rows (vec_id, node, several), several if the id has several vectors, whose nodes are
+    marked. Where no id is linked in two ways, that is a sum over nodes; marked nodes alone are
+    taken link by link, so that an id met through several vectors counts once.
+    """
+    sums = counts.where("other < 0").groupBy("node").agg(F.sum("links").alias("links"))
+    by_node = nodes.select("node", "n", "marked").join(sums, "node", "left").select("node", (F.col("n") + F.coalesce("links", F.lit(0))).alias("met"))
+    plain = members.where("not several").join(by_node, "node")
+    several = members.where("several")
+    if several.isEmpty():
+        return plain.select("vec_id", (F.col("met") - 1).alias("n_links"))
+    pairs = counts.where("other >= 0").select("node", "other").union(nodes.where("marked").select("node", F.col("node").alias("other")))
+    pairs = written(pairs, "marked", 2)
+    of_marked = several.select(F.col("node").alias("other"), F.col("vec_id").alias("met_id"))
+    # ids with one vector: what several of a node's partners share counts once
+    twice = pairs.join(of_marked, "other").groupBy("node", "met_id").agg(F.count("*").alias("k")).groupBy("node").agg(F.sum(F.col("k") - 1).alias("extra"))
+    ones = plain.join(twice, "node", "left").select("vec_id", (F.col("met") - 1 - F.coalesce("extra", F.lit(0))).alias("n_links"))
+    # ids with several: all nodes they reach, once each
+    reached = several.select("vec_id", "node").join(pairs, "node").select("vec_id", "other").distinct()
+    total = reached.join(nodes.select(F.col("node").alias("other"), "n"), "other").groupBy("vec_id").agg(F.sum("n").alias("met"))
+    extra = reached.join(of_marked, "other").groupBy("vec_id", "met_id").agg(F.count("*").alias("k")).groupBy("vec_id").agg(F.sum(F.col("k") - 1).alias("extra"))
+    many = total.join(extra, "vec_id", "left").select("vec_id", (F.col("met") - 1 - F.coalesce("extra", F.lit(0))).alias("n_links"))
+    return ones.union(many)
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, log: list | None = None) -> DataFrame:
@@ -214,21 +269,24 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, log: list | N
 
     Vectors that are null or zero or hold null or non-finite components and vectors without a label
     stand alone, with no links; vectors of several lengths link with those of their own only. A
-    null vec_id stands alone with a null component and is kept. Rows that repeat a vec_id are
-    copies or, with other contents, vectors of the same node. Other columns are dropped. log, if
-    given, gets the audited recall of each try. If no try reaches RECALL, an error says so.
+    null vec_id stands alone with a null component and is kept. Rows that repeat a vec_id are one
+    vector, or with other contents several vectors of that id: it is linked to whatever one of
+    them is, n_links counts distinct other ids, and the components they are in are one. Ties in
+    similarity go to the smaller node of the lists and decide no link. An empty table gives an
+    empty one. Other columns are dropped. log, if given, gets the audited recall of each try. If
+    no try reaches RECALL, all vectors of a label are compared in blocks.
     """
+    spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     # scaled by the largest component first, lest squares overflow or vanish
     fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = rows.where(fine).withColumn("top", F.array_max(F.transform("embedding", lambda x: F.abs(x)))).where("top > 0")
-    usable = usable.withColumn("label", F.concat_ws(":", "label", F.size("embedding")))
-    scaled = F.transform("embedding", lambda x: x / F.col("top"))
-    classes = usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"), F.first("top").alias("top"))
-    nodes = classes.select("node", "label", "n", scaled.alias("scaled"))
-    nodes = nodes.withColumn("norm", F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda s, x: s + x * x)))
-    unit = F.transform("scaled", lambda x: x / F.col("norm"))
-    nodes = written(nodes.select("node", "label", "n", unit.alias("unit"), unit.cast("array<float>").alias("vector")), "vectors", 2)
+    usable = usable.select("vec_id", F.concat_ws(":", "label", F.size("embedding")).alias("label"), F.transform("embedding", lambda x: x / F.col("top")).alias("scaled"))
+    usable = usable.withColumn("norm", F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda s, x: s + x * x)))
+    usable = usable.select("vec_id", "label", F.transform("scaled", lambda x: x / F.col("norm") + 0.0).alias("unit"))
+    # nodes get numbers when they are written, and keep them from then on
+    nodes = written(usable.select("label", "unit").distinct().select(F.monotonically_increasing_id().alias("node"), "label", "unit", F.col("unit").cast("array<float>").alias("vector")), "vectors", 2)
+    members = written(usable.join(nodes.select("label", "unit", "node"), ["label", "unit"]).select("vec_id", "node").distinct(), "members", 2)
     sizes = nodes.groupBy("label").agg(F.count("*").alias("size"))
     if nodes.isEmpty():
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -238,7 +296,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, log: list | N
         for round_ in range(ROUNDS):
             now = merged(lists, by_neighbours(lists, nodes, round_), round_ + 2, threshold)
             new, size = now.agg(F.count_if(F.col("was") == 0), F.count("*")).first()
-            release(nodes.sparkSession, lists)
+            release(spark, lists)
             lists = now
             if new <= QUIET * size:
                 break
@@ -249,12 +307,26 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, log: list | N
         if recall >= RECALL:
             break
     else:
-        raise RuntimeError(f"recall {recall:.4f} after {TRIES} tries is under {RECALL}: raise TRIES, TABLES or NEIGHBOURS")
-    links = counted(nodes, found, threshold)
-    placed = nodes.select("node", "n").join(links, "node", "left").join(found.withColumnRenamed("id", "node"), "node", "left")
-    placed = placed.select("node", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    of_class = usable.select("vec_id", "label", "embedding").join(classes.select("label", "embedding", "node"), ["label", "embedding"]).join(placed, "node")
-    of_row = of_class.groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    out = rows.select("vec_id").join(of_row, "vec_id", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+        found = components(exact_edges(nodes, threshold)).drop("g")
+    several = members.groupBy("vec_id").agg(F.count("*").alias("vectors")).where("vectors > 1").select("vec_id", F.lit(True).alias("several"))
+    members = members.join(several, "vec_id", "left").select("vec_id", "node", F.coalesce("several", F.lit(False)).alias("several"))
+    of_node = members.groupBy("node").agg(F.count("*").alias("n"), F.max("several").alias("marked"))
+    nodes = nodes.select("node", "unit").join(of_node, "node")
+    n_links = linked_ids(members, nodes.drop("unit"), counted(nodes, found, threshold))
+    placed = members.join(found.withColumnRenamed("id", "node"), "node", "left").select("vec_id", F.coalesce("component", "node").alias("component"))
+    return rows.select("vec_id").join(n_links, "vec_id", "left").join(smallest(placed), "vec_id", "left").select(
+        "vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
+        F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(True)).alias("kept"),
+    )
+
+
+def smallest(placed: DataFrame) -> DataFrame:
+    """vec_id, component_id (its smallest vec_id) from rows (vec_id, component); components that share an id are one."""
+    ends = placed.groupBy("vec_id").agg(F.min("component").alias("component"), F.max("component").alias("most"))
+    several = ends.where("component < most").select("vec_id", F.col("component").alias("least"))
+    if not several.isEmpty():
+        moved = components(placed.join(several, "vec_id").where("component <> least").select(F.col("component").alias("a"), F.col("least").alias("b")))
+        moved = moved.select(F.col("id").alias("component"), F.col("component").alias("to"))
+        ends = ends.join(moved, "component", "left").select("vec_id", F.coalesce("to", "component").alias("component"))
+    ids = ends.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    return ends.join(ids, "component").select("vec_id", "component_id")

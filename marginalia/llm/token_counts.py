@@ -129,22 +129,19 @@ class PrefixCounter:
     def counts(self, cut: str) -> list[int]:
         """Count at each character of a cut that begins a pre-token, from 0.
 
-        A special string ends what stands before it, and its prefixes are ordinary letters.
+        A special string ends what stands before it, and its prefixes are ordinary letters. Any
+        number of them is linear: each is counted with what stands between it and the one before.
         """
-        found = self.special_in(cut)
-        if found:
-            a, b = found
-            before = self.plain_counts(cut[: b - 1])
-            whole = self.plain_counts(cut[:a])[-1] + 1
-            return [*before, *[whole + n for n in self.counts(cut[b:])]]
-        return self.plain_counts(cut)
-
-    def special_in(self, cut: str) -> tuple[int, int] | None:
-        """The first special string as written (the pattern finds any case)."""
-        for m in self.special.finditer(cut):
-            if self.library.tokenizer.token_to_id(m[0]) is not None and m[0].encode() not in self.vocab:
-                return m.span()
-        return None
+        out, base, at = [], 0, 0
+        for a, b in self.specials_in(cut):
+            out += [base + n for n in self.plain_counts(cut[at : b - 1])]
+            base += 1 + (self.plain_counts(cut[at:a])[-1] if a > at else 0)
+            at = b
+        return out + [base + n for n in self.plain_counts(cut[at:])]
+
+    def specials_in(self, cut: str) -> list[tuple[int, int]]:
+        """The special strings as written (the pattern finds any case)."""
+        return [m.span() for m in self.special.finditer(cut) if self.library.tokenizer.token_to_id(m[0]) is not None and m[0].encode() not in self.vocab]
 
     def plain_counts(self, cut: str) -> list[int]:
         counts, base, pieces = [0], 0, self.pre_tokens(cut)
