@@ -168,23 +168,25 @@ def decoder(path: str) -> Decoder:
     return _decoders[path]
 
 
-def encode(docs: DataFrame, ranks: str, offsets: bool = False) -> DataFrame:
-    """Per row of docs: doc_id, ids (binary, little-endian unsigned 32-bit); with offsets, starts and ends (characters, arrays of int).
+def encode(docs: DataFrame, ranks: str, offsets: bool = False, decoded: bool = False) -> DataFrame:
+    """Per row of docs: doc_id, ids (binary, little-endian unsigned 32-bit); with offsets, starts and ends (characters, arrays of int); with decoded, the bytes that ids stand for, decoded in the same pass, so that a task has one Python worker.
 
     A null or empty text has no ids. Texts are taken whole, however long. Rows keep their
     multiplicity and a null doc_id; other columns are dropped; an empty table gives an empty one.
     One narrow pass.
     """
-    schema = "doc_id bigint, ids binary" + (", starts array<int>, ends array<int>" if offsets else "")
+    schema = "doc_id bigint, ids binary" + (", starts array<int>, ends array<int>" if offsets else "") + (", decoded binary" if decoded else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, back = encoder(ranks), decoder(ranks) if offsets else None
+        own, back = encoder(ranks), decoder(ranks) if offsets or decoded else None
         for batch in batches:
             ids = own.encode_all(batch.column(1))
             out, names = [batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"]
             if offsets:
                 both = [back.offsets(np.frombuffer(i, "<u4")) for i in ids]
                 out, names = [*out, *(pa.array([x[k] for x in both], pa.list_(pa.int32())) for k in (0, 1))], [*names, "starts", "ends"]
+            if decoded:
+                out, names = [*out, pa.array([back.decode(np.frombuffer(i, "<u4")) for i in ids], pa.binary())], [*names, "decoded"]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
     return texts(docs).mapInArrow(run, schema)

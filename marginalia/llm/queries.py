@@ -79,10 +79,9 @@ def op11_filter_audit(spark, sf_dir):
 
 
 def op12_byte_bpe(spark, sf_dir):
-    from .byte_bpe import decode, digests, encode
+    from .byte_bpe import digests, encode
 
-    ranks = tokenizer("byte_bpe_50k.tiktoken")
-    return digests(decode(encode(table(spark, sf_dir, "documents"), ranks), ranks))
+    return digests(encode(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), decoded=True))
 
 
 def op13_centroids(spark, sf_dir):
