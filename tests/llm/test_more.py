@@ -1,0 +1,298 @@
+"""Filters in every order, BPE from ranks, integer centroids; ids that repeat with other contents; many special strings."""
+
+import hashlib
+import itertools
+import random
+import re
+import time
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from marginalia.llm import byte_bpe, centroids, filter_audit, minhash, nndescent, queries, token_counts
+from marginalia.llm.queries import tokenizer
+
+from .test_llm import BITS, brute_near, docs
+
+RANKS = tokenizer("byte_bpe_50k.tiktoken")
+
+
+@pytest.fixture(scope="module")
+def library():
+    import public_tokenizers
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
+
+
+@pytest.fixture(scope="module")
+def own():
+    return byte_bpe.RankEncoder(RANKS)
+
+
+# byte-level BPE
+
+
+def test_ids_are_those_of_ranks(library, own):
+    r = random.Random(3)
+    contested = sorted(s.decode() for s in byte_bpe.overlaps(own.ranks) if s.isascii())
+    rows = ["".join(r.choice(BITS) + (" " if r.random() < 0.4 else "") for _ in range(r.randint(0, 9))) for _ in range(1500)]
+    rows += ["".join(r.choice(contested) for _ in range(r.randint(1, 4))) for _ in range(1500)]
+    rows += ["".join(chr(r.choice([r.randint(32, 127), r.randint(128, 0x2FFF), r.randint(0x10000, 0x1FFFF)])) for _ in range(r.randint(1, 30))) for _ in range(500)]
+    rows += ["a" * 30_000, "-" * 5_001, "ab" * 5_000 + " " * 999]
+    back = byte_bpe.Decoder(RANKS)
+    own.words.limit = own.other.limit = 20
+    for text, ids in zip(rows, own.encode_all(pa.array(rows))):
+        ids = np.frombuffer(ids, "<u4")
+        assert ids.tolist() == library.encode_ordinary(text), repr(text[:80])
+        assert back.decode(ids) == text.encode()
+
+
+def test_every_code_point_is_cut_as_by_ranks(library, own):
+    rows = [f"a{chr(c)}1{chr(c)}! {chr(c)}b" for c in range(1, 0x30000, 7) if not 0xD800 <= c < 0xE000]
+    for text, ids in zip(rows, own.encode_all(pa.array(rows))):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text), repr(text)
+
+
+def test_merges_go_by_rank_then_place(library):
+    ranks = {bytes([b]): b for b in range(256)} | {b"aa": 256, b"aaa": 257, b"ba": 258, b"baa": 259}
+    e = byte_bpe.RankEncoder.__new__(byte_bpe.RankEncoder)
+    e.ranks = ranks
+    for size in range(1, 9):
+        for letters in itertools.product(b"ab", repeat=size):
+            data = bytes(letters)
+            parts = [data[i : i + 1] for i in range(len(data))]
+            while data not in ranks and len(parts) > 1:
+                best = min((ranks.get(x + y, 999), i) for i, (x, y) in enumerate(zip(parts, parts[1:])))
+                if best[0] == 999:
+                    break
+                parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+            assert e.merged(data) == ([ranks[data]] if data in ranks else [ranks[p] for p in parts])
+
+
+def test_offsets_and_split_characters(own):
+    back = byte_bpe.Decoder(RANKS)
+    for text in ("", "The thand.", "日本語 😀é", "á\U0001f469‍\U0001f4bb!"):
+        ids = np.frombuffer(own.encode(text), "<u4")
+        pieces = list(back.stream(ids))
+        assert "".join(pieces) == text and len(pieces) == len(ids) + 1
+        starts, ends = back.offsets(ids)
+        at = 0
+        for i, a, b in zip(ids, starts, ends):
+            data = back.decode(np.array([i]))
+            assert len(text[:a].encode()) <= at and at + len(data) <= len(text[:b].encode())
+            assert len(text[: a + 1].encode()) > at and len(text[: b - 1].encode()) < at + len(data)
+            at += len(data)
+    half = np.frombuffer(own.encode("😀"), "<u4")[:-1]
+    assert "".join(back.stream(half)) == "�"
+    assert back.decode(np.array([10**6])) == b""
+
+
+def test_byte_bpe_of_a_table(spark, library):
+    rows = [(3, "The thand. Foo"), (1, None), (7, ""), (2, "x y  z é日 " * 4000), (5, "<|endoftext|>"), (5, "<|endoftext|>"), (None, "a")]
+    encoded = byte_bpe.encode(docs(spark, rows), RANKS, offsets=True, decoded=True)
+    assert byte_bpe.digests(encoded).exceptAll(byte_bpe.digests(byte_bpe.decode(encoded, RANKS))).count() == 0
+    assert all(len(r["starts"]) == len(r["ends"]) == len(r["ids"]) // 4 for r in encoded.collect())
+    got = Counter(map(tuple, byte_bpe.digests(byte_bpe.decode(encoded, RANKS)).collect()))
+    want = Counter()
+    for i, t in rows:
+        ids = library.encode_ordinary(t or "")
+        want[i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()] += 1
+    assert got == want
+    assert byte_bpe.decode(byte_bpe.encode(docs(spark, []), RANKS), RANKS).count() == 0
+
+
+def test_byte_bpe_query(spark, sf_dir, library):
+    want = {}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect():
+        ids = library.encode_ordinary(r["text"] or "")
+        want[r["doc_id"]] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest())
+    assert {r["doc_id"]: tuple(r)[1:] for r in queries.QUERIES["op12_byte_bpe"](spark, sf_dir).collect()} == want
+
+
+# filters in every order
+
+
+def brute_audit(rows, labels):
+    """rows of (doc_id, text, source), labels of (doc_id, quality, toxic): counts by (part, order, step)."""
+    first = {}
+    for i, t, _ in rows:
+        if i is not None:
+            first[t or ""] = min(first.get(t or "", i), i)
+    good, toxic = ({i for i, *x in labels if x[k] == 1 and i is not None} for k in (0, 1))
+    out = {}
+    for part in {s or "" for *_, s in rows}:
+        own = []
+        for i, t, s in rows:
+            if (s or "") != part:
+                continue
+            t = t or ""
+            words = re.findall(r"[^\x20\x09-\x0D]+", t)
+            fails = {"A": len(words) < 50, "B": 100 * len(set(words)) < 65 * len(words), "C": 100 * len(re.findall("[A-Z]", t)) > 5 * len(t), "D": bool(re.search("[#$%&*|]", t)), "E": i is not None and first[t] < i}
+            own.append(({k for k, v in fails.items() if v}, i in good, i in toxic))
+        removed_by = Counter()
+        for order in map("".join, itertools.permutations("ABCDE")):
+            there = own
+            for step, k in enumerate(order, 1):
+                gone, stay = [d for d in there if k in d[0]], [d for d in there if k not in d[0]]
+                redundant = sum(k in d[0] for d in own) - len(gone)
+                out[part, order, step] = [len(stay), len(gone), redundant, sum(d[0] == {k} for d in own), sum(d[1] for d in gone), sum(d[2] for d in gone)]
+                removed_by[k] += len(gone)
+                there = stay
+        for (p, order, step), x in out.items():
+            if p == part:
+                x.append(removed_by[order[step - 1]])
+    return out
+
+
+def test_audit_matches_a_replay_one_by_one(spark):
+    r = random.Random(6)
+    texts = [None, "", " \t\n", "Big CAPS " * 30, "a|b " * 60, " ".join(f"w{k}" for k in range(60)), "x " * 40_000, "é日😀 " * 20 + "#", "same\x0bwords\x0cHERE\x85and\xa0there"]
+    rows = [(r.choice([None, *range(40)]), r.choice(texts), r.choice(["web", "web", "web", "", None, "Forum"])) for _ in range(80)]
+    rows += rows[:3]
+    labels = [(r.choice([None, *range(40)]), r.choice([None, 0, 1]), r.choice([None, 0, 1])) for _ in range(50)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumns({c: F.lit("clash") for c in ("part", "flags", "own", "digest", "good", "words", "step")})
+    marks = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").withColumn("flags", F.lit("clash"))
+    got = {(x["part"], x["filter_order"], x["step"]): list(x)[3:] for x in filter_audit.audit(df, marks).collect()}
+    assert got == brute_audit(rows, labels)
+    assert len(got) == 600 * len({k[0] for k in got})
+    assert filter_audit.audit(df.where("false"), marks).count() == 0
+    unlabelled = filter_audit.audit(df, marks.where("false")).agg(F.sum("good_lost"), F.sum("toxic_lost")).first()
+    assert tuple(unlabelled) == (0, 0)
+
+
+def test_shares_of_all_filters_add_up(spark, sf_dir):
+    """Over all filters the removals summed over the orders are 120 times the documents that fail any."""
+    rows = queries.QUERIES["op11_filter_audit"](spark, sf_dir)
+    shares = rows.where("filter_order = 'ABCDE'").groupBy("part").agg(F.sum("shapley").alias("shares"), F.max("kept").alias("k"), F.sum("removed").alias("removed"))
+    assert all(r["shares"] == 120 * r["removed"] for r in shares.collect())
+
+
+# centroids
+
+
+def brute_clusters(rows, clusters=16, rounds=3):
+    kept = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v in rows if v is not None and len(v) == 64 and all(x is not None and np.isfinite(x) for x in v)]
+    start = sorted((hashlib.sha256(f"1:{i}".encode()).hexdigest(), v) for i, v in kept if i is not None)
+    c = [list(v) for _, v in start[:clusters]]
+
+    def near():
+        return [min((sum((a - b) ** 2 for a, b in zip(v, u)), k) for k, u in enumerate(c)) for _, v in kept]
+
+    for _ in range(rounds):
+        own = near()
+        for k in range(len(c)):
+            members = [v for (_, v), (_, j) in zip(kept, own) if j == k]
+            if members:
+                c[k] = [sum(x) // len(members) for x in zip(*members)]
+    own = near()
+    inertia = Counter()
+    for d, k in own:
+        inertia[k] += d
+    sha = [hashlib.sha256(",".join(map(str, v)).encode()).hexdigest() for v in c]
+    return Counter((i, k, d, inertia[k], sum(inertia.values()), sha[k]) for (i, _), (d, k) in zip(kept, own))
+
+
+def test_clusters_match_brute_force(spark):
+    g = np.random.default_rng(2)
+    rows = [(k, [float(x) for x in np.round(g.normal(size=64) * (1 + k % 3), 1)]) for k in range(150)]
+    rows += [(k, rows[k - 200][1]) for k in range(200, 260)]  # ties and copies
+    rows += [rows[3], (4, rows[9][1]), (300, None), (301, []), (302, [1.0] * 63), (303, [float("nan")] * 64), (304, [float("inf")] * 64), (305, [None] * 64), (None, rows[5][1]), (306, [-0.0] * 64), (307, [2.0**20] * 64)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumns({c: F.lit("clash") for c in ("v", "cluster", "d", "label")})
+    assert Counter(map(tuple, centroids.clustered(df).collect())) == brute_clusters(rows)
+    assert Counter(map(tuple, centroids.clustered(df.repartition(7)).collect())) == brute_clusters(rows)
+    few = [r for r in rows if r[0] is not None and r[0] < 5]
+    assert Counter(map(tuple, centroids.clustered(df.where("vec_id < 5")).collect())) == brute_clusters(few)
+    assert centroids.clustered(df.where("vec_id = 300")).count() == 0
+    assert centroids.clustered(df.where("vec_id is null")).first()["cluster"] == 0
+    big = centroids.clustered(spark.createDataFrame([(1, [1e300] * 64), (2, [-1e300] * 64)], df.select("vec_id", "embedding").schema))
+    assert sorted(r["distance"] for r in big.collect()) == [0, 0]
+
+
+def test_partial_distances_are_exact():
+    g = np.random.default_rng(4)
+    for scale in (2, 50, 1 << 27):
+        v, c = g.integers(-scale, scale, (300, 64)), g.integers(-scale, scale, (16, 64))
+        v[:20], c[7] = c[3], c[3]
+        all_ = ((v[:, None, :] - c[None, :, :]) ** 2).sum(axis=2)
+        best, least = centroids.nearest(v, c, g.permutation(64))
+        assert (best == all_.argmin(axis=1)).all() and (least == all_.min(axis=1)).all()
+
+
+# what an earlier version got wrong
+
+
+def test_many_special_strings_in_a_cut():
+    c = token_counts.PrefixCounter(tokenizer("byte_bpe_50k.json"))
+    text = "<|endoftext|>" * 5000
+    began = time.time()
+    index = c.index(text)
+    assert time.time() - began < 1
+    assert token_counts.count(index) == 5000 == len(c.library.tokenizer.encode(text, add_special_tokens=False).ids)
+    mixed = "a<|endoftext|><|endoftext|>b1<|ENDOFTEXT|>x<|endoftext|>" * 3
+    want = [len(c.library.tokenizer.encode(mixed[:j], add_special_tokens=False).ids) for j in range(1, len(mixed) + 1)]
+    assert np.cumsum(c.index(mixed)).tolist() == want
+
+
+def shingled(r, n):
+    return " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+
+
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    r = random.Random(12)
+    a, b = shingled(r, 60), shingled(r, 60)
+    near_a = a.rsplit(" ", 2)[0] + " other end"
+    rows = [(3, b), (5, b), (5, a), (7, near_a)]
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {3: 3, 5: 3, 7: 3}
+    base = [shingled(r, 40) for _ in range(12)]
+    rows = []
+    for _ in range(70):
+        own = r.choice(base).split()
+        own[r.randrange(len(own))] = f"v{r.randrange(3)}"
+        rows.append((r.randrange(45), " ".join(own)))
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(docs(spark, rows)).collect()}
+    assert got == brute_near(rows)
+
+
+def brute_vectors(rows):
+    by = {}
+    for i, v, label in rows:
+        by.setdefault(i, []).append((np.array(v) / np.linalg.norm(v), label))
+    ids = sorted(by)
+    links = {i: {j for j in ids if i != j and any(a == b and x @ y >= 0.93 for x, a in by[i] for y, b in by[j])} for i in ids}
+    out = {}
+    for i in ids:
+        seen, new = {i}, [i]
+        while new:
+            new = [k for j in new for k in links[j] if k not in seen and not seen.add(k)]
+        out[i] = (len(links[i]), min(seen))
+    return out
+
+
+def test_near_vectors_of_ids_with_several_vectors(spark):
+    schema = "vec_id bigint, embedding array<double>, label int"
+    x, y = [1.0, 0.0, 0.05], [0.0, 1.0, 0.05]
+    rows = [(3, y, 1), (5, y, 1), (5, x, 1), (7, [1.0, 0.01, 0.05], 1), (7, [2.0, 0.02, 0.1], 1)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nndescent.near_vectors(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {3: (1, 3), 5: (2, 3), 7: (1, 3)}
+    g = np.random.default_rng(3)
+    centres = g.normal(size=(6, 8))
+    rows = [(int(g.integers(0, 60)), [float(z) for z in centres[k % 6] + g.normal(scale=0.12, size=8)], int(g.integers(1, 3))) for k in range(100)]
+    rows += [rows[0], rows[1]]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nndescent.near_vectors(spark.createDataFrame(rows, schema)).collect()}
+    assert got == brute_vectors(rows)
+
+
+def test_blocks_give_all_components(spark):
+    g = np.random.default_rng(7)
+    v = g.normal(size=(60, 4))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    rows = [(k, [float(z) for z in x], str(k % 2)) for k, x in enumerate(v)]
+    nodes = spark.createDataFrame(rows, "node bigint, unit array<double>, label string")
+    found = {r["id"]: r["component"] for r in nndescent.components(nndescent.exact_edges(nodes, 0.93)).collect()}
+    want = brute_vectors([(i, x, label) for i, x, label in rows])
+    assert {i: found.get(i, i) for i, *_ in rows} == {i: c for i, (_, c) in want.items()}
