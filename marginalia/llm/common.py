@@ -53,13 +53,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def few(df: DataFrame, waves: int = 16) -> DataFrame:
+#: Input splits that one task reads, one after another, where few() knows their number.
+SPLITS = 4
+
+
+def few(df: DataFrame, waves: int = 16, splits: int = 0) -> DataFrame:
     """df in so many partitions for each core at most, by running several in one task, one after another.
 
     Files then number a few for each core, whatever the number of partitions before. Memory is that
-    of one partition at a time.
+    of one partition at a time. splits: those of the input of a df without shuffles; a task then
+    has SPLITS of them at most once there are many, so its bytes stay bounded at any size.
     """
-    return df.coalesce(max(1, waves * df.sparkSession.sparkContext.defaultParallelism))
+    return df.coalesce(max(1, waves * df.sparkSession.sparkContext.defaultParallelism, -(-splits // SPLITS)))
 
 
 def written(df: DataFrame, name: str, waves: int = 8) -> DataFrame:

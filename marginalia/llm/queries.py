@@ -81,7 +81,8 @@ def op11_filter_audit(spark, sf_dir):
 def op12_byte_bpe(spark, sf_dir):
     from .byte_bpe import digests, encode
 
-    return digests(encode(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), decoded=True))
+    docs = table(spark, sf_dir, "documents")
+    return few(digests(encode(docs, tokenizer("byte_bpe_50k.tiktoken"), decoded=True)), splits=docs.rdd.getNumPartitions())
 
 
 def op13_centroids(spark, sf_dir):
