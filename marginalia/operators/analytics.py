@@ -38,17 +38,6 @@ def top(rows: DataFrame, k: int, by: str, tie: str) -> DataFrame:
     return rows.orderBy(F.desc(by), tie).limit(k)
 
 
-def unsuppressed(ranked: DataFrame, gram: str, n: str, share_: float = 0.9, most: int | None = None) -> list[tuple[str, int]]:
-    """Greedy pass down a ranking until most are kept (None: to its end): a gram inside a kept one with nearly its count goes. Rows come one partition at a time."""
-    kept: list[tuple[str, int]] = []
-    for r in ranked.select(gram, n).toLocalIterator():
-        if not any(r[gram] in g and m >= share_ * r[n] for g, m in kept):
-            kept.append((r[gram], r[n]))
-            if len(kept) == most:
-                break
-    return kept
-
-
 def matrix(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Co-occurrence counts with each row's total, share and whether it is the row's largest (ties: the first b)."""
     counts = rows.groupBy(a, b).agg(F.count("*").alias("n"))

@@ -122,16 +122,6 @@ def gram_counts(spark, sf_dir):
     return analytics.top(analytics.gram_counts(d, "doc_id", tokens(F.col("text")), [2, 3], "source", 8), 200, "passages", "gram")
 
 
-@query("A9_unsuppressed")
-def unsuppressed(spark, sf_dir):
-    """The report of 40 grams of two to eight words, those inside a kept one of nearly its count suppressed: a greedy pass down the whole ranking."""
-    d = table(spark, sf_dir, "documents")
-    w = tokens(F.col("text"))
-    each = d.select(F.explode(F.flatten(F.array(*[grams(w, n) for n in range(2, 9)]))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n >= 8")
-    kept = analytics.unsuppressed(each.orderBy(F.desc("n"), F.desc(F.length("gram")), "gram"), "gram", "n", most=40)
-    return values(spark, "rank int, gram string, n bigint", [(k, g, n) for k, (g, n) in enumerate(kept, 1)])
-
-
 _PATTERNS = {"token": 'token = "', "license": "(?i)licensed under", "mail": "[a-z0-9.]+@[a-z0-9.]+", "shout": "[A-Z]{6,}"}
 
 

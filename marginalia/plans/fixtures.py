@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from itertools import permutations
 
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import analytics, corpus, frames, inscription, relations
 from ..sources.fixtures import values, values_sql
+from ..sources.tables import shared_dir
 from ..streaming import logs
 from .registry import query, table
 
@@ -213,6 +213,6 @@ def core(spark, sf_dir):
 def stream_append(spark, sf_dir):
     """The log replayed as a stream of files, appended once by content; the path is a pattern, so that it may be a file or a folder."""
     schema = table(spark, sf_dir, "events").schema
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='marginalia-')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     logs.append_once(logs.read_log(spark, f"{sf_dir}/event[s].parquet", schema), ["event_type", "user_id"], f"{base}/log", f"{base}/state").awaitTermination()
     return spark.read.parquet(f"{base}/log").select("content_hash", F.lit(True).alias("there"))

@@ -44,13 +44,6 @@ def redirects(spark, sf_dir):
     return records.resolved(values(spark, "name string", _NAMES), values(spark, "from string, to string", _REDIRECTS))
 
 
-@query("K4_chain", """WITH RECURSIVE e AS (SELECT page_id AS f, (page_id * 7 + 3) % 100 AS t FROM pages WHERE page_id <> 46),
-walk(step, page, seen) AS (SELECT 0, CAST(1 AS BIGINT), [CAST(1 AS BIGINT)] UNION ALL SELECT step + 1, t, list_append(seen, t) FROM walk JOIN e ON f = page WHERE step < 50 AND NOT list_contains(seen, t)) SELECT step, page FROM walk""")
-def chain(spark, sf_dir):
-    edges = table(spark, sf_dir, "pages").where("page_id <> 46").select(F.col("page_id").alias("from"), ((F.col("page_id") * 7 + 3) % 100).alias("to"))
-    return records.chain(spark, edges, 1, 50)
-
-
 _VOLUMES = [("卷一", 1), ("卷十", 10), ("卷十二", 12), ("卷二十", 20), ("卷三十五", 35), ("序", None)]
 
 

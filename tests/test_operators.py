@@ -160,11 +160,6 @@ def test_works_to_passages(spark, tmp_path):
     assert [(r["work_id"], r["section_ord"], r["passage_id"], r["text"], r["source_revid"]) for r in got] == [("w1", 0, "1.1", "甲", 7), ("w1", 0, "1.2", "乙", 7)]
 
 
-def test_suppression_is_greedy(spark):
-    ranked = values(spark, "gram string, n int", [("a b", 10), ("a", 10), ("b", 20), ("c", 5)])
-    assert analytics.unsuppressed(ranked, "gram", "n") == [("a b", 10), ("b", 20), ("c", 5)]
-
-
 def test_stride_without_a_global_sort(spark):
     rows = spark.range(10_000).select((F.col("id") * 7 % 10_007).alias("x"))
     got = [r["x"] for r in analytics.stride(rows, "x", 100).orderBy("x").collect()]
