@@ -18,9 +18,9 @@ from .common import fresh
 # The names that keys are assigned to.
 NAMED = r"(?i:token|secret(?:[_-]?\w{0,40}key)?|passw(?:or)?d|(?:api|access|private)[_-]?key|credential)s?[\"']?\s{0,3}[:=]\s{0,3}[\"']?"
 # The shapes of candidates, tried in this order; slashed ones are sought by themselves, since they may hold others.
-# A private key goes on to its END (its headers have single dashes), or if that is cut off over the lines of its body.
+# A private key goes on to its END if that is the next mark of five dashes with BEGIN or END, else over the lines of its body. Repeats are possessive, so that long keys take no stack and a text is read once.
 RULES = {
-    "private_key": r"-----BEGIN (?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?-----(?:(?:[^-]*-(?!----)){0,40}[^-]*-----END (?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?-----|(?:\s*[0-9A-Za-z+/=]{40,}){0,400})",
+    "private_key": r"-----BEGIN (?:(?!PRIVATE KEY)[A-Z0-9]+ )*+PRIVATE KEY(?: BLOCK)?-----(?:(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END (?:(?!PRIVATE KEY)[A-Z0-9]+ )*+PRIVATE KEY(?: BLOCK)?-----|(?:\s*+[0-9A-Za-z+/=]{40,}+)*+)",
     "aws_key": r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])",
     "github_token": r"gh[pousr]_[0-9A-Za-z]{36,251}",
     "jwt": r"eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}",
@@ -66,7 +66,7 @@ def features(candidate: str, before: str, after: str) -> str:
         "pairs": f"regexp_count(lower({value}), {_sql('|'.join(PAIRS))}) / {size}",
         "words": f"1 - length(regexp_replace(lower({value}), {_sql('|'.join(DICTIONARY))}, '')) / {size}",
         "path": f"case when concat(right({before}, 1), {value}, left({after}, 5)) rlike {_sql(PATH)} then 1 else 0 end",
-        "before_for": f"case when concat({before}, {candidate}) rlike {_sql(FOR)} then 1 else 0 end",
+        "before_for": f"case when concat({before}, regexp_extract({candidate}, {_sql(_ASSIGNMENT)}, 0)) rlike {_sql(FOR)} then 1 else 0 end",
         "before_against": f"case when concat({before}, ' ', {after}) rlike {_sql(AGAINST)} then 1 else 0 end",
         "quoted": f"case when {candidate} rlike {_sql(chr(34))} or right({before}, 1) rlike {_sql('[' + chr(34) + chr(39) + ']')} then 1 else 0 end",
         "known": known,
@@ -74,8 +74,8 @@ def features(candidate: str, before: str, after: str) -> str:
     return "named_struct(" + ", ".join(f"'{k}', cast({sql[k]} as double)" for k in FEATURES) + ")"
 
 
-def findings(spark: SparkSession) -> DataFrame:
-    """Labelled findings (candidate, before, after, secret) made from hashes of their number."""
+def findings(spark: SparkSession, first: int = 0) -> DataFrame:
+    """LABELLED labelled findings (candidate, before, after, secret) made from hashes of their numbers, from first on."""
     h, u = "sha2(cast(id as string), 256)", "base64(unhex(sha2(cast(id + 7 as string), 256)))"
     w = lambda k: f"element_at(array({', '.join(repr(x) for x in DICTIONARY)}), cast(pmod(xxhash64(id, {k}), {len(DICTIONARY)}) as int) + 1)"
     prose = "concat_ws('', transform(sequence(1, 10), i -> element_at(array(" + ", ".join(repr(x) for x in PAIRS) + f"), cast(pmod(xxhash64(id, i), {len(PAIRS)}) as int) + 1)))"
@@ -94,6 +94,8 @@ def findings(spark: SparkSession) -> DataFrame:
         ("'-----BEGIN RSA PRIVATE KEY-----'", f"concat({w(1)}, '\n')", "'\n'", 1),
         (f"substr({alnum}, 1, 32)", "'api_key is '", "' '", 1),
         (f"concat('-----BEGIN PRIVATE KEY-----\n', {u}, '\n', {u}, '\n-----END PRIVATE KEY-----')", f"concat({w(1)}, '\n')", "'\n'", 1),
+        (f"concat('-----BEGIN RSA PRIVATE KEY-----\n', repeat('X-Header: a-b-c\n', cast(pmod(xxhash64(id, 4), 50) as int)), repeat(concat({u}, '\n'), 1 + cast(pmod(xxhash64(id, 5), 300) as int)), '-----END RSA PRIVATE KEY-----')", f"concat({w(1)}, '\n')", "'\n'", 1),
+        (f"concat('-----BEGIN PRIVATE KEY-----\n', repeat(concat({h}, '\n'), 1 + cast(pmod(xxhash64(id, 6), 900) as int)))", "''", "''", 1),
         (f"concat('secret_access_key = ', substr({slashed}, 1, 40))", "'aws_'", "'\n'", 1),
         (f"concat('SECRET_KEY=', substr({u}, 1, 16))", f"concat({w(1)}, ' ')", "'\n'", 1),
         (f"substr({slashed}, 1, 40)", "'secret access key '", "' '", 1),
@@ -115,7 +117,7 @@ def findings(spark: SparkSession) -> DataFrame:
         ("repeat('-', 20 + cast(pmod(id, 40) as int))", "'\n'", "'\n'", 0),
         ("lpad(cast(pmod(xxhash64(id), 1000000000) as string), 20, '31415926535')", f"concat({prose}, ' ')", "' '", 0),
     ]
-    rows = spark.range(0, LABELLED, 1, 1).withColumn("kind", F.expr(f"pmod(xxhash64(id, 99), {len(kinds)})"))
+    rows = spark.range(first, first + LABELLED, 1, 1).withColumn("kind", F.expr(f"pmod(xxhash64(id, 99), {len(kinds)})"))
     pick = lambda j: F.expr("case " + " ".join(f"when kind = {k} then {x[j]}" for k, x in enumerate(kinds)) + " end")
     return rows.select(pick(0).alias("candidate"), pick(1).alias("before"), pick(2).alias("after"), pick(3).cast("double").alias("secret"))
 
@@ -149,13 +151,24 @@ def kind(candidate: str) -> str:
     return "case " + " ".join(f"when {candidate} rlike {_sql('^(?:' + rule + ')')} then '{k}'" for k, rule in RULES.items()) + " end"
 
 
+def _sums(lengths: str) -> str:
+    """SQL for the sums of what stands before each element of an array of int.
+
+    In two levels, chunks of about the root of its size: an array is copied as it grows by one, so
+    one level would take the square of its size.
+    """
+    grow = lambda x: f"aggregate({x}, named_struct('at', 0, 'all', cast(array() as array<int>)), (s, v) -> named_struct('at', s.at + v, 'all', concat(s.all, array(s.at))), s -> s.all)"
+    chunks = f"transform(array({lengths}), l -> if(size(l) = 0, cast(array() as array<array<int>>), transform(sequence(0, int((size(l) - 1) / ceil(sqrt(size(l))))), k -> slice(l, int(k * ceil(sqrt(size(l))) + 1), int(ceil(sqrt(size(l))))))))"
+    totals = "transform(c, x -> aggregate(x, 0, (s, v) -> s + v))"
+    return f"flatten(flatten(transform({chunks}, c -> zip_with(transform(c, x -> {grow('x')}), {grow(totals)}, (own, base) -> transform(own, o -> o + base)))))"
+
+
 def _places(rule: str) -> str:
     """SQL for an array of the matches of rule in text, each with its start; what lies between matches has the lengths that lead to it."""
-    cut = f"named_struct('values', regexp_extract_all(text, {_sql(rule)}, 0), 'gaps', split(text, {_sql(rule)}, -1))"
-    step = "named_struct('at', s.at + length(c.gap) + length(c.value), 'all', concat(s.all, array(named_struct('value', c.value, 'start', s.at + length(c.gap)))))"
-    none = "cast(array() as array<struct<value: string, start: int>>)"
-    pairs = "transform(m.values, (v, i) -> named_struct('value', v, 'gap', m.gaps[i]))"
-    return f"flatten(transform(array({cut}), m -> aggregate({pairs}, named_struct('at', 1, 'all', {none}), (s, c) -> {step}, s -> s.all)))"
+    cut = f"named_struct('values', regexp_extract_all(text, {_sql(rule)}, 0), 'gaps', transform(split(text, {_sql(rule)}, -1), g -> length(g)))"
+    lengths = "transform(m.values, (v, i) -> m.gaps[i] + length(v))"
+    starts = f"transform(m.values, (v, i) -> named_struct('value', v, 'start', 1 + b[i] + m.gaps[i]))"
+    return f"flatten(flatten(transform(array({cut}), m -> transform(array({_sums(lengths)}), b -> {starts}))))"
 
 
 def scored(docs: DataFrame, column: str) -> DataFrame:
@@ -176,7 +189,8 @@ def find_secrets(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     Null and empty texts have none. Rows keep their multiplicity; a null doc_id is carried; other
     columns are dropped. A value that recurs in a text is judged by the words beside it at each place.
-    A slashed candidate may lie in another or hold one.
+    A slashed candidate may lie in another or hold one. An empty table gives an empty one; texts of any
+    length are scanned whole.
     """
     rows = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "_found")
     # outer: else Spark would infer a filter on the array's size and scan every text twice
@@ -185,7 +199,11 @@ def find_secrets(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def mask_secrets(docs: DataFrame, threshold: float = 0.5, mask: str = "[SECRET]") -> DataFrame:
-    """docs, all columns and rows, with every occurrence in text of a value that is a secret at any place masked; n_chars, if there, follows the text."""
+    """docs, all columns and rows, with every occurrence in text of a value that is a secret at any place masked; n_chars, if there, follows the text.
+
+    Null and empty texts stay as they are, repeated rows are masked each, an empty table stays empty,
+    and texts may be of any length: work grows with a text and its candidates.
+    """
     found = fresh(docs, "_found")
     rows = scored(docs, found).withColumn(found, F.expr(f"array_distinct(transform(filter({found}, c -> c.score >= {threshold}D), c -> regexp_replace(c.value, {_sql(_ASSIGNMENT)}, '')))"))
     # longer ones first, lest a part of one be masked
