@@ -19,9 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .common import components, release, written
 
 THRESHOLD = 0.93
@@ -264,6 +265,13 @@ def linked_ids(members: DataFrame, nodes: DataFrame, counts: DataFrame) -> DataF
     return ones.union(many)
 
 
+def _unit(e: Column) -> Column:
+    """e of length 1. Scaled by its largest component first, lest squares overflow or vanish; each step is made once for a vector."""
+    scaled = let(F.array_max(F.transform(e, F.abs)), lambda top: F.transform(e, lambda x: x / top))
+    length = lambda s: F.sqrt(F.aggregate(s, F.lit(0.0), lambda n, x: n + x * x))
+    return let(scaled, lambda s: let(length(s), lambda n: F.transform(s, lambda x: x / n + 0.0)))
+
+
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, log: list | None = None) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept (vec_id = component_id).
 
@@ -278,12 +286,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, log: list | N
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    # scaled by the largest component first, lest squares overflow or vanish
-    fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    usable = rows.where(fine).withColumn("top", F.array_max(F.transform("embedding", lambda x: F.abs(x)))).where("top > 0")
-    usable = usable.select("vec_id", F.concat_ws(":", "label", F.size("embedding")).alias("label"), F.transform("embedding", lambda x: x / F.col("top")).alias("scaled"))
-    usable = usable.withColumn("norm", F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda s, x: s + x * x)))
-    usable = usable.select("vec_id", "label", F.transform("scaled", lambda x: x / F.col("norm") + 0.0).alias("unit"))
+    fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
+    usable = rows.where(fine).select("vec_id", F.concat_ws(":", "label", F.size("embedding")).alias("label"), _unit(F.col("embedding")).alias("unit"))
     # nodes get numbers when they are written, and keep them from then on
     nodes = written(usable.select("label", "unit").distinct().select(F.monotonically_increasing_id().alias("node"), "label", "unit", F.col("unit").cast("array<float>").alias("vector")), "vectors", 2)
     members = written(usable.join(nodes.select("label", "unit", "node"), ["label", "unit"]).select("vec_id", "node").distinct(), "members", 2)
