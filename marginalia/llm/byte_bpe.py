@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import hashlib
 import heapq
 from collections.abc import Iterator
 
@@ -212,3 +213,22 @@ def digests(decoded: DataFrame) -> DataFrame:
     """Per row of decode's: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     ids = F.coalesce("ids", F.lit(b""))
     return decoded.select("doc_id", F.floor(F.length(ids) / 4).cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def round_trip(docs: DataFrame, ranks: str) -> DataFrame:
+    """digests of decode of encode, made in one pass: per row of docs doc_id, n_tokens, ids_sha256, decoded_sha256. Neither ids nor bytes leave the tasks.
+
+    A null or empty text has no ids and no bytes; rows as for encode.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, back = encoder(ranks), decoder(ranks)
+        for batch in batches:
+            n, shas, texts_ = [], [], []
+            for ids in own.encode_all(batch.column(1)):
+                n.append(len(ids) // 4)
+                shas.append(hashlib.sha256(ids).hexdigest())
+                texts_.append(hashlib.sha256(back.decode(np.frombuffer(ids, "<u4"))).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(texts_, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return texts(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -79,10 +79,10 @@ def op11_filter_audit(spark, sf_dir):
 
 
 def op12_byte_bpe(spark, sf_dir):
-    from .byte_bpe import digests, encode
+    from .byte_bpe import round_trip
 
     docs = table(spark, sf_dir, "documents")
-    return few(digests(encode(docs, tokenizer("byte_bpe_50k.tiktoken"), decoded=True)), splits=docs.rdd.getNumPartitions())
+    return few(round_trip(docs, tokenizer("byte_bpe_50k.tiktoken")), splits=docs.rdd.getNumPartitions())
 
 
 def op13_centroids(spark, sf_dir):
