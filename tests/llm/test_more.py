@@ -96,6 +96,7 @@ def test_byte_bpe_of_a_table(spark, library):
     rows = [(3, "The thand. Foo"), (1, None), (7, ""), (2, "x y  z é日 " * 4000), (5, "<|endoftext|>"), (5, "<|endoftext|>"), (None, "a")]
     encoded = byte_bpe.encode(docs(spark, rows), RANKS, offsets=True, decoded=True)
     assert byte_bpe.digests(encoded).exceptAll(byte_bpe.digests(byte_bpe.decode(encoded, RANKS))).count() == 0
+    assert Counter(map(tuple, byte_bpe.round_trip(docs(spark, rows), RANKS).collect())) == Counter(map(tuple, byte_bpe.digests(encoded).collect()))
     assert all(len(r["starts"]) == len(r["ends"]) == len(r["ids"]) // 4 for r in encoded.collect())
     got = Counter(map(tuple, byte_bpe.digests(byte_bpe.decode(encoded, RANKS)).collect()))
     want = Counter()
