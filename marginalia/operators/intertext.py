@@ -1,11 +1,11 @@
-"""Citations, containment and near matches between texts."""
+"""Citations and containment between texts, and single edits."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import grams, tokens
+from ..functions.text import tokens
 
 
 def normalized(t: Column, variants: list[tuple[str, str]] = ()) -> Column:
@@ -46,25 +46,3 @@ def one_edit(a: Column, b: Column) -> Column:
     """Place (from 1) of the only differing element of two arrays of one length; null if none or several differ."""
     places = F.filter(F.sequence(F.lit(1), F.size(a)), lambda i: ~F.get(a, i - 1).eqNullSafe(F.get(b, i - 1)))
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0) & (F.size(places) == 1), F.get(places, F.lit(0)))
-
-
-def near_matches(rows: DataFrame, words: str, window: int) -> DataFrame:
-    """Distinct windows that differ in exactly one word: left, right, at (place from 1), from, to.
-
-    The key of a window is its words but one, with the place of that one: windows of a key differ
-    there only, so every pair that is joined is a result, and no pair comes twice.
-    """
-    runs = rows.select(F.explode(F.array_distinct(grams(F.col(words), window))).alias("w")).distinct()
-    parts = runs.select("w", F.split("w", " ").alias("_words"))
-    places = F.transform(F.sequence(F.lit(1), F.lit(window)), lambda i: F.struct(i.alias("at"), F.get("_words", i - 1).alias("word"), F.concat(F.slice("_words", F.lit(1), i - 1), F.lit([""]), F.slice("_words", i + 1, F.lit(window))).alias("key")))
-    keyed = parts.select("w", F.explode(places).alias("p")).select("w", "p.at", "p.word", F.xxhash64("p.at", "p.key").alias("_key"), F.col("p.key").alias("_rest"))
-    # keys of one window alone go before any pair is made
-    shared = keyed.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1").select("_key")
-    keyed = keyed.join(shared, "_key", "left_semi")
-    a, b = keyed.alias("a"), keyed.alias("b")
-    pairs = a.join(b, (F.col("a._key") == F.col("b._key")) & (F.col("a.at") == F.col("b.at")) & (F.col("a._rest") == F.col("b._rest")) & (F.col("a.w") < F.col("b.w")))
-    return pairs.select(F.col("a.w").alias("left"), F.col("b.w").alias("right"), F.col("a.at").alias("at"), F.col("a.word").alias("from"), F.col("b.word").alias("to"))
-
-def variant_counts(matches: DataFrame, least: int = 1) -> DataFrame:
-    """Substitutions by how many matches show them, with the first witness."""
-    return matches.groupBy("from", "to").agg(F.count("*").alias("n"), F.min("left").alias("witness")).where(F.col("n") >= least)

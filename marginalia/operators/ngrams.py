@@ -1,48 +1,72 @@
 """Frequent runs of words, mined level by level, and the closed ones among them.
 
-A run of n + 1 words that occurs `least` times has two runs of n words that do. So the runs of two
-words are counted, the places of the frequent ones are kept, and the next level is counted only where
-two places that follow each other are kept. A run is two 64-bit hashes of the runs it is made of;
-words are read again only for what is reported.
+A run that occurs `least` times is made of runs one word shorter that do. So the runs of two words
+are counted, then those of three where both runs of two are kept, then the longer ones, all lengths
+at once, within stretches of kept runs of three. A run is named by two 64-bit hashes of the runs it
+is made of, and counted with its prefix and suffix as plain numbers; words are read again only for
+what is reported.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import written
 
+RUN = ["size", "h1", "h2"]
+
+
+def _named(parts: Column, size: Column) -> Column:
+    """The two hashes of a run from those of the runs it is made of."""
+    return F.struct(F.xxhash64(F.transform(parts, lambda p: p["h1"]), size).alias("h1"), F.xxhash64(size, F.transform(parts, lambda p: p["h2"])).alias("h2"))
+
+
+def _counted(places: DataFrame, least: int) -> DataFrame:
+    """Runs of places (key, at, size, run, p, s) with at least `least` of these: size, h1, h2, n, a place (key, at), prefix p1, p2 and suffix s1, s2. Every value has a fixed width, so counting is a hash aggregation with a partial one before the shuffle."""
+    flat = places.select("key", "at", "size", "run.h1", "run.h2", F.col("p.h1").alias("p1"), F.col("p.h2").alias("p2"), F.col("s.h1").alias("s1"), F.col("s.h2").alias("s2"))
+    # one row gives all the firsts
+    firsts = [F.first(c).alias(c) for c in ("key", "at", "p1", "p2", "s1", "s2")]
+    return flat.groupBy(*RUN).agg(F.count("*").alias("n"), *firsts).where(F.col("n") >= least)
 
-def frequent(rows: DataFrame, key: str, words: Column, longest: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """Runs of 2 to longest words with at least `least` places: (size, h1, h2, n, witness (key, at)), and the steps (size, of each run its prefix p1, p2 and suffix s1, s2)."""
+
+def _kept(places: DataFrame, runs: DataFrame) -> DataFrame:
+    """Places (key, at, run) of the runs that are kept."""
+    names = runs.select("h1", "h2")
+    return places.select("key", "at", "run.h1", "run.h2").join(names, ["h1", "h2"], "left_semi").select("key", "at", F.struct("h1", "h2").alias("run"))
+
+
+def frequent(rows: DataFrame, key: str, words: Column, longest: int, least: int) -> DataFrame:
+    """Runs of 2 to longest words (at least 4) with at least `least` places; see _counted."""
     after = Window.partitionBy("key").orderBy("at")
-    # level 1 has no threshold of its own: a word's two hashes
-    docs = rows.select(F.col(key).alias("key"), F.transform(words, lambda w: F.struct(F.xxhash64(w).alias("h1"), F.xxhash64(w, F.lit("second")).alias("h2"))).alias("w"))
-    pairs = F.arrays_zip(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))).alias("p"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))).alias("s"))
-    places = docs.select("key", F.posexplode(pairs).alias("at", "x")).select("key", "at", "x.p", "x.s")
-    runs, steps = [], []
-    for size in range(2, longest + 1):
-        p, s = F.col("p"), F.col("s")
-        now = places.select("key", "at", F.xxhash64("p.h1", "s.h1").alias("h1"), F.xxhash64("p.h2", "s.h2", F.lit(size)).alias("h2"), p.alias("p"), s.alias("s"))
-        counts = now.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("witness"), F.first("p").alias("p"), F.first("s").alias("s")).where(F.col("n") >= least)
-        counts = written(counts, f"runs{size}")
-        runs.append(counts.select(F.lit(size).alias("size"), "h1", "h2", "n", "witness"))
-        steps.append(counts.select(F.lit(size).alias("size"), "n", "p", "s"))
-        if size < longest:
-            kept = written(now.select("key", "at", "h1", "h2").join(counts.select("h1", "h2"), ["h1", "h2"], "left_semi"), f"places{size}")
-            one = F.struct("h1", "h2")
-            pairs_ = kept.select("key", "at", one.alias("p"), F.lead("at").over(after).alias("next"), F.lead(one).over(after).alias("s"))
-            places = pairs_.where("next = at + 1").select("key", "at", "p", "s")
-    return reduce(DataFrame.union, runs), reduce(DataFrame.union, steps)
-
-
-def closed(runs: DataFrame, steps: DataFrame) -> DataFrame:
+    size = F.size("w")
+    pairs = F.when(size > 1, F.transform(F.sequence(F.lit(0), size - 2), lambda i: F.slice("w", i + 1, F.lit(2))))
+    named = F.transform(words, lambda w: F.struct(F.xxhash64(w).alias("h1"), F.xxhash64(w, F.lit("second")).alias("h2")))
+    two = rows.select(F.col(key).alias("key"), named.alias("w")).select("key", F.posexplode(pairs).alias("at", "x"))
+    two = two.select("key", "at", F.lit(2).alias("size"), _named(F.col("x"), F.lit(2)).alias("run"), F.get("x", F.lit(0)).alias("p"), F.get("x", F.lit(1)).alias("s"))
+    runs2 = written(_counted(two, least), "runs2")
+    kept = written(_kept(two, runs2), "places2")
+    three = kept.select("key", "at", F.col("run").alias("p"), F.lead("run").over(after).alias("s"), F.lead("at").over(after).alias("next")).where("next = at + 1")
+    three = three.select("key", "at", F.lit(3).alias("size"), _named(F.array("p", "s"), F.lit(3)).alias("run"), "p", "s")
+    runs3 = written(_counted(three, least), "runs3")
+    kept = written(_kept(three, runs3), "places3")
+    # stretches: the runs of three at this place and those that follow it without a gap
+    more = [F.struct(F.lead("at", k).over(after).alias("at"), F.lead("run", k).over(after).alias("run")) for k in range(1, longest - 2)]
+    stretch = kept.select("key", "at", F.array(F.struct("at", "run"), *more).alias("x"))
+    there = F.size(F.filter("x", lambda x, i: x["at"] == F.col("at") + i))
+    stretch = stretch.select("key", "at", F.transform(F.slice("x", F.lit(1), there), lambda x: x["run"]).alias("x")).where(F.size("x") > 1)
+    longer = stretch.select("key", "at", "x", F.explode(F.sequence(F.lit(2), F.size("x"))).alias("k"))
+    one = lambda first, k: F.when(k == 1, F.get("x", first - 1)).otherwise(_named(F.slice("x", first, k), k + 2))
+    k = F.col("k")
+    longer = longer.select("key", "at", (k + 2).alias("size"), _named(F.slice("x", F.lit(1), k), k + 2).alias("run"), one(F.lit(1), k - 1).alias("p"), one(F.lit(2), k - 1).alias("s"))
+    return runs2.union(runs3).union(written(_counted(longer, least), "runs4"))
+
+
+def closed(runs: DataFrame) -> DataFrame:
     """Runs that no longer run of the same count holds. One word more at either end decides: a longer run that holds this one as often holds such a run as often."""
-    ends = steps.select((F.col("size") - 1).alias("size"), F.explode(F.array("p", "s")).alias("e"), F.col("n")).select("size", F.col("e.h1").alias("h1"), F.col("e.h2").alias("h2"), "n").distinct()
-    return runs.join(ends, ["size", "h1", "h2", "n"], "left_anti")
+    end = lambda e: F.struct(F.col(f"{e}1").alias("h1"), F.col(f"{e}2").alias("h2"))
+    ends = runs.where("size > 2").select((F.col("size") - 1).alias("size"), F.explode(F.array(end("p"), end("s"))).alias("e"), "n").select("size", "e.h1", "e.h2", "n")
+    return runs.join(ends, [*RUN, "n"], "left_anti")
 
 
 def top_closed(rows: DataFrame, key: str, words: Column, longest: int = 8, least: int = 8, most: int = 40) -> DataFrame:
@@ -51,11 +75,11 @@ def top_closed(rows: DataFrame, key: str, words: Column, longest: int = 8, least
     A greedy pass down that ranking that drops whatever a kept run holds with nine tenths of its
     count gives the same: a run before it counts no less, and one that holds it no more.
     """
-    found = closed(*frequent(rows, key, words, longest, least))
+    found = closed(frequent(rows, key, words, longest, least))
     last = found.orderBy(F.desc("n"), F.desc("size")).limit(most).agg(F.min(F.struct("n", F.col("size"))).alias("x")).select("x.n", "x.size")
-    edge = last.select(F.col("n").alias("n_"), F.col("size").alias("size_"))
+    edge = last.select(F.col("n").alias("n_"), F.col("size").alias("size_"))  # one row
     # ties at the edge are all read, then ordered by text
-    near = found.join(F.broadcast(edge), (F.col("n") > F.col("n_")) | (F.col("n") == F.col("n_")) & (F.col("size") >= F.col("size_"))).select("size", "n", "witness.key", "witness.at")
+    near = found.join(F.broadcast(edge), (F.col("n") > F.col("n_")) | (F.col("n") == F.col("n_")) & (F.col("size") >= F.col("size_"))).select("size", "n", "key", "at")
     texts = near.join(rows.select(F.col(key).alias("key"), words.alias("_words")), "key")
     grams = texts.select("size", "n", F.concat_ws(" ", F.slice("_words", F.col("at") + 1, F.col("size"))).alias("gram"))
     ranked = grams.orderBy(F.desc("n"), F.desc("size"), "gram").limit(most)

@@ -38,11 +38,14 @@ def late_evidence(spark, sf_dir):
 _WORDS = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: x <> '')"
 
 
+_RUNS = " UNION ALL ".join(f"SELECT {k} AS k, concat_ws(' ', {', '.join(f'x{j}' for j in range(1, k + 1))}) AS gram, concat_ws(' ', {', '.join(f'x{j}' for j in range(1, k))}) AS p, concat_ws(' ', {', '.join(f'x{j}' for j in range(2, k + 1))}) AS s FROM l WHERE x{k} IS NOT NULL" for k in range(2, 9))
+
+
 @query("A9_unsuppressed", f"""
-WITH t AS (SELECT {_WORDS} AS w FROM documents), g AS (SELECT k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i+k-1], ' '))) AS gram FROM t, (SELECT unnest(range(2, 9)) AS k)),
-c AS (SELECT k, gram, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 8),
-e AS (SELECT k - 1 AS k, n, unnest([array_to_string(string_split(gram, ' ')[1:k-1], ' '), array_to_string(string_split(gram, ' ')[2:k], ' ')]) AS gram FROM c),
-o AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.k = c.k AND e.gram = c.gram AND e.n = c.n))
+WITH t AS (SELECT doc_id, {_WORDS} AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS x1, unnest(range(1, len(w) + 1)) AS i FROM t),
+l AS (SELECT x1, {', '.join(f'lead(x1, {k - 1}) OVER v AS x{k}' for k in range(2, 9))} FROM u WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT k, gram, count(*) AS n, any_value(p) AS p, any_value(s) AS s FROM ({_RUNS}) GROUP BY k, gram HAVING count(*) >= 8),
+o AS (SELECT * FROM c ANTI JOIN (SELECT k - 1 AS k, n, unnest([p, s]) AS gram FROM c) e USING (k, gram, n))
 SELECT CAST(row_number() OVER (ORDER BY n DESC, k DESC, gram) AS INT) AS rank, gram, n FROM o ORDER BY rank LIMIT 40""")
 def unsuppressed(spark, sf_dir):
     """The report of 40 runs of two to eight words that occur eight times or more, without those that a longer run holds as often."""

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.operators import blind, chains, dependencies, gates, ngrams, nulls
+from marginalia.operators import blind, chains, dependencies, gates, ngrams, nulls, variants
 from marginalia.streaming import evidence
 
 # late evidence
@@ -260,3 +260,86 @@ def test_arms_match_counts_row_by_row(spark):
         g = got[arm]
         assert (g["labelled"], g["accepted"], g["exact"], g["pairs"], g["reversals"], g["failures"], g["false_acceptance"]) == (len(own), accepted, exact, len(pairs), good, sum(x[3] for x in own.values()), accepted - exact)
         assert (g["reversal_consistency"] is None) == (not pairs) and (g["accuracy_accepted"] is None) == (not accepted)
+
+
+# variants
+
+
+def brute_contexts(texts, window):
+    found = {}
+    for w in texts:
+        for i in range(len(w) - window + 1):
+            for at in range(window):
+                run = w[i : i + window]
+                found.setdefault((at + 1, " ".join([*run[:at], "*", *run[at + 1 :]])), Counter())[run[at]] += 1
+    return found
+
+
+def test_classes_of_windows_match_brute_force(spark):
+    r = random.Random(3)
+    base = ["a b c d e f g h i j".split(), "k l m n o p".split()]
+    rows = [[], ["a"], ["a"] * 12]
+    for _ in range(50):
+        own = list(r.choice(base))
+        own[r.randrange(len(own))] = r.choice("xyz")
+        rows.append([r.choice("uvw")] + own)
+    df = spark.createDataFrame(list(enumerate(rows)), "id bigint, w array<string>")
+    want = {(at, context, word, n) for (at, context), words in brute_contexts(rows, 4).items() if len(words) > 1 for word, n in words.items()}
+    assert {tuple(x) for x in variants.classes(df, F.col("w"), 4).collect()} == want
+    hot = spark.range(3000).select(F.split(F.concat(F.lit("a b c d "), F.col("id").cast("string"), F.lit(" f g h")), " ").alias("w"))
+    assert variants.classes(hot, F.col("w"), 8).count() == 3000  # a row for each word of the context, not one for each pair
+
+
+def test_substitutions_match_brute_force(spark):
+    r = random.Random(9)
+    base = [[f"w{r.randrange(200)}" for _ in range(12)] for _ in range(4)]
+    change = lambda w: [x if r.random() > 0.1 else r.choice("xyz") for x in w]
+    quotes, passages = [(k, change(base[k % 4])) for k in range(20)], [(k, ["s"] + change(base[k % 4]) * 2) for k in range(40)]
+    seen = {}
+    for q, w in quotes:
+        for key, words in brute_contexts([w], 5).items():
+            for p, v in passages:
+                for to in brute_contexts([v], 5).get(key, {}):
+                    for word in words:
+                        if word != to:
+                            own = seen.setdefault((word, to), {})
+                            own[q] = min(own.get(q, p), p)
+    want = {(a, b, len(x), "|".join(f"{q}:{p}" for q, p in sorted(x.items())[:3])) for (a, b), x in seen.items()}
+    frame = lambda rows: spark.createDataFrame(rows, "id bigint, w array<string>")
+    assert {tuple(x) for x in variants.substitutions(frame(quotes), "id", F.col("w"), frame(passages), "id", F.col("w"), 5).collect()} == want
+
+
+# questions
+
+
+def test_altered_answers_and_references_are_found(spark):
+    from marginalia.operators import questions as qs
+
+    store = spark.createDataFrame([(1, "g", True, False), (2, "g", True, False), (3, "g", False, False), (4, "h", True, False), (5, "h", False, True)], "id bigint, group string, side boolean, retracted boolean")
+    readings = spark.createDataFrame([(1, ("a", "b", "t")), (2, ("b", "a", "t")), (3, ("a", "b", "t")), (4, None)], "id bigint, roles struct<agent:string,recipient:string,theme:string>")
+    ask = lambda rows, schema: spark.createDataFrame(rows, schema)
+    parts = [
+        qs.comparison(ask([(1, 1, 2), (2, 1, 3), (3, 1, 4), (4, 9, 1)], "q int, a bigint, b bigint"), readings),
+        qs.warrant(ask([(1, 1), (1, 4), (2, 5), (3, 77), (4, None)], "q int, ref bigint"), store),
+        qs.counterfactual(ask([(1, 3), (2, 1), (3, 4), (4, 5), (5, 99)], "q int, removed bigint"), store),
+        qs.consistency(store),
+        qs.gloss(ask([(1,)], "q int")),
+        qs.judgement(ask([("g", "g"), ("h", "h"), ("z", "z")], "q string, claim string"), store),
+    ]
+    said, refs = qs.asked(*parts)
+    got = {(r["type"], r["q"]): (r["state"], r["answer"] or r["reason"]) for r in said.collect()}
+    assert got == {
+        ("Q2", "1"): ("Answered", "RoleReversal"), ("Q2", "2"): ("Answered", "SameRelation"), ("Q2", "3"): ("Unknown", "right-side-outside-declared-grammar"), ("Q2", "4"): ("Unknown", "left-side-outside-declared-grammar"),
+        ("Q3", "1"): ("Answered", "present=2"), ("Q3", "2"): ("Unknown", "warrant-refers-to-retracted-evidence"), ("Q3", "3"): ("Inconsistent", "warrant-names-records-not-in-the-store"), ("Q3", "4"): ("Unknown", "conclusion-without-a-warrant"),
+        ("Q4", "1"): ("Answered", "survivors=1;changed=true"), ("Q4", "2"): ("Answered", "survivors=2;changed=false"), ("Q4", "3"): ("Answered", "survivors=0;changed=true"), ("Q4", "4"): ("Unknown", "no-such-evidence-record"), ("Q4", "5"): ("Unknown", "no-such-evidence-record"),
+        ("Q5", "store"): ("Answered", "records=5"), ("Q6", "1"): ("Refused", qs.GLOSS), ("Q7", "g"): ("Contested", "holds=2;fails=1"), ("Q7", "h"): ("Answered", "holds"), ("Q7", "z"): ("Unknown", "no-judgement-of-this-claim"),
+    }
+    said, refs = said.cache(), refs.cache()
+    assert qs.violations(said, refs).count() == 0 and qs.verified(said, refs, store, readings).count() == 0
+    altered = said.withColumn("answer", F.when((F.col("type") == "Q2") & (F.col("q") == "1"), "SameRelation").otherwise(F.col("answer")))
+    assert {(r["q"], r["side"], r["answer"]) for r in qs.verified(altered, refs, store, readings).collect()} == {("1", "said", "SameRelation"), ("1", "follows", "RoleReversal")}
+    fewer = refs.where("not (type = 'Q7' and q = 'g' and side = 'fails')")
+    assert {(r["q"], r["side"], r["state"]) for r in qs.verified(said, fewer, store, readings).collect()} == {("g", "said", "Contested"), ("g", "follows", "Answered")}
+    assert {tuple(r) for r in qs.violations(said, fewer).collect()} == {("Q7", "g", "I7")}
+    assert {r["rule"] for r in qs.violations(said, refs.where("type <> 'Q2'")).collect()} == {"I1"}
+    assert qs.refused(ask([("x", "Q9"), ("y", "Q1"), ("z", None)], "q string, type string")).count() == 2

@@ -6,7 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from marginalia.plans import audits, claims, documents, events, finite, fixtures, graphs, more, records, routes, steps  # noqa: F401
+from marginalia.plans import audits, claims, dialogue, documents, events, finite, fixtures, graphs, more, records, routes, steps  # noqa: F401
 from marginalia.plans.registry import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
