@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..operators import blind, dependencies, gates
+from ..operators import blind, dependencies, gates, validation
 from .registry import query, table
 
 # fixed values: languages that are declared, and the frame whose reach is measured
@@ -166,3 +166,46 @@ def arms(spark, sf_dir):
     predicted = F.when(F.col("there"), F.when(F.col("text").rlike("[#$%&*|]"), 1).when(F.col("words") >= 80, 0))
     rows = rows.select("doc_id", arm.alias("arm"), "toxic", predicted.alias("predicted"), (~F.col("there")).alias("failed"))
     return blind.scores(rows, "arm", "toxic", "predicted", "failed", F.floor(F.col("doc_id") / 2))
+
+
+# fixed values: residue of markup that cleaned texts do not hold
+_RESIDUE = r"\{\{|\}\}|\[\[|\]\]|<[A-Za-z/!]|&[a-z]+;"
+_RULES = ["text-empty", "text-residue", "count-of-characters", "language-undeclared", "doc-twice", "turn-unnumbered", "turn-without-role", "turn-empty", "ordinal-twice", "ordinal-gap", "page-without-url", "page-without-title", "page-without-unit", "page-without-passages", "url-twice"]
+_H1, _TITLE = "<h1>([^<]*)</h1>", "<title>([^<]*)</title>"
+
+
+def _rule(rule: str, key: str, source: str, good: str) -> str:
+    return f"SELECT '{rule}' AS rule, coalesce({key}::VARCHAR, '') AS key FROM {source} WHERE NOT coalesce({good}, false)"
+
+
+_BROKEN = " UNION ALL ".join(_rule(*r) for r in [
+    ("text-empty", "doc_id", "documents", "trim(text) <> ''"), ("text-residue", "doc_id", "documents", f"NOT regexp_matches(text, '{_RESIDUE}')"),
+    ("count-of-characters", "doc_id", "documents", "n_chars = length(text)"), ("language-undeclared", "doc_id", "documents", f"lang IN ({', '.join(repr(x) for x in _LANGS)})"),
+    ("doc-twice", "doc_id", "(SELECT doc_id, count(*) AS n FROM documents GROUP BY doc_id)", "n = 1"),
+    ("turn-unnumbered", "conv_id", "conversations", "turn IS NOT NULL"), ("turn-without-role", "conv_id", "conversations", "role <> ''"), ("turn-empty", "conv_id", "conversations", "trim(text) <> ''"),
+    ("ordinal-twice", "conv_id", "w", "n = 1"), ("ordinal-gap", "conv_id", "w", "hi - lo + 1 = parts"),
+    ("page-without-url", "page_id", "pages", "url <> ''"), ("page-without-title", "page_id", "pages", f"regexp_extract(html, '{_TITLE}', 1) <> ''"),
+    ("page-without-unit", "page_id", "pages", f"contains(regexp_extract(html, '{_TITLE}', 1), split_part(regexp_extract(html, '{_H1}', 1), ' ', 1))"), ("page-without-passages", "page_id", "pages", "contains(html, '<p>')"),
+    ("url-twice", "url", "(SELECT url, count(*) AS n FROM pages GROUP BY url)", "n = 1"),
+])
+
+
+@query("V1_validated", f"""WITH w AS (SELECT conv_id, max(n) AS n, count(*) AS parts, min(turn) AS lo, max(turn) AS hi FROM (SELECT conv_id, turn, count(*) AS n FROM conversations WHERE turn IS NOT NULL GROUP BY ALL) GROUP BY conv_id),
+b AS ({_BROKEN}), r AS (SELECT unnest([{', '.join(repr(r) for r in _RULES)}]) AS rule)
+SELECT rule, count(key) AS violations, coalesce(array_to_string(list_slice(list(key ORDER BY key) FILTER (key IS NOT NULL), 1, 3), '|'), '') AS sample FROM r LEFT JOIN b USING (rule) GROUP BY rule""")
+def validated(spark, sf_dir):
+    """documents, conversations (works of numbered turns) and pages against the format: what is missing, empty, miscounted, misnumbered, twice there or not cleaned."""
+    d, t, p = (table(spark, sf_dir, name) for name in ("documents", "conversations", "pages"))
+    c = F.col
+    parts = [
+        validation.broken(d, c("doc_id"), {"text-empty": F.trim("text") != "", "text-residue": ~c("text").rlike(_RESIDUE), "count-of-characters": c("n_chars") == F.length("text"), "language-undeclared": c("lang").isin(_LANGS)}),
+        validation.repeated(d, "doc_id", "doc-twice"),
+        validation.broken(t, c("conv_id"), {"turn-unnumbered": c("turn").isNotNull(), "turn-without-role": c("role") != "", "turn-empty": F.trim("text") != ""}),
+        validation.works(t, "conv_id", "turn"),
+        validation.broken(p, c("page_id"), {
+            "page-without-url": c("url") != "", "page-without-title": F.regexp_extract("html", _TITLE, 1) != "",
+            "page-without-unit": F.contains(F.regexp_extract("html", _TITLE, 1), F.split_part(F.regexp_extract("html", _H1, 1), F.lit(" "), F.lit(1))), "page-without-passages": F.contains("html", F.lit("<p>")),
+        }),
+        validation.repeated(p, "url", "url-twice"),
+    ]
+    return validation.report(parts, _RULES)

@@ -159,26 +159,27 @@ def citation_matrix(spark, sf_dir):
     return _hits(spark, sf_dir)[1].groupBy("lang").agg(F.count("*").alias("links"), F.count_distinct("item_id").alias("items"), F.count_distinct("doc_id").alias("documents"))
 
 
-_CONTEXTS = f"""t AS (SELECT 'b' AS src, item_id AS id, {_TOKENS.format(t='text')} AS w FROM benchmark UNION ALL SELECT 'd', doc_id, {_TOKENS.format(t='text')} FROM documents),
-u AS (SELECT src, id, unnest(w) AS x1, unnest(range(1, len(w) + 1)) AS i FROM t),
-l AS (SELECT src, id, x1, {', '.join(f'lead(x1, {k - 1}) OVER v AS x{k}' for k in range(2, 9))} FROM u WINDOW v AS (PARTITION BY src, id ORDER BY i)),
-k AS ({' UNION ALL '.join(f"SELECT src, id, {at} AS at_, concat_ws(' ', {', '.join("'*'" if j == at else f'x{j}' for j in range(1, 9))}) AS context, x{at} AS word FROM l WHERE x8 IS NOT NULL" for at in range(1, 9))})"""
+def _contexts(n: int) -> str:
+    runs = ", ".join(f"lead(x1, {k - 1}) OVER v AS x{k}" for k in range(2, n + 1))
+    places = " UNION ALL ".join(f"SELECT src, id, {at} AS at_, concat_ws(' ', {', '.join("'*'" if j == at else f'x{j}' for j in range(1, n + 1))}) AS context, x{at} AS word FROM l WHERE x{n} IS NOT NULL" for at in range(1, n + 1))
+    return f"""t AS (SELECT 'b' AS src, item_id AS id, {_TOKENS.format(t='text')} AS w FROM benchmark UNION ALL SELECT 'd', doc_id, {_TOKENS.format(t='text')} FROM documents),
+u AS (SELECT src, id, unnest(w) AS x1, unnest(range(1, len(w) + 1)) AS i FROM t), l AS (SELECT src, id, x1, {runs} FROM u WINDOW v AS (PARTITION BY src, id ORDER BY i)), k AS ({places})"""
 
 
-@query("J4_near_matches", f"""WITH {_CONTEXTS}, g AS (SELECT at_, context, word, count(*) AS n FROM k GROUP BY ALL) SELECT at_ AS "at", context, word, n FROM g SEMI JOIN (SELECT at_, context FROM g GROUP BY ALL HAVING count(*) > 1) USING (at_, context)""")
+@query("J4_near_matches", f"""WITH {_contexts(8)}, g AS (SELECT at_, context, word, count(*) AS n FROM k GROUP BY ALL) SELECT at_ AS "at", context, word, n FROM g SEMI JOIN (SELECT at_, context FROM g GROUP BY ALL HAVING count(*) > 1) USING (at_, context)""")
 def near_matches(spark, sf_dir):
     """Windows of eight words that differ in one word: the words of each context that has several, and how often."""
     rows = table(spark, sf_dir, "benchmark").select("text").union(table(spark, sf_dir, "documents").select("text"))
     return variants.classes(rows, tokens(F.col("text")))
 
 
-@query("A13_variants", f"""WITH {_CONTEXTS}, q AS (SELECT DISTINCT id, at_, context, word FROM k WHERE src = 'b'), p AS (SELECT at_, context, word, min(id) AS passage FROM k WHERE src = 'd' GROUP BY ALL),
+@query("A13_variants", f"""WITH {_contexts(5)}, q AS (SELECT DISTINCT id, at_, context, word FROM k WHERE src = 'b'), p AS (SELECT at_, context, word, min(id) AS passage FROM k WHERE src = 'd' GROUP BY ALL),
 x AS (SELECT q.word AS f, p.word AS t, q.id, min(passage) AS passage FROM q JOIN p USING (at_, context) WHERE q.word <> p.word GROUP BY ALL)
 SELECT f AS "from", t AS "to", count(*) AS quotes, array_to_string(list_slice(list(id || ':' || passage ORDER BY id), 1, 3), '|') AS witnesses FROM x GROUP BY ALL""")
 def substitutions(spark, sf_dir):
     """What documents have for a word of a benchmark item in the same context: by items that show it, with three of them."""
     w = tokens(F.col("text"))
-    return variants.substitutions(table(spark, sf_dir, "benchmark"), "item_id", w, table(spark, sf_dir, "documents"), "doc_id", w)
+    return variants.substitutions(table(spark, sf_dir, "benchmark"), "item_id", w, table(spark, sf_dir, "documents"), "doc_id", w, 5)
 
 
 @query("J2_text_lookup", """
