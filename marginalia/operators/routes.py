@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# A link, a heading, a list's line, other name spaces, headings of contents, a chapter's heading, a page taken in.
 LINK = r"\[\[([^\]|#]+)(?:#[^\]|]*)?(?:\|([^\]]*))?\]\]"
+HEADING = r"^={2,4}\s*([^=]+?)\s*={2,4}\s*$"
+ITEM = r"^\s*[#*]"
+SPACES = "(?i)^(Portal|Category|分類|作者|wikipedia|s|w):"
+CONTENTS = "目[錄录次]"
+CHAPTER = r"^==\s*([^=][\s\S]*?)\s*==\s*$"
+TAKEN_IN = r"\{\{\s*:\s*([^|}\n]+?)\s*\}\}"
 
 
 def page_links(pages: DataFrame) -> DataFrame:
     """Links in order: title, line, place, item (the line is of a list), heading (the last one before), target, label (empty without one)."""
     lines = pages.select("title", F.posexplode(F.split("content", "\n")).alias("line", "text"))
-    own = F.regexp_extract("text", r"^={2,4}\s*([^=]+?)\s*={2,4}\s*$", 1)
+    own = F.regexp_extract("text", HEADING, 1)
     before = Window.partitionBy("title").orderBy("line")  # a page's lines
     lines = lines.withColumn("heading", F.last(F.when(own != "", own), ignorenulls=True).over(before)).where(own == "")
     found = F.arrays_zip(F.regexp_extract_all("text", F.lit(LINK), 1).alias("target"), F.regexp_extract_all("text", F.lit(LINK), 2).alias("label"))
-    rows = lines.select("title", "line", F.col("text").rlike(r"^\s*[#*]").alias("item"), "heading", F.posexplode(found).alias("place", "l"))
+    rows = lines.select("title", "line", F.col("text").rlike(ITEM).alias("item"), "heading", F.posexplode(found).alias("place", "l"))
     return rows.select("title", "line", "place", "item", "heading", F.trim("l.target").alias("target"), F.col("l.label").alias("label"))
 
 
@@ -54,9 +61,9 @@ def list_links(pages: DataFrame, known: DataFrame, exclude: str | None = None) -
     return _chapters(rows.join(known.select(F.col("title").alias("target")).distinct(), "target", "left_semi"), F.col("target"))
 
 
-def toc_links(pages: DataFrame, heading: str = "目[錄录次]") -> DataFrame:
+def toc_links(pages: DataFrame, heading: str = CONTENTS) -> DataFrame:
     """Links under headings that name a table of contents; the label is the chapter's name."""
-    rows = page_links(pages).where(F.col("heading").rlike(heading) & ~F.col("target").rlike("(?i)^(Portal|Category|分類|作者|wikipedia|s|w):"))
+    rows = page_links(pages).where(F.col("heading").rlike(heading) & ~F.col("target").rlike(SPACES))
     return _chapters(_first(rows, "label"), F.trim(F.when(F.col("label") != "", F.col("label")).otherwise(F.col("target"))))
 
 
@@ -80,8 +87,8 @@ def container_chain(containers: DataFrame, work: str, exclude: str | None = None
     A page taken in again is passed over, and leaves the heading to the next.
     """
     lines = containers.select("ord", F.col("title").alias("container"), F.posexplode(F.split("content", "\n")).alias("line", "text"))
-    heading = F.regexp_extract("text", r"^==\s*([^=][\s\S]*?)\s*==\s*$", 1)
-    page = F.trim(F.regexp_extract("text", r"\{\{\s*:\s*([^|}\n]+?)\s*\}\}", 1))
+    heading = F.regexp_extract("text", CHAPTER, 1)
+    page = F.trim(F.regexp_extract("text", TAKEN_IN, 1))
     lines = lines.select("ord", "container", "line", heading.alias("heading"), F.when(heading == "", page).otherwise("").alias("target"))
     taken = _allowed(lines.where("target <> ''"), exclude)
     taken = taken.groupBy("target").agg(F.min(F.struct("ord", "line", "container")).alias("f")).select("f.ord", "f.container", "f.line", F.lit("").alias("heading"), "target")

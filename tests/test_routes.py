@@ -1,62 +1,89 @@
-"""Routes against loops over lines; catalogs against what their texts were made of."""
+"""Routes against the lists of links that pages are made of; catalogs against what their texts were made of."""
 
-import re
+import random
+from dataclasses import dataclass
 
+import pytest
 from pyspark.sql import functions as F
 
 from marginalia.operators import catalogs, routes
 from marginalia.plans import routes as plans
-from marginalia.plans.routes import CONTAINERS, PAGES
 from marginalia.sources.fixtures import values
 
-LINK = re.compile(r"\[\[([^\]|#]+)(?:#[^\]|]*)?(?:\|([^\]]*))?\]\]")
 
-
-def by_loop():
+@dataclass
+class Mention:
+    """A link of a page that a test makes: how it is written, what it means, and where it stands."""
+
+    written: str
+    page: str
+    below: bool
+    label: str
+    item: bool
+    contents: bool
+
+
+def made_page(r, title):
+    """A page as text, and the mentions it is made of, in order."""
+    lines, mentions, contents = [], [], False
+    for _ in range(r.randint(0, 12)):
+        if r.random() < 0.25:
+            heading, contents = r.choice([("目錄", True), ("次目次", True), ("正文", False)])
+            marks = "=" * r.randint(2, 4)
+            lines.append(f"{marks} {heading} {marks}")
+            continue
+        item, parts = r.random() < 0.6, []
+        for _ in range(r.randint(0, 3)):
+            name = r.choice(["卷一", "卷二", "卷三", "卷四"])
+            written, page, below = r.choice([(f"{title}/{name}", f"{title}/{name}", True), (f"/{name}", f"{title}/{name}", True), (f"../{name}", f"{title}/{name}", True), (name, name, False), (f"分類:{name}", f"分類:{name}", False)])
+            label = r.choice(["", "第一", " 名 "])
+            parts.append(f"[[{written}{r.choice(['', '#節'])}{'|' + label if label else ''}]]")
+            mentions.append(Mention(written, page, below, label, item, contents))
+        lines.append(r.choice(["# ", "* "]) * item + r.choice(["文", ""]) + " ".join(parts))
+    return "\n".join(lines), mentions
+
+
+def firsts(mentions, key):
+    """Of each key the first mention, in order."""
+    return list({key(m): m for m in reversed(mentions)}.items())[::-1] if mentions else []
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_links_of_pages(spark, seed):
+    r = random.Random(seed)
+    made = {f"書{k}": made_page(r, f"書{k}") for k in range(12)}
+    pages = values(spark, "title string, content string", [(t, text) for t, (text, _) in made.items()] + [("卷一", ""), ("書1/卷二", ""), ("書2/卷一", "")])
+    there = {"卷一", "書1/卷二", "書2/卷一", *made}
+    order = lambda title, mentions, name, keep: [(title, k, name(m), p) for k, (p, m) in enumerate((p, m) for p, m in mentions if keep(m))]
     main, lists, toc = [], [], []
-    known = {t for t, _ in PAGES}
-    for title, content in PAGES:
-        seen, first, in_toc, named = [], [], False, []
-        listed = []
-        for line in content.split("\n"):
-            h = re.match(r"^={2,4}\s*([^=]+?)\s*={2,4}\s*$", line)
-            if h:
-                in_toc = bool(re.search("目[錄录次]", h[1]))
-                continue
-            for m in LINK.finditer(line):
-                raw = m[1].strip()
-                target = f"{title}/{raw[3:]}" if raw.startswith("../") else title + raw if raw.startswith("/") else raw
-                if target.startswith(title + "/") and target not in seen and not target.endswith("四"):
-                    seen.append(target)
-                if ":" not in target and target not in first:
-                    first.append(target)
-                    if re.match(r"\s*[#*]", line) and target in known:
-                        listed.append(target)
-                if in_toc and not re.match("(?i)(Portal|Category|分類|作者|wikipedia|s|w):", raw) and raw not in [n for n, _ in named]:
-                    named.append((raw, (m[2] or raw).strip()))
-        main += [(title, k, t[len(title) + 1 :], t) for k, t in enumerate(seen)]
-        lists += [(title, k, t, t) for k, t in enumerate(listed)]
-        toc += [(title, k, name, t) for k, (t, name) in enumerate(named)]
-    return sorted(main), sorted(lists), sorted(toc)
-
-
-def test_links_of_pages(spark):
-    got = [sorted(tuple(r) for r in q(spark, "").collect()) for q in (plans.main_page_links, plans.list_links, plans.toc_links)]
-    assert got == [x for x in by_loop()] and all(got)
+    for title, (_, mentions) in made.items():
+        by_page = sorted(firsts(mentions, lambda m: m.page), key=lambda x: mentions.index(x[1]))
+        by_name = sorted(firsts([m for m in mentions if m.contents and ":" not in m.written], lambda m: m.written), key=lambda x: mentions.index(x[1]))
+        main += order(title, by_page, lambda m: m.page[len(title) + 1 :], lambda m: m.below and not m.page.endswith("四"))
+        lists += order(title, by_page, lambda m: m.page, lambda m: m.item and m.page in there)
+        toc += order(title, by_name, lambda m: m.label.strip() or m.written, lambda m: True)
+    rows = lambda df: sorted(tuple(x) for x in df.collect())
+    assert rows(routes.main_page_links(pages, "四$")) == sorted(main) and main
+    assert rows(routes.list_links(pages, pages)) == sorted(lists) and lists
+    assert rows(routes.toc_links(pages)) == sorted(toc) and toc
 
 
 def test_container_chain(spark):
-    want, seen = [], set()
-    for k, title, content in CONTAINERS:
-        pending = None
-        for n, line in enumerate(content.split("\n")):
-            if h := re.match(r"^==\s*([^=][\s\S]*?)\s*==\s*$", line):
-                pending = h[1]
-            elif (t := re.search(r"\{\{\s*:\s*([^|}\n]+?)\s*\}\}", line)) and t[1] not in seen and "校勘" not in t[1]:
-                seen.add(t[1])
-                want.append((k, title, n, pending or t[1][2:], t[1]))
-                pending = None
-    assert sorted(tuple(r) for r in plans.containers(spark, "").collect()) == want and len(want) == 4
+    """Containers made of parts: a heading, a page taken in, prose. A page is taken in once; it has the name of the heading right before it among these, or its own."""
+    r = random.Random(5)
+    containers, want, taken = [], [], set()
+    for k in range(6):
+        parts = [r.choice([("heading", f"章{j}"), ("page", f"書/{r.choice('子丑寅卯辰巳')}"), ("page", "書/校勘"), ("prose", "文")]) for j in range(r.randint(1, 9))]
+        texts = {"heading": "== {} ==", "page": "{{{{:{}}}}}", "prose": "{}"}
+        containers.append((k, f"書/{k}", "\n".join(texts[kind].format(what) for kind, what in parts)))
+        new = [j for j, (kind, what) in enumerate(parts) if kind == "page" and what != "書/校勘" and what not in taken and what not in [w for _, w in parts[:j]]]
+        taken |= {parts[j][1] for j in new}
+        for j in new:
+            before = max((i for i in range(j) if parts[i][0] == "heading" or i in new), default=None)
+            heading = parts[before][1] if before is not None and parts[before][0] == "heading" else parts[j][1][2:]
+            want.append((k, f"書/{k}", j, heading, parts[j][1]))
+    df = values(spark, "ord int, title string, content string", containers)
+    assert sorted(tuple(x) for x in routes.container_chain(df, "書", "校勘").collect()) == want and len(want) >= 4
 
 
 def test_empty_pages(spark):
