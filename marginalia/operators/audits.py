@@ -26,21 +26,28 @@ def pinned(snapshots: DataFrame, pins: DataFrame, key: str, body: str, revision:
     return pins.join(have, key, "left").select(key, status.alias("status"))
 
 
+# The content template, markup that is not read, a page taken in, what a page's own text is less, a header.
+CONTENT, MARKUP = r"\{\{!\|([^|{}]+)\|[^{}]*\}\}", r"[{}]|\[\[|\]\]|</?\w"
+TAKEN_IN = r"\{\{\s*:\s*([^|}\n]+?)\s*\}\}"
+NOT_OWN = [r"\{\{[\s\S]*?\}\}", r"<!--[\s\S]*?-->", "<[^>]+>"]
+HEADER = r"(?is)\{\{(\s*[A-Za-z0-9_. ]*header[A-Za-z0-9_. ]*\s*(?:\||\}\}).*)"
+
+
 def rendered(raw: Column) -> Column:
     """Text with the one known content template read; null where any other markup is left."""
-    text = F.regexp_replace(raw, r"\{\{!\|([^|{}]+)\|[^{}]*\}\}", "$1")
-    return F.when(~text.rlike(r"[{}]|\[\[|\]\]|</?\w"), text)
+    text = F.regexp_replace(raw, CONTENT, "$1")
+    return F.when(~text.rlike(MARKUP), text)
 
 
 def transclusions(text: Column) -> Column:
     """Names of pages that a page takes in whole."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"\{\{\s*:\s*([^|}\n]+?)\s*\}\}"), 1), lambda x: F.trim(x))
+    return F.transform(F.regexp_extract_all(text, F.lit(TAKEN_IN), 1), lambda x: F.trim(x))
 
 
 def is_container(text: Column, least: int = 200) -> Column:
     """Whether a page takes in others and has under least units of its own text."""
     own = text
-    for rx in (r"\{\{[\s\S]*?\}\}", r"<!--[\s\S]*?-->", "<[^>]+>"):
+    for rx in NOT_OWN:
         own = F.regexp_replace(own, rx, "")
     return (F.size(transclusions(text)) > 0) & (u16len(F.trim(own)) < least)
 
@@ -72,7 +79,7 @@ def _joined_while_open(pieces: Column, separator: str, opened) -> Column:
 
 def header_fields(text: Column) -> Column:
     """(key, value) of the fields of the first template whose name holds "header", keys in lower case, the last of a key; empty without one or without its end."""
-    rest = F.regexp_extract(text, r"(?is)\{\{(\s*[A-Za-z0-9_. ]*header[A-Za-z0-9_. ]*\s*(?:\||\}\}).*)", 1)
+    rest = F.regexp_extract(text, HEADER, 1)
     n = lambda p, rx: F.regexp_count(p, F.lit(rx))
     closes = F.split(rest, r"\}\}")
     # the piece before each }} with what it opens: the header ends at the first }} that closes more than was opened inside

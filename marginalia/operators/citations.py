@@ -13,8 +13,8 @@ SENTENCE = "^\\s*[：:]?\\s*([^。！？]{2,120})[。！？]"
 # What carries no weight in a quotation.
 MARKS = "[\\s，。；：、！？「」『』（）()《》〈〉·—…\"']"
 # Particles that an agent may not begin or end with, and words that no label may hold.
-PREFIXES = "且 復 亦 又 乃 遂 蓋 故 而 則 皆 盡 共 竊 嘗 數 相 於是 因 既 始 方 將 欲 敢 請 可 不 傳 使 若 夫 今 昔 初 後 其 之 以 為 所 與 野".split()
-SUFFIXES = "且 復 亦 又 乃 遂 蓋 故 而 則 皆 盡 共 竊 嘗 數 相 有 以 傳 歸".split()
+PREFIXES = ["且", "復", "亦", "又", "乃", "遂", "蓋", "故", "而", "則", "皆", "盡", "共", "竊", "嘗", "數", "相", "於是", "因", "既", "始", "方", "將", "欲", "敢", "請", "可", "不", "傳", "使", "若", "夫", "今", "昔", "初", "後", "其", "之", "以", "為", "所", "與", "野"]
+SUFFIXES = ["且", "復", "亦", "又", "乃", "遂", "蓋", "故", "而", "則", "皆", "盡", "共", "竊", "嘗", "數", "相", "有", "以", "傳", "歸"]
 VERBS = "[曰謂問告語於于乎]"
 LONGEST_LABEL = 5
 

@@ -28,16 +28,23 @@ def decision_tables(examples: DataFrame, hypotheses: list[list[str]], label: str
 def charged(examples: DataFrame, hypotheses: list[list[str]], label: str, order: str, fuel: int) -> DataFrame:
     """Checks of a sequential replay per hypothesis, up to and with its first counterexample: hypothesis, checks, refuted, spent_before, exhausted.
 
-    A table grows example by example, so the first counterexample is the first row whose label
-    differs from the first row of its key.
+    A table grows example by example, so a key's first counterexample is its first row with another
+    label than that of its first row. The first places of each key's labels are enough to find it;
+    the checks are then the rows up to it, a count. Nothing is sorted but the labels of a key. Rows
+    without a label contradict nothing, and a key that begins with one is never contradicted.
     """
-    rows = examples.withColumn("_h", F.explode(F.array(*[F.struct(F.lit(k).alias("hypothesis"), _key(h).alias("key")) for k, h in enumerate(hypotheses)])))
-    rows = rows.select(F.col("_h.hypothesis").alias("hypothesis"), F.col("_h.key").alias("key"), F.col(label).alias("label"), F.col(order).alias("at"))
-    of_key = Window.partitionBy("hypothesis", "key").orderBy("at")
-    rows = rows.withColumn("clash", F.col("label") != F.first("label").over(of_key)).withColumn("n", F.row_number().over(Window.partitionBy("hypothesis").orderBy("at")))
-    per = rows.groupBy("hypothesis").agg(F.coalesce(F.min(F.when(F.col("clash"), F.col("n"))), F.count("*")).alias("checks"), F.max("clash").alias("refuted"))
-    before = F.sum("checks").over(Window.orderBy("hypothesis")) - F.col("checks")  # one row per declared hypothesis
-    return per.withColumn("spent_before", before).withColumn("exhausted", F.col("spent_before") + F.col("checks") > fuel)
+    own = F.explode(F.array(*[F.struct(F.lit(k).alias("hypothesis"), _key(h).alias("key")) for k, h in enumerate(hypotheses)]))
+    rows = examples.select(own.alias("_h"), F.col(label).alias("label"), F.col(order).alias("at"))
+    firsts = rows.groupBy("_h.hypothesis", "_h.key", "label").agg(F.min("at").alias("at"))
+    of_key = Window.partitionBy("hypothesis", "key")
+    first = F.min(F.struct("at", "label")).over(of_key)
+    clash = firsts.withColumn("first", first).where("at > first.at and label is not null and first.label is not null")
+    refuted = clash.groupBy("hypothesis").agg(F.min("at").alias("until"))
+    declared = examples.sparkSession.createDataFrame([(k,) for k in range(len(hypotheses))], "hypothesis int").join(refuted, "hypothesis", "left")
+    # a row for each declared hypothesis
+    counts = examples.select(F.col(order).alias("at")).crossJoin(F.broadcast(declared)).groupBy("hypothesis").agg(F.count_if(F.col("until").isNull() | (F.col("at") <= F.col("until"))).alias("checks"), F.max(F.col("until").isNotNull()).alias("refuted"))
+    before = F.sum("checks").over(Window.orderBy("hypothesis")) - F.col("checks")
+    return counts.withColumn("spent_before", before).withColumn("exhausted", F.col("spent_before") + F.col("checks") > fuel)
 
 
 def predicted(queries: DataFrame, examples: DataFrame, context: list[str], hypotheses: list[list[str]], label: str) -> DataFrame:

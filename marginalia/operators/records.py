@@ -58,15 +58,19 @@ def ternary_inquiry(rows: DataFrame, heads: DataFrame) -> DataFrame:
     return out.select("id", F.when(there, "IndexedText").otherwise("Unknown").alias("status"), reason.alias("reason"), "digits", F.when(there, F.col("zan")).alias("zan"), address.alias("address"))
 
 
+# The inquiry of a name and, perhaps, one of its six lines, in the order of the lines.
+HEXAGRAM, LINES = "^(?:觀|观)「([^「」\\r\\n]{1,12})」(?:之([初二三四五上])爻)?。?$", "初二三四五上"
+
+
 def hexagram_inquiry(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     """rows (id, text) of inquiries 觀「name」(之N爻) against catalog (name, bits): the word, the line and the word with that line changed."""
-    rx = "^(?:觀|观)「([^「」\\r\\n]{1,12})」(?:之([初二三四五上])爻)?。?$"
+    rx = HEXAGRAM
     hit = F.coalesce((F.length("text") <= 128) & F.col("text").rlike(rx), F.lit(False))
-    at = F.instr(F.lit("初二三四五上"), F.regexp_extract("text", rx, 2))
+    at = F.instr(F.lit(LINES), F.regexp_extract("text", rx, 2))
     out = rows.withColumn("name", F.when(hit, F.regexp_extract("text", rx, 1))).withColumn("position", F.when(hit & (F.regexp_extract("text", rx, 2) != ""), at))
-    out = out.join(F.broadcast(catalog), "name", "left").withColumn("changed", F.when(F.col("position").isNotNull(), finite.flipped(F.col("bits"), F.col("position"))))
+    out = out.join(catalog, "name", "left").withColumn("changed", F.when(F.col("position").isNotNull(), finite.flipped(F.col("bits"), F.col("position"))))
     target = catalog.select(F.col("bits").alias("changed"), F.col("name").alias("target"))
-    out = out.join(F.broadcast(target), "changed", "left")
+    out = out.join(target, "changed", "left")
     return out.select("id", F.when(F.col("bits").isNotNull(), "IndexedText").otherwise("Unknown").alias("status"), F.when(F.col("name").isNull(), "outside-changes-inquiry-grammar").when(F.col("bits").isNull(), "hexagram-name-not-in-catalog").alias("reason"), "bits", "position", "changed", "target")
 
 
