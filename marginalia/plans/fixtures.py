@@ -7,7 +7,7 @@ from itertools import permutations
 
 from pyspark.sql import functions as F
 
-from ..operators import analytics, corpus, frames, inscription, relations
+from ..operators import analytics, apertures, corpus, frames, inscription, relations
 from ..sources.fixtures import values, values_sql
 from ..sources.tables import shared_dir
 from ..streaming import logs
@@ -214,5 +214,12 @@ def stream_append(spark, sf_dir):
     """The log replayed as a stream of files, appended once by content; the path is a pattern, so that it may be a file or a folder."""
     schema = table(spark, sf_dir, "events").schema
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    logs.append_once(logs.read_log(spark, f"{sf_dir}/event[s].parquet", schema), ["event_type", "user_id"], f"{base}/log", f"{base}/state").awaitTermination()
+    logs.append_once(logs.read_log(spark, f"{sf_dir}/event[s].parquet", schema), ["event_type", "user_id"], f"{base}/log", f"{base}/state", "ts", "60 days").awaitTermination()  # what is told again within twice the table's thirty days
     return spark.read.parquet(f"{base}/log").select("content_hash", F.lit(True).alias("there"))
+
+
+@query("A26_apertures")
+def apertures_of_documents(spark, sf_dir):
+    """The frames of R7_document_frames over documents, by language: what is read, what lies over what, which spans the fold refuses, which agents are too long for a label."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return apertures.scan(d, "doc_id", "lang", "text", _ASCII, lambda agent: F.length(agent) <= 5)

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 from collections import Counter
 from datetime import datetime, timedelta
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.operators import blind, chains, dependencies, gates, ngrams, nulls, variants
+from marginalia.operators import apertures, blind, chains, dependencies, gates, ngrams, nulls, validation, variants
 from marginalia.streaming import evidence
 
 # late evidence
@@ -343,3 +344,41 @@ def test_altered_answers_and_references_are_found(spark):
     assert {tuple(r) for r in qs.violations(said, fewer).collect()} == {("Q7", "g", "I7")}
     assert {r["rule"] for r in qs.violations(said, refs.where("type <> 'Q2'")).collect()} == {"I1"}
     assert qs.refused(ask([("x", "Q9"), ("y", "Q1"), ("z", None)], "q string, type string")).count() == 2
+
+
+# apertures and the validator
+
+
+def test_apertures_match_a_loop_over_characters(spark, sf_dir):
+    from marginalia.plans.fixtures import _ASCII
+    from marginalia.plans.registry import QUERIES
+
+    made = [(9001, "xx", 'ab = "12" cdefgh = "3" "4""5"'), (9002, "xx", None), (9003, "xx", ""), (9004, "xx", 'ab = "x" "x"' * 40)]
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text").collect()] + made
+    want = {}
+    for _, lang, text in rows:
+        spans = [(m.start(), m.end(), k, m[1] if k == 0 else None) for k, (_, rx, _) in enumerate(_ASCII) for m in re.finditer(rx, text or "")]
+        kept = []
+        for s in spans:  # frame by frame, left to right: one inside or across a kept one goes, one around it takes its place
+            if not any(s[0] < c[1] and c[0] < s[1] and not (s[0] <= c[0] and c[1] <= s[1]) for c in kept):
+                kept = [c for c in kept if not (s[0] <= c[0] and c[1] <= s[1])] + [s]
+        depth = Counter(i for a, b, *_ in spans for i in range(a, b))
+        x = want.setdefault(lang, [0] * 9)
+        own = [1, bool(kept), len(kept) > 1, len(spans), len(spans) - len(kept), sum(len(s[3] or "") > 5 for s in kept), 0, len(depth), sum(v > 1 for v in depth.values())]
+        x[:] = [a + b for a, b in zip(x, own)]
+        x[6] = max(x[6], max(depth.values(), default=0))
+    df = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    got = {r["lang"]: list(r)[1:] for r in apertures.scan(df, "doc_id", "lang", "text", _ASCII, lambda a: F.length(a) <= 5).collect()}
+    assert got == want
+    table = {r["lang"]: list(r)[1:] for r in QUERIES["A26_apertures"](spark, sf_dir).collect()}
+    assert table == {k: v for k, v in want.items() if k != "xx"}
+
+
+def test_validator_counts_and_shows_a_few(spark):
+    rows = spark.createDataFrame([(k, None if k % 3 == 0 else "x" * (k % 4)) for k in range(1000)] + [(5, "y")], "id bigint, t string")
+    turns = spark.createDataFrame([("a", 1), ("a", 2), ("a", 2), ("b", 3), ("b", 5), ("c", 7), ("d", None), (None, 1)], "w string, o int")
+    parts = [validation.broken(rows, F.col("id"), {"empty": F.col("t") != "", "short": F.length("t") < 3}), validation.repeated(rows, "id", "twice"), validation.works(turns, "w", "o")]
+    got = {r["rule"]: (r["violations"], r["sample"]) for r in validation.report(parts, ["empty", "short", "twice", "ordinal-twice", "ordinal-gap", "never"]).collect()}
+    empty = sorted(str(k) for k in range(1000) if k % 3 == 0 or k % 4 == 0)
+    short = sorted(str(k) for k in range(1000) if k % 3 == 0 or k % 4 == 3)
+    assert got == {"empty": (len(empty), "|".join(empty[:3])), "short": (len(short), "|".join(short[:3])), "twice": (1, "5"), "ordinal-twice": (1, "a"), "ordinal-gap": (1, "b"), "never": (0, "")}
