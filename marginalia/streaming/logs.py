@@ -18,7 +18,7 @@ def append_once(stream: DataFrame, content: list[str], target: str, checkpoint:
     Batch numbers name the folders, so a batch that is written again replaces itself.
     """
     rows = stream.withColumn("content_hash", F.sha2(F.concat_ws("|", *content).cast("binary"), 256))
-    rows = rows.withWatermark(at, late).dropDuplicatesWithinWatermark(["content_hash"]) if at else rows.dropDuplicates(["content_hash"])
+    rows = rows.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).dropDuplicatesWithinWatermark(["content_hash"]) if at else rows.dropDuplicates(["content_hash"])
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
