@@ -26,12 +26,11 @@ def late_evidence(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     log = evidence.evidence_log(e, F.col("user_id"), F.col("event_id"), F.col("event_type") == "error", F.col("ts"), F.col("value") < 100)
     base = f"{shared_dir(spark)}/claims-{uuid.uuid4().hex}"
-    for part in range(4):
+    for part in range(4):  # each a mix of all times
         log.where(F.pmod(F.xxhash64("id", "kind"), F.lit(4)) == part).write.parquet(f"{base}/log/part={part}")
-    # a folder is a batch: as many files as it has tasks
-    stream = spark.readStream.schema(evidence.LOG).option("maxFilesPerTrigger", 64).option("recursiveFileLookup", "true")
-    for part in range(4):
-        evidence.run_claims(stream.parquet(f"{base}/log/part=[0-{part}]"), f"{base}/out", f"{base}/state", "60 days", "60 days").awaitTermination()
+    files = len(spark.read.schema(evidence.LOG).option("recursiveFileLookup", "true").parquet(f"{base}/log").inputFiles())
+    stream = spark.readStream.schema(evidence.LOG).option("maxFilesPerTrigger", max(1, -(-files // 4))).option("recursiveFileLookup", "true").parquet(f"{base}/log")
+    evidence.run_claims(stream, f"{base}/out", f"{base}/state", "60 days", "60 days").awaitTermination()
     return evidence.latest(spark.read.parquet(f"{base}/out"))
 
 
