@@ -12,11 +12,21 @@ from .fixtures import _HOLD, _training
 from .registry import query, table
 
 
-@query("U4_partition_identity", "SELECT count(*) AS pool, count(*) FILTER (event_id % 3 = 0) AS core, count(*) FILTER (event_id % 3 = 1) AS held_out, count(*) FILTER (event_id % 3 = 2) AS excluded, true AS holds FROM events")
+@query("U4_partition_identity", """
+WITH r AS (SELECT coalesce(quality = 1, false) AS core, coalesce(quality = 0, false) AS held_out, l.doc_id IS NULL AND lang IS NOT NULL AS out_of_grammar, l.doc_id IS NULL AND lang IS NULL AS excluded FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id)),
+n AS (SELECT *, core::INT + held_out::INT + out_of_grammar::INT + excluded::INT AS n FROM r)
+SELECT count(*) AS pool, count(*) FILTER (core) AS core, count(*) FILTER (held_out) AS held_out, count(*) FILTER (out_of_grammar) AS out_of_grammar, count(*) FILTER (excluded) AS excluded, count(*) FILTER (n > 1) AS twice, count(*) FILTER (n = 0) AS nowhere, count(*) FILTER (n <> 1) = 0 AS holds FROM n""")
 def partition_identity(spark, sf_dir):
-    part = lambda k: F.count_if(F.col("event_id") % 3 == k)
-    one = table(spark, sf_dir, "events").agg(F.count("*").alias("pool"), part(0).alias("core"), part(1).alias("held_out"), part(2).alias("excluded"))
-    return one.withColumn("holds", F.col("pool") == F.col("core") + F.col("held_out") + F.col("excluded"))
+    """Documents by four conditions of their own: whether each is in one class, rather than whether the counts add up."""
+    marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.lit(True).alias("there"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang").join(marks, "doc_id", "left")
+    classes = {
+        "core": F.coalesce(F.col("quality") == 1, F.lit(False)), "held_out": F.coalesce(F.col("quality") == 0, F.lit(False)),
+        "out_of_grammar": F.col("there").isNull() & F.col("lang").isNotNull(), "excluded": F.col("there").isNull() & F.col("lang").isNull(),
+    }
+    n = sum(c.cast("int") for c in classes.values())
+    one = d.agg(F.count("*").alias("pool"), *[F.count_if(c).alias(k) for k, c in classes.items()], F.count_if(n > 1).alias("twice"), F.count_if(n == 0).alias("nowhere"))
+    return one.withColumn("holds", F.col("twice") + F.col("nowhere") == 0)
 
 
 @query("U5_distinct_values", "SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
