@@ -15,7 +15,9 @@ as many ids as it has records within the horizon, however long the stream runs.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ LOG = "claim bigint, kind string, id bigint, seq bigint, against boolean, at tim
 CHANGES = "claim bigint, version bigint, speaks_for bigint, speaks_against bigint, since bigint, was string, state string"
 #: Records of a claim that are held in memory at once.
 AT_ONCE = 20_000
+#: Records of a bucket, and by how much buckets multiply where one overflows.
+IN_BUCKET, SPREAD = 2048, 64
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -34,68 +38,124 @@ def label(n_for: int, n_against: int) -> str:
 
 
 class Claims(StatefulProcessor):
-    """One claim's records to its changes of state. horizon: milliseconds."""
+    """One claim's records to its changes of state. horizon: milliseconds.
+
+    Every call to the state is a round trip between Python and the JVM, so records are packed, up to
+    IN_BUCKET in a value: a claim's records are in one bucket by id until that overflows, then in
+    SPREAD times as many. A claim has one timer at a time, the next that is due.
+    """
 
     def __init__(self, horizon: int):
         self.horizon = horizon
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # standing and least place by verdict (0 for, 1 against), and the number of changes told
-        self.sums = handle.getValueState("sums", "n0 bigint, n1 bigint, first0 bigint, first1 bigint, version bigint")
-        self.recent = handle.getMapState("recent", "id bigint", "against boolean, withdrawn boolean, until bigint")
+        # standing and least place by verdict (0 for, 1 against), the number of changes told, of buckets, and the next timer
+        self.sums = handle.getValueState("sums", "n0 bigint, n1 bigint, first0 bigint, first1 bigint, version bigint, buckets bigint, timer bigint")
+        self.recent = handle.getMapState("recent", "bucket bigint", "packed binary")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        n0, n1, first0, first1, version = self.sums.get() if self.sums.exists() else (0, 0, None, None, 0)
+        n0, n1, first0, first1, version, buckets, timer = self.sums.get() or (0, 0, None, None, 0, 1, None)
         n, first = [n0, n1], [first0, first1]
-        before, was = (*n, *first), label(*n)
-        touched: dict[int, tuple] = {}
-        for r in rows:
-            if len(touched) >= AT_ONCE:  # a claim with very many records in a batch
-                self._keep(touched)
-                touched = {}
-            against, withdrawn, until = touched.get(r.id) or self.recent.getValue((r.id,)) or (None, False, 0)
-            if r.kind == "evidence":
-                place = int(r.against)
-                first[place] = r.seq if first[place] is None else min(first[place], r.seq)
-                if against is None:  # else it is no news
-                    against = r.against
-                    n[place] += not withdrawn
-            elif not withdrawn:
-                withdrawn = True
-                if against is not None:
-                    n[int(against)] -= 1
-            touched[r.id] = (against, withdrawn, max(until, self.until(r.at)))
-        self._keep(touched)
-        if (*n, *first) != before:
-            version += 1
-            self.sums.update((*n, *first, version))
+        before, was, held = (*n, *first), label(*n), (buckets, timer)
+        while some := list(islice(rows, AT_ONCE)):  # a claim may have very many records in a batch
+            touched: dict[int, dict[int, tuple]] = {}
+            for _, id_, seq, retracts, verdict, _, ms in some:
+                number = bucket_of(id_, buckets)
+                bucket = touched.get(number)
+                if bucket is None:
+                    bucket = touched[number] = self._bucket(number)
+                against, withdrawn, until = bucket.get(id_) or (None, False, 0)
+                if not retracts:
+                    place = int(verdict)
+                    first[place] = seq if first[place] is None else min(first[place], seq)
+                    if against is None:  # else it is no news
+                        against = place
+                        n[place] += not withdrawn
+                elif not withdrawn:
+                    withdrawn = True
+                    if against is not None:
+                        n[against] -= 1
+                bucket[id_] = (against, withdrawn, max(until, self.until(ms)))
+                if timer is None or bucket[id_][2] < timer:
+                    timer = bucket[id_][2]
+            for number, bucket in touched.items():
+                self.recent.updateValue((number,), (packed(bucket),))
+            while max(map(len, touched.values())) > IN_BUCKET:
+                buckets *= SPREAD
+                touched = self._spread(buckets)
+        if timer != held[1]:
+            self.handle.registerTimer(timer)
+        changed = (*n, *first) != before
+        version += changed
+        if changed or (buckets, timer) != held:
+            self.sums.update((*n, *first, version, buckets, timer))
+        if changed:
             since = None if None in first else max(first)
             yield Row(claim=key[0], version=version, speaks_for=n[0], speaks_against=n[1], since=since, was=was, state=label(*n))
 
-    def until(self, at) -> int:
-        """When a record of time at is folded: the horizon later, rounded up, so that many records share a timer."""
+    def until(self, ms: int) -> int:
+        """When a record of time ms is folded: the horizon later, rounded up, so that many records share a timer."""
         step = max(1, self.horizon // 64)
-        return -(-(int(at.timestamp() * 1000) + self.horizon) // step) * step
-
-    def _keep(self, touched: dict[int, tuple]) -> None:
-        for id_, record in touched.items():
-            self.recent.updateValue((id_,), record)
-        for until in {record[2] for record in touched.values()}:
-            self.handle.registerTimer(until)
+        return -(-(ms + self.horizon) // step) * step
+
+    def _bucket(self, number: int) -> dict[int, tuple]:
+        found = self.recent.getValue((number,))
+        return unpacked(found[0]) if found else {}
+
+    def _spread(self, buckets: int) -> dict[int, dict[int, tuple]]:
+        """The claim's records in so many buckets; those of one old bucket go to new ones of their own, so one is in memory at a time but for the sizes."""
+        last: dict[int, dict[int, tuple]] = {}
+        for number in range(buckets // SPREAD):
+            parts: dict[int, dict[int, tuple]] = {}
+            for id_, record in self._bucket(number).items():
+                parts.setdefault(bucket_of(id_, buckets), {})[id_] = record
+            self.recent.removeKey((number,))
+            for k, part in parts.items():
+                self.recent.updateValue((k,), (packed(part),))
+            last = max(last, parts, key=lambda p: max(map(len, p.values()), default=0))
+        return last
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        """The counts have what stands; the ids whose time has come go."""
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        for (id_,), (_, _, until) in list(self.recent.iterator()):
-            if until <= now:
-                self.recent.removeKey((id_,))
+        """The counts have what stands; the ids whose time has come go, and the next timer is set."""
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        *sums, buckets, _ = self.sums.get()
+        timer = None
+        for number in range(buckets):
+            bucket = self._bucket(number)
+            left = {id_: record for id_, record in bucket.items() if record[2] > now}
+            if left:
+                timer = min(record[2] for record in left.values()) if timer is None else min(timer, *(record[2] for record in left.values()))
+            if bucket and not left:
+                self.recent.removeKey((number,))
+            elif len(left) < len(bucket):
+                self.recent.updateValue((number,), (packed(left),))
+        if timer is not None:
+            self.handle.registerTimer(timer)
+        self.sums.update((*sums, 1 if timer is None else buckets, timer))
         return iter(())
 
     def close(self) -> None:
         pass
 
 
+def bucket_of(id_: int, buckets: int) -> int:
+    return (id_ * 0x9E3779B97F4A7C15 >> 24 & 0xFFFFFFFF) % buckets if buckets > 1 else 0
+
+
+def packed(records: dict[int, tuple]) -> bytes:
+    """Records (verdict or None, withdrawn, until) by id: 17 bytes each."""
+    ids, flags = array("q", records), bytes((2 if a is None else a) + 4 * w for a, w, _ in records.values())
+    return ids.tobytes() + array("q", [until for _, _, until in records.values()]).tobytes() + flags
+
+
+def unpacked(data: bytes) -> dict[int, tuple]:
+    n, ids, untils = len(data) // 17, array("q"), array("q")
+    ids.frombytes(data[: 8 * n])
+    untils.frombytes(data[8 * n : 16 * n])
+    return {id_: (None if f & 3 == 2 else f & 3, f >= 4, until) for id_, until, f in zip(ids, untils, data[16 * n :])}
+
+
 def evidence_log(records: DataFrame, claim: Column, id_: Column, against: Column, at: Column, withdrawn: Column, later: str = "1 hour") -> DataFrame:
     """A table as a log: a row of evidence for each of its rows, and a retraction, `later` in event time, of those that are withdrawn."""
     rows = records.select(claim.cast("long").alias("claim"), id_.cast("long").alias("id"), against.cast("boolean").alias("against"), at.cast("timestamp").alias("at"), withdrawn.alias("_gone"))
@@ -114,6 +174,7 @@ def claim_states(log: DataFrame, horizon: str, late: str) -> DataFrame:
     rows = log.where("claim is not null and id is not null and at is not null and (kind = 'retraction' or kind = 'evidence' and against is not null)")
     spark = log.sparkSession
     ms = spark.sql(f"select unix_millis(timestamp_seconds(0) + interval {horizon})").first()[0]
+    rows = rows.select("claim", "id", "seq", (F.col("kind") == "retraction").alias("retracts"), "against", "at", F.unix_millis("at").alias("ms"))
     return rows.withWatermark("at", late).groupBy("claim").transformWithState(Claims(ms), CHANGES, "Update", "EventTime")
 
 

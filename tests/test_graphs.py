@@ -87,6 +87,19 @@ def test_state_holds_what_is_within_the_horizon(spark, tmp_path):
     assert 0 < held <= 4 * 50
 
 
+def test_state_of_a_claim_is_few_values(spark, tmp_path, monkeypatch):
+    """Each value is a round trip for Python: a claim's records are packed, and spread over buckets once they are many."""
+    start = datetime(2024, 1, 1)
+    n = evidence.IN_BUCKET + 500
+    rows = [(1, "evidence", 64 * k, 64 * k, k % 3 == 0, start + timedelta(seconds=k)) for k in range(n)] + [(1, "retraction", 64 * k, 64 * k, None, start + timedelta(seconds=k)) for k in range(0, n, 2)]
+    rows += [(2, "evidence", k, k, False, start + timedelta(seconds=k)) for k in range(300)] + [(2, "retraction", 7, 7, None, start)]
+    random.Random(3).shuffle(rows)
+    changes = replayed(spark, rows + rows[:400], str(tmp_path), batches=3, runs=2, horizon="10 days", late="10 days")
+    assert {r["claim"]: tuple(r)[1:] for r in evidence.latest(changes).collect()} == states(rows)
+    held = [len(evidence.unpacked(r["b"])) for r in spark.read.format("statestore").option("stateVarName", "recent").load(f"{tmp_path}/state").selectExpr("key.claim c", "user_map_value.packed b").collect()]
+    assert sum(held) == n + 300 and len(held) <= 1 + evidence.SPREAD and max(held) <= evidence.IN_BUCKET
+
+
 # frequent runs
 
 
