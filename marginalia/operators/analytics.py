@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import grams, half_up, share
+from ..sources.tables import freed, written
 
 
 def density(rows: DataFrame, work: str, hit: Column) -> DataFrame:
@@ -110,23 +113,39 @@ def reciprocity(edges: DataFrame) -> DataFrame:
     return e.join(back, ["a", "b"], "left").agg(F.count("*").alias("edges"), F.count("_back").alias("reciprocal"), share(F.count("_back"), F.count("*")).alias("rate"))
 
 
-def numbered(rows: DataFrame, group: list[str], name: Column) -> DataFrame:
-    """rows with r, the place of each in its group by the hash of name, in parts of the hash's range: no task sorts a group."""
-    rows = rows.withColumn("_h", F.sha2(name.cast("binary"), 256)).withColumn("_part", F.substring("_h", 1, 3))
-    sizes = rows.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # 4096 parts at most
-    sizes = sizes.select(*group, "_part", before.alias("_before"))
-    place = F.col("_before") + F.row_number().over(Window.partitionBy(*group, "_part").orderBy("_h"))
-    return rows.join(sizes, [*group, "_part"]).withColumn("r", place).drop("_h", "_part", "_before")
+def places(rows: DataFrame, keep: list[str], name: Column) -> DataFrame:
+    """The columns keep of rows with r, the place of each row by the hash of name, in parts of the hash's range: no task sorts all rows.
+
+    Only rows and the number of their part are shuffled; the hash is made again where it is sorted by.
+    """
+    h = F.sha2(name.cast("binary"), 256)
+    part = F.conv(F.substring(h, 1, 3), 16, 10).cast("int")  # 4096 parts
+    rows = rows.withColumn("_part", part)
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # 4096 rows at most
+    sizes = sizes.select("_part", before.alias("_before"))
+    dealt = rows.repartition("_part").withColumn("_h", F.unhex(h))
+    return dealt.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy("_h"))).drop("_h").join(F.broadcast(sizes), "_part").select(*keep, (F.col("_before") + F.col("_k")).alias("r"))
 
 
 def permutation_null(edges: DataFrame, trials: int, seed: str = "null") -> DataFrame:
-    """Reciprocal edges when the second ends are shuffled: per trial, first ends by the order of a hash of the edge, second ends by one of trial, edge and seed."""
-    e = edges.select("a", "b").distinct()
-    t = e.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
-    ranked_a = numbered(t, ["trial"], F.concat_ws("|", "a", "b")).select("trial", "a", "r")
-    ranked_b = numbered(t, ["trial"], F.concat_ws("|", F.col("trial"), "a", "b", F.lit(seed))).select("trial", "b", "r")
-    mixed = ranked_a.join(ranked_b, ["trial", "r"]).select("trial", "a", "b").distinct()
-    back = mixed.select("trial", F.col("b").alias("a"), F.col("a").alias("b"))
-    hits = mixed.join(back, ["trial", "a", "b"], "left_semi").groupBy("trial").agg(F.count("*").alias("reciprocal"))
-    return mixed.groupBy("trial").agg(F.count("*").alias("edges")).join(hits, "trial", "left").select("trial", "edges", F.coalesce("reciprocal", F.lit(0)).alias("reciprocal"))
+    """Reciprocal edges when the second ends are shuffled: per trial, first ends by the order of a hash of the edge, second ends by one of trial, edge and seed.
+
+    Trials run one after another and each frees its shuffle files, so disk does not grow with their
+    number. The first ends' order is that of all trials and made once. Both directions of a pair
+    of ends are counted in one aggregation.
+    """
+    spark = edges.sparkSession
+    e = written(edges.select("a", "b").distinct(), "edges")
+    first = written(places(e, ["a"], F.concat_ws("|", "a", "b")), "first-ends")
+    found = []
+    for trial in range(1, trials + 1):
+        second = places(e, ["b"], F.concat_ws("|", F.lit(trial), "a", "b", F.lit(seed)))
+        lo, hi = F.least("a", "b"), F.greatest("a", "b")
+        ways = first.join(second, "r").groupBy(lo.alias("lo"), hi.alias("hi")).agg(F.max(F.col("a") <= F.col("b")).alias("up"), F.max(F.col("a") > F.col("b")).alias("down"))
+        up, down = F.col("up").cast("long"), F.col("down").cast("long")
+        # an edge to itself is its own reverse
+        back = F.when(F.col("up") & F.col("down"), 2).when(F.col("lo") == F.col("hi"), 1).otherwise(0)
+        found.append(written(ways.agg(F.lit(trial).alias("trial"), F.coalesce(F.sum(up + down), F.lit(0)).alias("edges"), F.coalesce(F.sum(back), F.lit(0)).alias("reciprocal")), "trial"))
+        freed(spark)
+    return reduce(DataFrame.union, found).where("edges > 0")

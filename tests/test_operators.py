@@ -175,3 +175,25 @@ def test_windowed_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("win").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r["n"] for r in spark.table("win").collect()) == [30] * 6
+
+
+def test_permutation_null_runs_trial_by_trial(spark):
+    import hashlib
+    import random
+
+    from marginalia.operators import analytics
+
+    r = random.Random(2)
+    edges = sorted({(a, b) for a, b in ((r.randrange(12), r.randrange(12)) for _ in range(90)) if a != b})
+    want = []
+    for trial in (1, 2, 3):
+        of = lambda *x: hashlib.sha256("|".join(map(str, x)).encode()).hexdigest()
+        firsts = [a for a, b in sorted(edges, key=lambda e: of(*e))]
+        mixed = set(zip(firsts, [b for a, b in sorted(edges, key=lambda e: of(trial, *e, "null"))]))
+        want.append((trial, len(mixed), sum((b, a) in mixed for a, b in mixed)))
+    assert any(a == b for a, b in mixed)
+    null = analytics.permutation_null(spark.createDataFrame(edges + edges[:9], "a bigint, b bigint"), 3)
+    assert sorted(map(tuple, null.collect())) == want
+    # each trial is a table of its own: no shuffle holds the edges of all trials
+    assert "Exchange" not in null._jdf.queryExecution().executedPlan().toString()
+    assert analytics.permutation_null(spark.createDataFrame([], "a bigint, b bigint"), 2).count() == 0
