@@ -52,12 +52,17 @@ def measured(one: DataFrame, rules: dict[str, tuple[Column, Column, float]]) ->
     return one.select(F.explode(F.array(*each)).alias("g")).select("g.*")
 
 
+def _met(a: DataFrame, b: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """a join of tables that both grow: never a broadcast, whose rows would pass through the driver however small their files are."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def _reach(edges: DataFrame, values: DataFrame, value: str, best) -> DataFrame:
     """values (id, value) with the best value of all that edges (from, to) lead to, itself included: one join a round until nothing changes."""
     now = written(values.select("id", value), "reach")
     while True:
-        seen = edges.join(now.select(F.col("id").alias("to"), F.col(value).alias("far")), "to").groupBy(F.col("from").alias("id")).agg((F.min if best is F.least else F.max)("far").alias("far"))
-        after = written(now.join(seen, "id", "left").select("id", best(F.col(value), F.coalesce("far", value)).alias(value), (best(F.col(value), F.coalesce("far", value)) != F.col(value)).alias("changed")), "reach")
+        seen = _met(edges, now.select(F.col("id").alias("to"), F.col(value).alias("far")), "to").groupBy(F.col("from").alias("id")).agg((F.min if best is F.least else F.max)("far").alias("far"))
+        after = written(_met(now, seen, "id", "left").select("id", best(F.col(value), F.coalesce("far", value)).alias(value), (best(F.col(value), F.coalesce("far", value)) != F.col(value)).alias("changed")), "reach")
         now = after.select("id", value)
         if after.where("changed").isEmpty():
             return now
@@ -76,21 +81,21 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     done = None
     add = lambda some: written(some if done is None else done.union(some), "strong")
     while not left.isEmpty():
-        ends = edges.select(F.col("from").alias("id")).intersect(edges.select(F.col("to").alias("id")))
-        alone = left.join(ends, "id", "left_anti")
+        ends = _met(edges.select(F.col("from").alias("id")).distinct(), edges.select(F.col("to").alias("id")), "id", "left_semi")
+        alone = _met(left, ends, "id", "left_anti")
         if not alone.isEmpty():
             done = add(alone.select("id", F.col("id").alias("component")))
-            left = written(left.join(ends, "id", "left_semi"), "nodes")
+            left = written(_met(left, ends, "id", "left_semi"), "nodes")
         else:
             colour = _reach(edges.select(F.col("to").alias("from"), F.col("from").alias("to")), left.withColumn("colour", F.col("id")), "colour", F.least)
             of = lambda end: colour.select(F.col("id").alias(end), F.col("colour").alias(f"c_{end}"))
-            within = written(edges.join(of("from"), "from").join(of("to"), "to").where("c_from = c_to").select("from", "to"), "within")
+            within = written(_met(_met(edges, of("from"), "from"), of("to"), "to").where("c_from = c_to").select("from", "to"), "within")
             back = _reach(within, colour.select("id", (F.col("id") == F.col("colour")).alias("back")), "back", F.greatest)
-            found = written(colour.join(back.where("back"), "id").select("id", F.col("colour").alias("component")), "found")
+            found = written(_met(colour, back.where("back"), "id").select("id", F.col("colour").alias("component")), "found")
             done = add(found)
-            left = written(left.join(found, "id", "left_anti"), "nodes")
+            left = written(_met(left, found, "id", "left_anti"), "nodes")
         kept = left.select(F.col("id"))
-        edges = written(edges.join(kept.withColumnRenamed("id", "from"), "from", "left_semi").join(kept.withColumnRenamed("id", "to"), "to", "left_semi"), "ways")
+        edges = written(_met(_met(edges, kept.withColumnRenamed("id", "from"), "from", "left_semi"), kept.withColumnRenamed("id", "to"), "to", "left_semi"), "ways")
     return nodes.select("id", F.col("id").alias("component")).limit(0) if done is None else done
 
 
@@ -100,15 +105,15 @@ def minima(nodes: DataFrame, edges: DataFrame, value: str) -> DataFrame:
     Cycles are condensed first, so the rounds of the fixpoint are as many as the longest way between components.
     """
     parts = written(strong_components(nodes, edges), "parts")
-    of = nodes.join(parts, "id")
+    of = _met(nodes, parts, "id")
     own = of.groupBy("component").agg(F.min(value).alias("v"))
     name = lambda end: parts.select(F.col("id").alias(end), F.col("component").alias(f"c_{end}"))
-    ways = edges.join(name("from"), "from").join(name("to"), "to").where("c_from <> c_to").select(F.col("c_from").alias("from"), F.col("c_to").alias("to")).distinct()
+    ways = _met(_met(edges, name("from"), "from"), name("to"), "to").where("c_from <> c_to").select(F.col("c_from").alias("from"), F.col("c_to").alias("to")).distinct()
     ways = written(ways, "condensed")
     top = own.select(F.col("component").alias("id"), F.coalesce("v", F.lit(float("inf"))).alias("v"))
     least = _reach(ways, top, "v", F.least)
     found = least.select(F.col("id").alias("component"), F.when(F.col("v") < float("inf"), F.col("v")).alias(value))
-    return parts.join(found, "component").select("id", "component", value)
+    return _met(parts, found, "component").select("id", "component", value)
 
 
 def standing(results: DataFrame, reads: DataFrame) -> DataFrame:

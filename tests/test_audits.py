@@ -80,3 +80,15 @@ def test_empty_tables(spark):
     assert {r["check"]: r["ok"] for r in audits.cohort_checks(none, none, "id", "text", 0).collect()} == {"unique ids": True, "unique texts": True, "fresh texts": True, "declared count": True}
     assert audits.open_questions(none, none, ["id"], "text").count() == 0
     assert audits.projected(none, "text", "id", 3)[0].count() == 0
+
+
+def test_content_audit_shuffles_no_text(spark):
+    from collections import Counter, namedtuple
+
+    Row = namedtuple("Row", "work text")
+    works = spark.createDataFrame([Row("a", "x y"), Row("a", None), Row("b", "z"), Row(None, "x")])
+    fixtures = spark.createDataFrame([("a", "x", True), ("a", "z", False), ("b", "x", True), ("c", "x", False), (None, "x", False), ("a", "x", True)], "work string, needle string, wanted boolean")
+    found = audits.content_audit(works, fixtures, "work", "text")
+    assert Counter(map(tuple, found.collect())) == Counter([("a", "x", True, True, True), ("a", "z", False, False, True), ("b", "x", True, False, False), ("c", "x", False, False, True), (None, "x", False, False, True)])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and not re.search(r"hashpartitioning\(work#\d+, \d", plan)

@@ -395,3 +395,12 @@ def test_validator_counts_and_shows_a_few(spark):
     empty = sorted(str(k) for k in range(1000) if k % 3 == 0 or k % 4 == 0)
     short = sorted(str(k) for k in range(1000) if k % 3 == 0 or k % 4 == 3)
     assert got == {"empty": (len(empty), "|".join(empty[:3])), "short": (len(short), "|".join(short[:3])), "twice": (1, "5"), "ordinal-twice": (1, "a"), "ordinal-gap": (1, "b"), "never": (0, "")}
+
+
+def test_minima_broadcast_nothing(spark):
+    """Tables of ids are small in files and large as broadcasts, which pass through the driver."""
+    nodes = spark.createDataFrame([(k, float(k)) for k in range(20)], "id bigint, least double")
+    edges = spark.createDataFrame([(k, k // 2) for k in range(1, 20)] + [(3, 7)], "from bigint, to bigint")
+    found = gates.minima(nodes, edges, "least")
+    assert {r["id"]: r["least"] for r in found.collect()} == {k: 0.0 for k in range(20)}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
