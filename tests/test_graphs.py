@@ -404,3 +404,15 @@ def test_minima_broadcast_nothing(spark):
     found = gates.minima(nodes, edges, "least")
     assert {r["id"]: r["least"] for r in found.collect()} == {k: 0.0 for k in range(20)}
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_contexts_are_made_only_beside_different_words(spark):
+    """Text that occurs once, or in copies alone, makes no context; odd and even windows lose none."""
+    r = random.Random(8)
+    rows = [[r.choice("abcd") for _ in range(r.randint(0, 12))] for _ in range(60)]
+    df = spark.createDataFrame([(w,) for w in rows], "w array<string>")
+    for window in (2, 3, 5):
+        want = {(at, context, word, n) for (at, context), words in brute_contexts(rows, window).items() if len(words) > 1 for word, n in words.items()}
+        assert {tuple(x) for x in variants.classes(df, F.col("w"), window).collect()} == want
+    once = [[f"w{k}" for k in range(200)]] * 3
+    assert variants.varied_runs(spark.createDataFrame([(w,) for w in once], "w array<string>"), F.col("w"), 8, 4).count() == 0
