@@ -32,7 +32,8 @@ def group_stats(per_work: DataFrame, group: str) -> DataFrame:
 
 def gram_counts(rows: DataFrame, key: str, words: Column, sizes: list[int], group: str, least: int) -> DataFrame:
     """n-grams by how many passages have them (once each), how many groups, and the least passage that has it. Counted by (gram, group) first, so a gram's groups need no second shuffle of all rows."""
-    each = rows.select(key, group, F.explode(F.array_distinct(F.flatten(F.array(*[grams(words, n) for n in sizes])))).alias("gram"))
+    split = rows.select(key, group, words.alias("_w"))  # a column of its own, so that texts are split once
+    each = split.select(key, group, F.explode(F.array_distinct(F.flatten(F.array(*[grams(F.col("_w"), n) for n in sizes])))).alias("gram"))
     per_group = each.groupBy("gram", group).agg(F.count("*").alias("n"), F.min(key).alias("first"))
     return per_group.groupBy("gram").agg(F.sum("n").alias("passages"), F.count("*").alias("groups"), F.min("first").alias("witness")).where(F.col("passages") >= least)
 

@@ -197,3 +197,15 @@ def test_permutation_null_runs_trial_by_trial(spark):
     # each trial is a table of its own: no shuffle holds the edges of all trials
     assert "Exchange" not in null._jdf.queryExecution().executedPlan().toString()
     assert analytics.permutation_null(spark.createDataFrame([], "a bigint, b bigint"), 2).count() == 0
+
+
+def test_grams_split_a_text_once(spark):
+    from pyspark.sql import functions as F
+
+    from marginalia.functions.text import tokens
+    from marginalia.operators import analytics
+
+    d = spark.createDataFrame([(k, "g", f"one two three four five x{k} one two three four five") for k in range(9)], "id bigint, g string, text string")
+    found = analytics.gram_counts(d, "id", tokens(F.col("text")), [2, 3], "g", 8)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert ("one two", 9, 1, 0) in {tuple(r) for r in found.collect()}
