@@ -4,7 +4,8 @@ A run that occurs `least` times is made of runs one word shorter that do. So the
 are counted, then those of three where both runs of two are kept, then the longer ones, all lengths
 at once, within stretches of kept runs of three. A run is named by two 64-bit hashes of the runs it
 is made of, and counted with its prefix and suffix as plain numbers; words are read again only for
-what is reported.
+what is reported. A report of the most frequent closed runs needs none that occurs less often than
+its last one does, so a floor of that count is found first, from pairs of frequent words.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from ..sources.tables import written
 
 RUN = ["size", "h1", "h2"]
+#: Frequent words whose pairs are counted for the floor, and rows of a table that is broadcast, at most.
+FIRST, BROADCAST = 2000, 100_000
 
 
 def _named(parts: Column, size: Column) -> Column:
@@ -36,15 +39,58 @@ def _kept(places: DataFrame, runs: DataFrame) -> DataFrame:
     return places.select("key", "at", "run.h1", "run.h2").join(names, ["h1", "h2"], "left_semi").select("key", "at", F.struct("h1", "h2").alias("run"))
 
 
-def frequent(rows: DataFrame, key: str, words: Column, longest: int, least: int) -> DataFrame:
-    """Runs of 2 to longest words (at least 4) with at least `least` places; see _counted."""
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Places (key, at, a, b) of all runs of two words of rows (key, w)."""
+    rest = F.greatest(F.size("w") - 1, F.lit(0))
+    both = F.arrays_zip(F.slice("w", F.lit(1), rest).alias("a"), F.slice("w", F.lit(2), rest).alias("b"))
+    return rows.select("key", F.posexplode(both).alias("at", "x")).select("key", "at", "x.a", "x.b")
+
+
+def _of(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs both words of which are known, a table that is broadcast."""
+    for c in ("a", "b"):
+        pairs = pairs.join(F.broadcast(known.select(F.col("word").alias(c))), c, "left_semi")
+    return pairs
+
+
+def _floor(counted: DataFrame, many: int, least: int) -> int:
+    """The greatest count that `many` of counted pairs reach; `least` if there are not so many."""
+    best = counted.orderBy(F.desc("n")).limit(many).agg(F.count("*").alias("pairs"), F.min("n").alias("n")).first()
+    return max(least, best["n"]) if best["pairs"] == many else least
+
+
+def frequent(rows: DataFrame, key: str, words: Column, longest: int, least: int, most: int | None = None) -> DataFrame:
+    """Runs of 2 to longest words (at least 4) with at least `least` places; see _counted.
+
+    most: only so many closed runs will be asked for, the most frequent and what ties with them. A
+    pair is held by a closed run of its count, and such a run holds longest - 1 pairs at most. So
+    where most * (longest - 1) pairs reach a count, `most` closed runs do, and none below is asked
+    for. Pairs of the FIRST words give such a count, whatever the other words' pairs are.
+    """
     after = Window.partitionBy("key").orderBy("at")
-    size = F.size("w")
-    pairs = F.when(size > 1, F.transform(F.sequence(F.lit(0), size - 2), lambda i: F.slice("w", i + 1, F.lit(2))))
-    named = F.transform(words, lambda w: F.struct(F.xxhash64(w).alias("h1"), F.xxhash64(w, F.lit("second")).alias("h2")))
-    two = rows.select(F.col(key).alias("key"), named.alias("w")).select("key", F.posexplode(pairs).alias("at", "x"))
-    two = two.select("key", "at", F.lit(2).alias("size"), _named(F.col("x"), F.lit(2)).alias("run"), F.get("x", F.lit(0)).alias("p"), F.get("x", F.lit(1)).alias("s"))
-    runs2 = written(_counted(two, least), "runs2")
+    # texts are split once; from here on a word is its hash, and a pair the two hashes of its words
+    rows = written(rows.select(F.col(key).alias("key"), F.transform(words, lambda w: F.xxhash64(w)).alias("w")), "hashes")
+    pairs = _pairs(rows)
+    counts = rows.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    counts = written(counts.where(F.col("n") >= least), "words")
+    # the ends of a pair are words, which closed() does not ask for
+    run = F.struct(F.col("a").alias("h1"), F.col("b").alias("h2"))
+    two = lambda pairs: pairs.select("key", "at", F.lit(2).alias("size"), run.alias("run"), run.alias("p"), run.alias("s"))
+    runs2, known = None, counts
+    if most:
+        known = written(counts.orderBy(F.desc("n"), "word").limit(FIRST), "first")
+        runs2 = written(_counted(two(_of(pairs, known)), least), "pairs")
+        least = _floor(runs2, most * (longest - 1), least)
+        # pairs with other words can reach the floor where more words than these do
+        complete = counts.where(F.col("n") >= least).count() <= FIRST
+        runs2 = written(runs2.where(F.col("n") >= least), "runs2") if complete else None
+    if runs2 is None:
+        known = counts.where(F.col("n") >= least)
+        pairs = _of(pairs, known) if known.count() <= BROADCAST else pairs
+        runs2 = written(_counted(two(pairs), least), "runs2")
+    else:
+        pairs = _of(pairs, known)
+    two = two(pairs)
     kept = written(_kept(two, runs2), "places2")
     three = kept.select("key", "at", F.col("run").alias("p"), F.lead("run").over(after).alias("s"), F.lead("at").over(after).alias("next")).where("next = at + 1")
     three = three.select("key", "at", F.lit(3).alias("size"), _named(F.array("p", "s"), F.lit(3)).alias("run"), "p", "s")
@@ -75,12 +121,14 @@ def top_closed(rows: DataFrame, key: str, words: Column, longest: int = 8, least
     A greedy pass down that ranking that drops whatever a kept run holds with nine tenths of its
     count gives the same: a run before it counts no less, and one that holds it no more.
     """
-    found = closed(frequent(rows, key, words, longest, least))
+    found = written(closed(frequent(rows, key, words, longest, least, most)), "closed")
     last = found.orderBy(F.desc("n"), F.desc("size")).limit(most).agg(F.min(F.struct("n", F.col("size"))).alias("x")).select("x.n", "x.size")
     edge = last.select(F.col("n").alias("n_"), F.col("size").alias("size_"))  # one row
     # ties at the edge are all read, then ordered by text
-    near = found.join(F.broadcast(edge), (F.col("n") > F.col("n_")) | (F.col("n") == F.col("n_")) & (F.col("size") >= F.col("size_"))).select("size", "n", "key", "at")
-    texts = near.join(rows.select(F.col(key).alias("key"), words.alias("_words")), "key")
-    grams = texts.select("size", "n", F.concat_ws(" ", F.slice("_words", F.col("at") + 1, F.col("size"))).alias("gram"))
+    near = found.join(F.broadcast(edge), (F.col("n") > F.col("n_")) | (F.col("n") == F.col("n_")) & (F.col("size") >= F.col("size_")))
+    near = written(near.select(F.col("key").alias(key), F.col("size").alias("_size"), F.col("n").alias("_n"), F.col("at").alias("_at")), "near")
+    # only the texts of reported runs are split
+    texts = rows.join(F.broadcast(near) if near.count() <= BROADCAST else near, key).select("_size", "_n", "_at", words.alias("_words"))
+    grams = texts.select(F.col("_n").alias("n"), F.col("_size").alias("size"), F.concat_ws(" ", F.slice("_words", F.col("_at") + 1, F.col("_size"))).alias("gram"))
     ranked = grams.orderBy(F.desc("n"), F.desc("size"), "gram").limit(most)
     return ranked.select(F.row_number().over(Window.orderBy(F.desc("n"), F.desc("size"), "gram")).alias("rank"), "gram", "n")

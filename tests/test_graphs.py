@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.operators import apertures, blind, chains, dependencies, gates, ngrams, nulls, validation, variants
+from marginalia.sources.tables import written
 from marginalia.streaming import evidence
 
 # late evidence
@@ -126,6 +127,22 @@ def test_closed_runs_are_those_of_the_greedy_pass(spark):
     assert ngrams.top_closed(df.where("id < 1"), "id", F.col("w")).count() == 0
 
 
+def test_a_report_reads_no_runs_below_its_floor(spark, monkeypatch):
+    """Each of 400 pairs occurs four times or more; a report of three closed runs needs 21 of them. The floor from few words, and no broadcast of words, change nothing."""
+    r = random.Random(12)
+    words = [f"w{k}" for k in range(20)]
+    rows = [[a, b] for a in words for b in words] * 4 + [[w for w in words if r.random() < 0.8] for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(rows)), "id bigint, w array<string>")
+    want = greedy(rows, 8, 4)[:3]
+    for first, bound in ((2000, 100_000), (12, 100_000), (12, 0), (2, 100_000)):
+        monkeypatch.setattr(ngrams, "FIRST", first)
+        monkeypatch.setattr(ngrams, "BROADCAST", bound)
+        read = {}
+        monkeypatch.setattr(ngrams, "written", lambda d, name, read=read, f=written: read.setdefault(name, f(d, name)))
+        assert [tuple(x) for x in ngrams.top_closed(df, "id", F.col("w"), 8, 4, 3).orderBy("rank").collect()] == want
+        assert 21 <= read["runs2"].count() < (100 if first > 20 else 401)
+
+
 # chains
 
 
