@@ -14,27 +14,41 @@ def normalized(t: Column, variants: list[tuple[str, str]] = ()) -> Column:
     return F.translate(out, "".join(a for a, _ in variants), "".join(b for _, b in variants)) if variants else out
 
 
+#: Quotes that are sent to the passages, at most; with more, hashes of passages are shuffled.
+QUOTES = 50_000
+
+
 def contained(quotes: DataFrame, quote: str, passages: DataFrame, passage: str, key: str, n: int = 5) -> DataFrame:
-    """Pairs in which the words of quote stand in a row in passage; both normalized, key names a passage.
+    """Pairs in which the words of quote stand in a row in passage, perhaps once for each place; both normalized, key names a passage.
 
-    A quote is looked up by the hash of its first n words (all of them if fewer). Only hashes and
-    keys of passages are made and joined, for the gram lengths that quotes have; texts are joined
-    to the few candidates, which are then compared.
+    A quote is looked up by its first n words (all of them if fewer), for the lengths that quotes
+    have. Few quotes are a table that is broadcast, and what follows a place is compared where the
+    passage is read, so no passage is shuffled. With many, only hashes and keys of passages are
+    joined; texts are joined to the candidates, which are then compared.
     """
     words = F.split(quote, " ")
     q = quotes.withColumn("_n", F.least(F.size(words), F.lit(n)))
     q = q.withColumn("_gram", F.xxhash64(F.slice(words, F.lit(1), F.col("_n"))))
-    lengths = sorted(r["_n"] for r in q.select("_n").distinct().collect())  # at most n
-    def hashes(k: int) -> Column:
-        size = F.size("_w")
-        starts = F.when(size >= k, F.sequence(F.lit(1), size - (k - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.xxhash64(F.slice("_w", i, F.lit(k))))
-
-    runs = [hashes(k) for k in lengths]
-    p = passages.select(key, F.split(passage, " ").alias("_w")).select(key, F.explode(F.array_distinct(F.flatten(F.array(*runs)))).alias("_gram")) if runs else passages.select(key, F.lit(0).cast("long").alias("_gram")).limit(0)
-    p = p.join(q.select("_gram").distinct(), "_gram", "left_semi")
-    hits = q.join(p, "_gram").drop("_gram", "_n").join(passages, key)
-    return hits.where(F.contains(F.concat(F.lit(" "), F.col(passage), F.lit(" ")), F.concat(F.lit(" "), F.col(quote), F.lit(" "))))
+    sizes = q.groupBy("_n").agg(F.count("*").alias("quotes")).collect()  # at most n
+    lengths, few = sorted(r["_n"] for r in sizes if r["_n"]), sum(r["quotes"] for r in sizes) <= QUOTES
+    own = passages if few else passages.select(key, passage)
+    places = None
+    for k in lengths:
+        # arrays of the words that begin runs, those after them, and so on
+        runs = F.arrays_zip(*[F.slice("_w", j + 1, F.greatest(F.size("_w") - (k - 1), F.lit(0))).alias(f"w{j}") for j in range(k)])
+        # outer: else Spark would infer a filter on the array's size and split every text twice
+        at = own.withColumn("_w", F.split(passage, " ")).select(*own.columns, "_w", F.posexplode_outer(runs).alias("_at", "_x")).where("_at is not null")
+        at = at.withColumn("_gram", F.xxhash64(F.array(*[f"_x.w{j}" for j in range(k)]))).drop("_x")
+        mine = q.where(F.col("_n") == k)
+        if few:
+            same = F.array_join(F.slice("_w", F.col("_at") + 1, F.size(words)), " ") == F.col(quote)
+            found = at.join(F.broadcast(mine), "_gram").where(same).drop("_w", "_at", "_gram", "_n")
+        else:
+            found = at.select(key, "_gram").distinct().join(mine.select("_gram").distinct(), "_gram", "left_semi")
+            found = mine.join(found, "_gram").drop("_gram", "_n").join(passages, key)
+            found = found.where(F.contains(F.concat(F.lit(" "), F.col(passage), F.lit(" ")), F.concat(F.lit(" "), F.col(quote), F.lit(" "))))
+        places = found if places is None else places.unionByName(found)
+    return quotes.join(passages.limit(0)) if places is None else places
 
 
 def citation_status(found: Column, known: Column, length: Column, least: int) -> Column:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.operators import apertures, blind, chains, dependencies, gates, ngrams, nulls, validation, variants
+from marginalia.operators import apertures, blind, chains, dependencies, gates, intertext, ngrams, nulls, validation, variants
 from marginalia.sources.tables import written
 from marginalia.streaming import evidence
 
@@ -433,3 +433,18 @@ def test_contexts_are_made_only_beside_different_words(spark):
         assert {tuple(x) for x in variants.classes(df, F.col("w"), window).collect()} == want
     once = [[f"w{k}" for k in range(200)]] * 3
     assert variants.varied_runs(spark.createDataFrame([(w,) for w in once], "w array<string>"), F.col("w"), 8, 4).count() == 0
+
+
+def test_contained_shuffles_no_passages_for_few_quotes(spark, monkeypatch):
+    r = random.Random(3)
+    text = lambda least, most: " ".join(r.choice("abc") for _ in range(r.randint(least, most)))
+    passages, quotes = [(k, text(0, 30)) for k in range(60)] + [(90, None)], [(k, text(1, 9)) for k in range(40)]
+    want = {(q, k) for q, a in quotes for k, b in passages if b is not None and f" {a} " in f" {b} "}
+    p, q = spark.createDataFrame(passages, "id bigint, p string"), spark.createDataFrame(quotes, "item bigint, q string")
+    for most in (intertext.QUOTES, 10):
+        monkeypatch.setattr(intertext, "QUOTES", most)
+        found = intertext.contained(q, "q", p, "p", "id")
+        assert {(x["item"], x["id"]) for x in found.select("item", "id").distinct().collect()} == want
+        exchanges = re.findall(r"(?<!Broadcast)Exchange \w+", found.select("item", "id")._jdf.queryExecution().executedPlan().toString())
+        assert bool(exchanges) == (most == 10)
+    assert intertext.contained(q.where("item < 0"), "q", p, "p", "id").count() == 0
