@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -342,6 +343,20 @@ def test_decontamination_amid_rare_words():
     assert [index.confirm(t, c) for t, c in zip(texts, index.search(texts))] == want
 
 
+def test_decontamination_counts_all_documents(spark, monkeypatch):
+    """Features and document frequencies are those of all words of 3,000 documents, more than a sample would hold."""
+    monkeypatch.setattr(decontamination, "FEATURES", 60)
+    r = random.Random(8)
+    rows = [(i, " ".join(f"w{int(r.expovariate(0.05))}" for _ in range(r.randint(0, 60)))) for i in range(3000)] + [(-1, None)]
+    index = decontamination.Index([(1, "w0 w3 never seen", None)])
+    df, total = decontamination._frequencies(decontamination._counted(docs(spark, rows).repartition(5)), index)
+    places = [decontamination.places_of(decontamination.words_of(t)).tolist() for _, t in rows]
+    n, own = Counter(p for x in places for p in x), index.own_places()
+    frequent = [p for p in sorted(n, key=lambda p: (-n[p], p)) if p not in own]
+    assert total == len(rows) and index.places.tolist() == own + frequent[: 60 - len(own)]
+    assert df.tolist() == [sum(p in x for x in map(set, places)) for p in index.places.tolist()]
+
+
 def test_common_subsequence():
     r = random.Random(2)
     for _ in range(200):
