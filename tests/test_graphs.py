@@ -448,3 +448,12 @@ def test_contained_shuffles_no_passages_for_few_quotes(spark, monkeypatch):
         exchanges = re.findall(r"(?<!Broadcast)Exchange \w+", found.select("item", "id")._jdf.queryExecution().executedPlan().toString())
         assert bool(exchanges) == (most == 10)
     assert intertext.contained(q.where("item < 0"), "q", p, "p", "id").count() == 0
+
+
+def test_apertures_make_no_row_for_a_span(spark):
+    df = spark.createDataFrame([(1, "en", 'ab = "c" "d"'), (2, "en", None), (3, "de", "")], "id bigint, lang string, text string")
+    frame = [("assign", '([a-z]+) = "([a-z]+)"', ["agent", "theme"]), ("quoted", '"([a-z]+)"', ["theme"])]
+    found = apertures.scan(df, "id", "lang", "text", frame, lambda a: F.length(a) < 2)
+    assert {r["lang"]: list(r)[1:] for r in found.collect()} == {"en": [2, 1, 1, 3, 1, 1, 2, 11, 3], "de": [1, 0, 0, 0, 0, 0, 0, 0, 0]}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
