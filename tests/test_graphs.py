@@ -435,6 +435,20 @@ def test_contexts_are_made_only_beside_different_words(spark):
     assert variants.varied_runs(spark.createDataFrame([(w,) for w in once], "w array<string>"), F.col("w"), 8, 4).count() == 0
 
 
+def test_runs_and_contexts_are_shuffled_in_rounds(spark, monkeypatch):
+    """Many small rounds find what brute force finds, and a round's rows are its part of the hashes alone."""
+    r = random.Random(5)
+    rows = [None, *([r.choice("abc") for _ in range(r.randint(0, 30))] for _ in range(40))]
+    df = spark.createDataFrame([(w,) for w in rows], "w array<string>")
+    seen = []
+    monkeypatch.setattr(variants, "ROUND_ROWS", 100)
+    monkeypatch.setattr(variants, "ROUNDS", 3)
+    monkeypatch.setattr(variants, "freed", seen.append)
+    want = {(at, context, word, n) for (at, context), words in brute_contexts(rows[1:], 5).items() if len(words) > 1 for word, n in words.items()}
+    assert {tuple(x) for x in variants.classes(df, F.col("w"), 5).collect()} == want
+    assert len(seen) == 6  # three rounds of runs, three of contexts
+
+
 def test_contained_shuffles_no_passages_for_few_quotes(spark, monkeypatch):
     r = random.Random(3)
     text = lambda least, most: " ".join(r.choice("abc") for _ in range(r.randint(least, most)))
