@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.text import grams, half_up, share
 from ..sources.tables import freed, written
 
+#: Buckets that grams are counted in, and how many of the fullest are looked into first.
+BUCKETS, FULLEST = 1 << 18, 2048
+
 
 def density(rows: DataFrame, work: str, hit: Column) -> DataFrame:
     """Per work: passages, readable, density."""
@@ -30,14 +33,43 @@ def group_stats(per_work: DataFrame, group: str) -> DataFrame:
     )
 
 
-def gram_counts(rows: DataFrame, key: str, words: Column, sizes: list[int], group: str, least: int) -> DataFrame:
-    """n-grams by how many passages have them (once each), how many groups, and the least passage that has it. Counted by (gram, group) first, so a gram's groups need no second shuffle of all rows."""
-    split = rows.select(key, group, words.alias("_w"))  # a column of its own, so that texts are split once
-    each = split.select(key, group, F.explode(F.array_distinct(F.flatten(F.array(*[grams(F.col("_w"), n) for n in sizes])))).alias("gram"))
+def gram_counts(rows: DataFrame, key: str, words: Column, sizes: list[int], group: str, least: int, buckets: DataFrame | None = None) -> DataFrame:
+    """n-grams by how many passages have them (once each), how many groups, and the least passage that has it. Counted by (gram, group) first, so a gram's groups need no second shuffle of all rows. buckets: only the grams of these."""
+    each = _grams(rows, key, words, sizes, group)
+    if buckets is not None:
+        each = each.withColumn("bucket", _bucket()).join(F.broadcast(buckets.select("bucket")), "bucket", "left_semi")
     per_group = each.groupBy("gram", group).agg(F.count("*").alias("n"), F.min(key).alias("first"))
     return per_group.groupBy("gram").agg(F.sum("n").alias("passages"), F.count("*").alias("groups"), F.min("first").alias("witness")).where(F.col("passages") >= least)
 
 
+def _grams(rows: DataFrame, key: str, words: Column, sizes: list[int], group: str) -> DataFrame:
+    split = rows.select(key, group, words.alias("_w"))  # a column of its own, so that texts are split once
+    return split.select(key, group, F.explode(F.array_distinct(F.flatten(F.array(*[grams(F.col("_w"), n) for n in sizes])))).alias("gram"))
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("gram"), F.lit(BUCKETS))
+
+
+def top_grams(rows: DataFrame, key: str, words: Column, sizes: list[int], group: str, least: int, k: int) -> DataFrame:
+    """The k first of gram_counts by passages, then gram; grams that can't be among them are not shuffled.
+
+    A gram is in no more passages than all grams of its bucket together. The grams of the fullest
+    buckets are counted first; if the last of k found does not stand above every other bucket, those
+    of all buckets that reach it are counted. A task sends a row for each bucket at most.
+    """
+    full = written(_grams(rows, key, words, sizes, group).groupBy(_bucket().alias("bucket")).agg(F.count("*").alias("n")), "buckets")
+    ranked = full.orderBy(F.desc("n")).limit(FULLEST + 1).select("n").collect()
+    rest = ranked[-1]["n"] if len(ranked) > FULLEST else 0  # the most that a bucket left out has
+    found = top(written(gram_counts(rows, key, words, sizes, group, least, full.where(F.col("n") > rest)), "grams"), k, "passages", "gram")
+    seen = [r["passages"] for r in found.select("passages").collect()]
+    floor = max(least, seen[-1] if len(seen) == k else 0)
+    if rest < floor:
+        return found
+    freed(rows.sparkSession)
+    return top(gram_counts(rows, key, words, sizes, group, floor, full.where(F.col("n") >= floor)), k, "passages", "gram")
+
+
 def top(rows: DataFrame, k: int, by: str, tie: str) -> DataFrame:
     return rows.orderBy(F.desc(by), tie).limit(k)
 

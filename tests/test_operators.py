@@ -209,3 +209,30 @@ def test_grams_split_a_text_once(spark):
     found = analytics.gram_counts(d, "id", tokens(F.col("text")), [2, 3], "g", 8)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
     assert ("one two", 9, 1, 0) in {tuple(r) for r in found.collect()}
+
+
+def test_top_grams_count_full_buckets_only(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from marginalia.functions.text import tokens
+    from marginalia.operators import analytics
+
+    r = random.Random(4)
+    texts = [" ".join(r.choice("aabbcdefghij") for _ in range(r.randint(0, 25))) for _ in range(60)]
+    d = spark.createDataFrame([(k, r.choice("xy"), t) for k, t in enumerate(texts)] + [(90, "x", None)], "id bigint, g string, text string")
+    args = (d, "id", tokens(F.col("text")), [2, 3], "g")
+    counts, most, counted = analytics.gram_counts, analytics.gram_counts(*args, 1).count(), []
+
+    def noted(*x):
+        counted.append(counts(*x[:5], 1, x[6]).count())
+        return counts(*x)
+
+    monkeypatch.setattr(analytics, "gram_counts", noted)
+    # the fullest buckets are enough, or all that reach the last of k follow, or too few grams are there
+    for fullest, least, k in ((100, 3, 5), (2, 3, 20), (2, 3, 10_000), (2, 99, 5)):
+        monkeypatch.setattr(analytics, "FULLEST", fullest)
+        want = [tuple(x) for x in analytics.top(counts(*args, least), k, "passages", "gram").collect()]
+        assert [tuple(x) for x in analytics.top_grams(*args, least, k).collect()] == want
+    assert counted[0] < most and len(counted) > 4
